@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, packing
+from tidemark.llm import decontaminate, packing, quality, secrets, simhash
 
 QUERIES = {
+    "op1_secrets": secrets.query,
     "op3_decontaminate": decontaminate.query,
+    "op6_simhash": simhash.query,
+    "op8_quality": quality.query,
     "op10_packing": packing.query,
 }
 
-ORACLES = {"op3_decontaminate": decontaminate.ORACLE}
+ORACLES = {"op3_decontaminate": decontaminate.ORACLE, "op8_quality": quality.ORACLE}
