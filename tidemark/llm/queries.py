@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, packing, quality, secrets, simhash
+from tidemark.llm import decontaminate, packing, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.query,
+    "op2_toxicity": toxicity.query,
     "op3_decontaminate": decontaminate.query,
     "op6_simhash": simhash.query,
     "op8_quality": quality.query,
