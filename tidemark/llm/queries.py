@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, packing, quality, secrets, simhash, toxicity
+from tidemark.llm import decontaminate, packing, quality, secrets, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.query,
     "op2_toxicity": toxicity.query,
     "op3_decontaminate": decontaminate.query,
+    "op4_suffix_dedup": suffix_dedup.query,
     "op6_simhash": simhash.query,
     "op8_quality": quality.query,
     "op10_packing": packing.query,
