@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, packing, quality, secrets, simhash, suffix_dedup, toxicity
+from tidemark.llm import decontaminate, lm_score, packing, quality, secrets, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_decontaminate": decontaminate.query,
     "op4_suffix_dedup": suffix_dedup.query,
     "op6_simhash": simhash.query,
+    "op7_lm_score": lm_score.query,
     "op8_quality": quality.query,
     "op10_packing": packing.query,
 }
