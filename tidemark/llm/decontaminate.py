@@ -170,6 +170,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows, with all their columns, whose text has no word of an item's window."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema, text_at = to_arrow_schema(docs.schema), docs.columns.index("text")
+
+    def keep(items: list[tuple[str, str]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = automaton_of(items, window)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    words = (words_of(t or "") for t in part.column(text_at).to_pylist())
+                    ok = pa.array([not (found and w and occurrences(found, w)[0]) for w in words], pa.bool_())
+                    columns = [c.filter(ok).cast(f.type) for c, f in zip(part.columns, schema, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+        return run
+
+    for block in item_blocks(benchmark, block_bytes):
+        docs = docs.mapInArrow(keep(block), docs.schema)
+    return docs
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, lm_score, packing, quality, secrets, simhash, suffix_dedup, toxicity
+import corpus_pipeline
+from tidemark.llm import decontaminate, lm_score, packing, quality, secrets, simhash, suffix_dedup, tool_chat, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.query,
@@ -12,7 +13,15 @@ QUERIES = {
     "op6_simhash": simhash.query,
     "op7_lm_score": lm_score.query,
     "op8_quality": quality.query,
+    "op9_tool_chat": tool_chat.query,
     "op10_packing": packing.query,
+    "pipeline": corpus_pipeline.run,
 }
 
-ORACLES = {"op3_decontaminate": decontaminate.ORACLE, "op8_quality": quality.ORACLE}
+ORACLES = {
+    "op3_decontaminate": decontaminate.ORACLE,
+    "op8_quality": quality.ORACLE,
+    "op9_tool_chat": tool_chat.ORACLE,
+}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

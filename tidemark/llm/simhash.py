@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, rows_of, table, texts
+from tidemark.llm.common import materialise, rows_of, table
 
 RADIUS = 4
 SHINGLE = 4
@@ -62,9 +62,9 @@ def fingerprint(text: str) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes), axis=1, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
-    ddl = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long"
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to keep, and fp (the 64 bits as a signed long)."""
+    ddl = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep)) + ", fp long"
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -73,9 +73,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in rows_of(batches):
             fps = np.array([fingerprint(t) for t in rows["text"]], "<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(rows["doc_id"], schema.field(0).type), pa.array(fps)], schema=schema)
+            kept = [pa.array(rows[f.name], f.type) for f in schema if f.name != "fp"]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(fps)], schema=schema)
 
-    return texts(docs).mapInArrow(run, ddl)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep).mapInArrow(run, ddl)
 
 
 def covering_masks(bits: list[int], radius: int = RADIUS) -> list[int]:
@@ -228,15 +229,15 @@ def hex_of(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable over links)."""
-    own = materialise(fingerprints(docs), "fingerprints")
+def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to keep, fp, component_id (smallest doc_id reachable over links)."""
+    own = materialise(fingerprints(docs, keep), "fingerprints")
     first = own.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = components(links(own.select("fp").distinct()))
     known = first.join(roots, first.fp == roots.v, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     lowest = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_fp = known.join(lowest, "root").select("fp", "component_id")
-    return own.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    return own.join(of_fp, "fp").select("doc_id", *keep, "fp", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc32_mod, rows_of, table, texts
+from tidemark.llm.common import crc32_mod, table
 
 SAMPLE = 3000
 WINDOW = 24
@@ -196,26 +196,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     return [r.text for r in found if r.toxic == 1][:sample], [r.text for r in found if r.toxic == 0][:sample]
 
 
-def scores(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, score from 0 to 1."""
+def scored(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The same rows and columns with ``score``, from 0 to 1."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
-    ddl = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double"
-    schema = to_arrow_schema(_parse_datatype_string(ddl))
+    out = docs.limit(0).withColumn("score", F.lit(0.0)).schema
+    schema, text_at = to_arrow_schema(out), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distance = Distance(model.toxic, model.ordinary) if model else None
-        for rows in rows_of(batches):
-            out = [model.score(distance.of(windows_of(t))) if model else 0.0 for t in rows["text"]]
-            yield pa.RecordBatch.from_pydict({"doc_id": rows["doc_id"], "score": out}, schema=schema)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                own = part.column(text_at).to_pylist()
+                found = [model.score(distance.of(windows_of(t or ""))) if model else 0.0 for t in own]
+                columns = [c.cast(f.type) for c, f in zip(part.columns, schema, strict=False)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.float64())], schema=schema)
 
-    return texts(docs).mapInArrow(run, ddl)
+    return docs.mapInArrow(run, out)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    found = scores(docs, fit(*labelled_sample(docs, labels, sample)))
+    found = scored(docs.select("doc_id", "text"), fit(*labelled_sample(docs, labels, sample)))
     return found.select(
         "doc_id",
         (crc32_mod("doc_id", 3) == 1).alias("held_out"),
