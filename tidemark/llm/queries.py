@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidemark.llm import decontaminate, lm_score, packing, quality, secrets, simhash, suffix_dedup, tool_chat, toxicity
+from tidemark.llm import decontaminate, licenses, lm_score, packing, quality, secrets, simhash, suffix_dedup, tool_chat, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.query,
     "op2_toxicity": toxicity.query,
     "op3_decontaminate": decontaminate.query,
     "op4_suffix_dedup": suffix_dedup.query,
+    "op5_licenses": licenses.query,
     "op6_simhash": simhash.query,
     "op7_lm_score": lm_score.query,
     "op8_quality": quality.query,
