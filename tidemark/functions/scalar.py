@@ -58,18 +58,29 @@ def season(branch: Column) -> Column:
 
 
 #: Rarity words in ascending order (fixed values).
-RARITIES = ("common", "uncommon", "rare", "epic", "legendary", "mythic", "exotic")
-#: Words in an item's path and its category; the first that occurs counts (fixed values).
+RARITIES = ("common", "uncommon", "rare", "epic", "legendary", "mythic")
+#: Marks in an item's name and the rarity they stand for; the first that occurs counts (fixed values).
+RARITY_MARKS = (("_mythic", "mythic"), ("_sr_", "legendary"), ("_vr_", "epic"), ("_r_", "rare"), ("_uc_", "uncommon"), ("_c_", "common"))
+#: Words in an item's name and its category; the first that occurs counts (fixed values).
 CATEGORIES = (
-    ("ammo", "ammo"), ("ingredient", "material"), ("resource", "material"), ("material", "material"),
-    ("consumable", "heal"), ("shield", "heal"), ("medkit", "heal"), ("bandage", "heal"),
-    ("shotgun", "weapon"), ("rifle", "weapon"), ("smg", "weapon"), ("pistol", "weapon"), ("sniper", "weapon"), ("weapon", "weapon"),
+    ("ammo", "ammo"),
+    ("wooditemdata", "materials"), ("stoneitemdata", "materials"), ("metalitemdata", "materials"),
+    ("shield", "heal/shield"), ("bandage", "heal/shield"), ("medkit", "heal/shield"), ("medbox", "heal/shield"),
+    ("chug", "heal/shield"), ("flopper", "heal/shield"), ("slurp", "heal/shield"), ("apple", "heal/shield"),
+    ("pepper", "heal/shield"), ("mushroom", "heal/shield"), ("consumable", "heal/shield"), ("heal", "heal/shield"),
+    ("pickaxe", "pickaxe"), ("harvest", "pickaxe"),
+    ("buildingitemdata", "build tool"), ("edittool", "build tool"), ("buildingtool", "build tool"),
+    ("wid_", "weapon"), ("shotgun", "weapon"), ("assault", "weapon"), ("smg", "weapon"), ("pistol", "weapon"),
+    ("sniper", "weapon"), ("rifle", "weapon"), ("launcher", "weapon"),
 )
 #: Words in a weapon's name and its class; the first that occurs counts (fixed values).
 WEAPON_CLASSES = (
-    ("shotgun", "shotgun"), ("sniper", "sniper"), ("dmr", "marksman"), ("assault", "assault rifle"), ("rifle", "assault rifle"),
-    ("smg", "submachine gun"), ("pistol", "pistol"), ("bow", "bow"), ("pickaxe", "melee"), ("melee", "melee"),
+    ("shotgun", "shotgun"), ("assault", "assault rifle"), ("_ar_", "assault rifle"), ("corear", "assault rifle"),
+    ("smg", "SMG"), ("drumgun", "SMG"), ("pdw", "SMG"), ("pistol", "pistol"), ("sniper", "sniper"), ("dmr", "sniper"),
+    ("launcher", "explosive"), ("rocket", "explosive"), ("grenade", "explosive"),
 )
+#: Parts of a weapon's id that are not part of its name (fixed values).
+WEAPON_ID_PARTS = ("WID", "Athena", "Ore", "ORE", "C", "UC", "R", "VR", "SR", "UR")
 
 
 def first_word(text: Column, table: Sequence[tuple[str, str]], otherwise: str | None = None) -> Column:
@@ -80,18 +91,21 @@ def first_word(text: Column, table: Sequence[tuple[str, str]], otherwise: str |
 
 
 def item_name(path: Column) -> Column:
-    """The last part of an item's path, without its class suffix."""
-    return F.regexp_replace(F.element_at(F.split(F.element_at(F.split(path, "/"), -1), r"\."), -1), "_C$", "")
+    """The last part of an item's path; null for an empty one."""
+    return F.when(F.length(path) > 0, F.element_at(F.split(F.element_at(F.split(path, "/"), -1), r"\."), -1))
 
 
 def item_category(path: Column) -> Column:
-    return first_word(path, CATEGORIES, "other")
+    name = item_name(path)
+    return F.when(name.isNotNull(), first_word(name, CATEGORIES, "other"))
 
 
 def item_rarity(path: Column) -> Column:
-    """From a tier mark ``_t1`` to ``_t7`` in the path; null without one."""
-    tier = F.regexp_extract(F.lower(path), r"_t0?([1-7])", 1)
-    return F.when(tier != "", F.element_at(F.array(*map(F.lit, RARITIES)), tier.try_cast("int")))
+    """From a mark in the name, else from its tier; null without either."""
+    name = item_name(path)
+    tier = F.regexp_extract(F.lower(name), r"_t0?(\d)\b", 1).try_cast("int")
+    by_tier = F.when(tier.between(1, 5), F.get(F.array(*map(F.lit, RARITIES)), tier - 1))
+    return F.coalesce(first_word(F.concat(name, F.lit("_")), RARITY_MARKS), by_tier)
 
 
 def rarity_rank(rarity: Column) -> Column:
@@ -102,13 +116,13 @@ def rarity_rank(rarity: Column) -> Column:
 
 
 def weapon_class(name: Column) -> Column:
-    return first_word(name, WEAPON_CLASSES, "other")
+    return F.when(name.isNotNull(), first_word(name, WEAPON_CLASSES, "other weapon"))
 
 
 def readable_weapon(name: Column) -> Column:
-    """The words of a weapon's id, without prefixes, tiers and single letters."""
-    words = F.filter(F.split(name, "_"), lambda w: (F.length(w) > 2) & ~F.lower(w).isin("wid", "athena", "item") & ~w.rlike("(?i)^t?[0-9]+$|^[a-z]{1,2}$|^t0?[0-9]$"))
-    return F.initcap(F.lower(F.array_join(words, " ")))
+    """The first three words of a weapon's id that name it; the id itself if none does."""
+    words = F.filter(F.split(name, "_"), lambda w: (F.length(w) > 0) & ~w.isin(*WEAPON_ID_PARTS) & ~w.startswith("T0"))
+    return F.coalesce(F.nullif(F.array_join(F.slice(words, 1, 3), " "), F.lit("")), name)
 
 
 def build_material(kind: Column) -> Column:
@@ -120,15 +134,9 @@ def target_kind(is_player: Column, is_build: Column) -> Column:
     return F.when(F.coalesce(is_player, F.lit(False)), "player").when(F.coalesce(is_build, F.lit(False)), "build").otherwise("object")
 
 
-def strength(p: Column, alpha: float = 0.05) -> Column:
-    """Words for a p-value."""
-    return (
-        F.when(p.isNull(), "not tested")
-        .when(p < alpha / 50, "strong")
-        .when(p < alpha / 5, "clear")
-        .when(p < alpha, "some")
-        .otherwise("none")
-    )
+def strength(p: Column, alpha: float = 0.01) -> Column:
+    """Words for a p-value; a missing one shows nothing."""
+    return F.when(p < alpha / 10, "strong").when(p < alpha, "clear").when(p < 0.05, "weak").otherwise("none")
 
 
 def verdict(p: Column, effect: Column, alpha: float = 0.05, least: float = 0.3) -> Column:

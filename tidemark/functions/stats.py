@@ -221,7 +221,7 @@ def mann_whitney(df: DataFrame, group: Sequence[str], side: str, x: str) -> Data
     a, b = F.col("n_a"), F.col("n_b")
     n = a + b
     u = F.col("_ra") - a * (a + 1) / 2
-    variance = a * b / 12.0 * ((n + 1) - F.try_divide(F.col("_t").cast("double"), n * (n - 1)))
+    variance = a * b / 12.0 * ((n + 1) - F.coalesce(F.try_divide(F.col("_t").cast("double"), n * (n - 1)), F.lit(0.0)))
     z = F.try_divide(F.greatest(F.abs(u - a * b / 2) - 0.5, F.lit(0.0)), F.sqrt(variance))
     ok = (a > 0) & (b > 0) & (variance > 0)
     return s.select(*group, "n_a", "n_b", F.when((a > 0) & (b > 0), u).alias("u"), F.try_divide(2 * u, a * b).alias("_e"), F.when(ok, z).alias("_z")).select(

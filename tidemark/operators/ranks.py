@@ -24,13 +24,13 @@ def average_rank(x: str | Column, group: Sequence[str]) -> Column:
 def percent_rank_average(x: str | Column, group: Sequence[str]) -> Column:
     """Average rank over the number of values that are not null."""
     x = _col(x)
-    return average_rank(x, group) / F.count(x).over(Window.partitionBy(*group))
+    return F.try_divide(average_rank(x, group), F.count(x).over(Window.partitionBy(*group)))
 
 
 def percent_rank_min(x: str | Column, group: Sequence[str]) -> Column:
     """Smallest rank of the ties over the number of values that are not null."""
     x = _col(x)
-    return F.when(x.isNotNull(), F.rank().over(Window.partitionBy(*group).orderBy(x.asc_nulls_last())) / F.count(x).over(Window.partitionBy(*group)))
+    return F.when(x.isNotNull(), F.try_divide(F.rank().over(Window.partitionBy(*group).orderBy(x.asc_nulls_last())), F.count(x).over(Window.partitionBy(*group))))
 
 
 def percent_rank_nulls_last(x: str | Column, group: Sequence[str]) -> Column:
@@ -56,8 +56,8 @@ def residual(y: str | Column, x: str | Column, group: Sequence[str]) -> Column:
     y, x, w = _col(y), _col(x), Window.partitionBy(*group)
     both = F.when(x.isNotNull() & y.isNotNull(), F.lit(True))
     fx, fy = F.when(both, x), F.when(both, y)
-    slope = F.regr_slope(fy, fx).over(w)
-    line = F.regr_intercept(fy, fx).over(w) + slope * x
+    slope = F.try_divide(F.covar_pop(fy, fx).over(w), F.var_pop(fx).over(w))
+    line = F.avg(fy).over(w) + slope * (x - F.avg(fx).over(w))
     flat = F.coalesce(F.var_pop(fx).over(w), F.lit(0.0)) < 1e-12
     expected = F.when(flat | line.isNull(), F.median(y).over(w)).otherwise(line)
     return F.when(y.isNull(), F.lit(float("inf"))).otherwise(y - expected)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import operator_queries
+from tidemark.plans import operator_queries, study_queries
 
-_MODULES = (operator_queries,)
+_MODULES = (operator_queries, study_queries)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -118,6 +118,41 @@ class Arena:
             F.when(F.col("match_id") % 6 != 5, (F.col("match_id") * 7 % 10).cast("double") / 10).alias("lobby_strength"),
         )
 
+    @cached_property
+    def landings(self) -> DataFrame:
+        """Each player's first sample as their landing, with opponents near and the nearest of ten places."""
+        from tidemark.operators.spatial import nearest_place, neighbour_counts
+
+        first = self.tracks.groupBy("match_id", "id").agg(F.min("t").alias("land_t"), *(F.min_by(c, "t").alias(c) for c in "xyz"))
+        own = self.players.select("match_id", "id", "team_index", "placement", "pr_rank", "death_t", "kills")
+        pts = neighbour_counts(first.join(own, ["match_id", "id"]), ["match_id"], "id", [150, 300], "team_index")
+        places = self.table("supplier").where("s_suppkey <= 10").select(
+            F.concat(F.lit("P"), F.col("s_suppkey").cast("string")).alias("name"),
+            F.expr("cast((s_suppkey * 7919) % 240001 - 120000 as double)").alias("x"), F.expr("cast((s_suppkey * 104729) % 240001 - 120000 as double)").alias("y"),
+        )
+        named = nearest_place(pts, places, 800.0)
+        return named.select(
+            "match_id", "id", "land_t", F.col("x").alias("land_x"), F.col("y").alias("land_y"), "team_index", "death_t", "placement", F.col("placement").alias("final"), "kills", "pr_rank",
+            F.col("near_150").alias("opp_150m"), F.col("near_300").alias("opp_300m"), (F.col("near_300") % 3).alias("opp_top1000_300m"), F.col("nearest_m").alias("nearest_opp_m"),
+            (F.abs("x") / 100).alias("bus_offset_m"), (F.abs("y") / 100).alias("outside_zone2_m"), F.col("place").alias("poi"), (F.col("death_t") - F.col("land_t") <= 300).alias("off_spawn"),
+        )
+
+    def tables(self, freshness: float = 60.0):
+        """The frames that the detectors read. Samples are half a minute apart here, so ages may be wide."""
+        from tidemark.plans.detect import Tables
+
+        item = F.concat(F.lit("WID_"), F.element_at(F.array(F.lit("Shotgun"), F.lit("Assault"), F.lit("SMG")), (F.col("l_partkey") % 3 + 1).cast("int")), F.lit("_Athena_"), F.element_at(F.array(F.lit("C"), F.lit("R"), F.lit("SR")), (F.col("l_partkey") % 3 + 1).cast("int")))
+        items = self.raw.select("match_id", "id", "t", "l_linenumber", item.alias("item"))
+        from tidemark.functions.scalar import item_category, item_rarity
+
+        held = items.where("l_linenumber <= 2").select("match_id", "t", "id", F.col("item").alias("weapon"), item_category(F.col("item")).alias("category"), item_rarity(F.col("item")).alias("rarity"))
+        return Tables(
+            matches=self.matches, players=self.players, zones=self.phases, positions=self.tracks, kills=self.kills, health=self.changes, damage=self.hits, landings=self.landings, weapons_held=held,
+            chests=items.where("l_linenumber = 3").select("match_id", "t", F.col("id").alias("searched_by")),
+            pickups=items.where("l_linenumber >= 4").select("match_id", F.col("id").alias("picked_by"), F.col("t").alias("picked_t"), F.when(F.col("l_linenumber") == 4, "heal/shield").otherwise("weapon").alias("category")),
+            freshness=freshness,
+        )
+
 
 ARENA_SQL = """
 raw AS (SELECT l_orderkey % 24 AS match_id, l_suppkey % 60 AS id,
