@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cache
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +35,6 @@ class Catalog:
     def path(self, name: str) -> str:
         return f"{self.base}/tables/{name}.parquet"
 
-    @cache  # noqa: B019
     def table(self, name: str) -> DataFrame:
         declared = schema(name)
         try:
