@@ -1,0 +1,488 @@
+"""The ten text operators: brute force on a small table, and the cases that their docstrings define."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import Row
+from pyspark.sql import functions as F
+
+from tidemark.llm import (
+    decontaminate,
+    gru,
+    licenses,
+    lm_score,
+    packing,
+    quality,
+    secrets,
+    simhash,
+    suffix_dedup,
+    tool_chat,
+    toxicity,
+)
+from tidemark.llm.runindex import RunLengthIndex
+
+EXTRA = "key long, fp long, score double, words string, found string, block long, number int, anchor long, component_id long"
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def low(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, tiny):
+    return spark.read.parquet(f"{tiny}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null and empty texts, null and repeated ids, copies, one very long text, and columns with clashing names."""
+    long = " ".join(f"word{k % 977}x{k % 31}" for k in range(40_000)) + ' token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'
+    rows = [(1, None), (2, ""), (3, " \n\t "), (4, "Short text."), (5, long), (6, long), (6, long), (None, "no id here"), (None, None)]
+    filler = (None, None, None, None, None, None, None, None, None)
+    return spark.createDataFrame(
+        [(d, t, None, None, None, *filler) for d, t in rows], f"doc_id long, text string, lang string, source string, n_chars long, {EXTRA}"
+    )
+
+
+@pytest.fixture(scope="module")
+def bench(spark):
+    return spark.createDataFrame(
+        [(1, "word0x0 word1x1 word2x2 word3x3 word4x4 word5x5 word6x6 word7x7 word8x8 word9x9 word10x10"), (2, None), (None, "short text"), (3, "...")],
+        "item_id long, text string",
+    )
+
+
+@pytest.fixture(scope="module")
+def marks(spark):
+    return spark.createDataFrame([(1, 0, 1), (2, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+
+
+def all_of(odd, bench, marks):
+    return {
+        "secrets": secrets.digest(secrets.secrets(odd)),
+        "toxicity": toxicity.toxicity(odd, marks),
+        "decontaminate": decontaminate.contamination(odd, bench),
+        "suffix": suffix_dedup.digest(suffix_dedup.without_repeats(odd)),
+        "licenses": licenses.licenses(odd),
+        "simhash": simhash.near_duplicates(odd),
+        "lm": lm_score.score(odd),
+        "quality": quality.quality(odd),
+    }
+
+
+def test_odd_rows_give_one_row_each(odd, bench, marks):
+    n = odd.count()
+    for name, found in all_of(odd, bench, marks).items():
+        rows = found.collect()
+        assert len(rows) == n, name
+        assert Counter(r.doc_id for r in rows) == Counter({None: 2, 6: 2, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1}), name
+
+
+def test_empty_tables(odd, bench, marks):
+    for name, found in all_of(odd.limit(0), bench.limit(0), marks.limit(0)).items():
+        assert found.collect() == [], name
+    assert packing.pack(odd.limit(0), tokenizer()).collect() == []
+
+
+def test_odd_values(odd, bench):
+    n = {r.doc_id: r for r in decontaminate.contamination(odd, bench).collect()}
+    assert (n[1].n_words, n[5].n_items, n[5].contaminated, n[4].n_hit) == (0, 1, True, 2)
+    s = {r.doc_id: r for r in suffix_dedup.digest(suffix_dedup.without_repeats(odd)).collect()}
+    assert s[1].n_bytes == 0 and s[5].n_removed == s[5].n_bytes and s[4].n_removed == 0
+    c = {r.doc_id: r.component_id for r in simhash.near_duplicates(odd).collect()}
+    assert c[6] == 5 and c[1] == c[2] == c[3] == 1
+    assert {r.doc_id: r.n_hex for r in secrets.digest(secrets.secrets(odd)).collect()}[5] == 1
+
+
+def tokenizer():
+    public = pytest.importorskip("public_tokenizers")
+    return public.path("word_bpe_49k.json")
+
+
+def test_secret_patterns():
+    text = """Api_Key: "abcdefghijkl" token: token = abcdefghijklmnop AKIAABCDEFGHIJKLMN 0123456789abcdef0"""
+    kinds = Counter(k for _, _, k in secrets.base_spans(text))
+    assert kinds == {"assign": 1, "access": 1, "hex": 1}  # 'token: token' takes the second word with it
+    text = "the secret of the day is q7Zp0LkW9xTt3VbN8mYd in this file, their authorization thereforeandthenagain"
+    found = secrets.novel_spans(text, [], secrets.Novelty())
+    assert [text[a:b] for a, b, _, _ in found] == ["q7Zp0LkW9xTt3VbN8mYd"]
+
+
+def test_redaction_keeps_rows_and_follows_lengths(spark):
+    df = spark.createDataFrame([(1, 'a token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" b', 99), (2, None, 7), (3, "plain", 5)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in secrets.redact(df).collect()}
+    assert got == {1: ('a <secret>" b', 13), 2: (None, 7), 3: ("plain", 5)}
+
+
+def test_toxicity_learns_strings_and_leaves_copies_out():
+    r = np.random.default_rng(8)
+    words = ["".join(map(chr, r.integers(97, 123, r.integers(2, 9)))) for _ in range(400)]
+    prose = lambda bad=(): " ".join([*(words[k] for k in r.integers(0, 400, 40)), *bad, *(words[k] for k in r.integers(0, 400, 20))])
+    ordinary = [prose() for _ in range(120)]
+    toxic = [prose(("zonkish", "blarghing" if k % 2 else "snorfles")) for k in range(90)]
+    assert len(toxicity.without_copies([ordinary[0]] * 5 + ordinary[:1])) == 1
+    model = toxicity.fit(toxic, ordinary)
+    distance = toxicity.Distance(model.toxic, model.ordinary)
+    score = lambda t: model.score(distance.of(toxicity.windows_of(t)))
+    assert score(prose(("zonkish", "snorfles", "blarghing"))) > 0.7 > score(prose())
+    assert toxicity.fit([], ordinary) is None
+
+
+def test_toxicity_on_held_out_documents(spark):
+    base = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("documents", "labels"))
+    held = toxicity.toxicity(docs, labels).where("held_out").join(labels.where("toxic is not null"), "doc_id")
+    rows = held.select("predicted", "toxic").collect()
+    right = sum(r.toxic for r in rows if r.predicted)
+    assert right / max(1, sum(r.predicted for r in rows)) > 0.75
+    assert right / sum(r.toxic for r in rows) > 0.4
+
+
+def test_decontamination_blocks_agree_with_one(docs, spark, tiny):
+    bench = spark.read.parquet(f"{tiny}/benchmark.parquet")
+    one = decontaminate.contamination(docs, bench)
+    many = decontaminate.contamination(docs, bench, block_bytes=4000)
+    assert sorted(one.collect()) == sorted(many.collect())
+
+
+def test_decontamination_offsets():
+    text = "Über: One, two. THREE four"
+    words = decontaminate.words_of(text)
+    found = decontaminate.automaton_of([("7", "two three")], 10)
+    ranges, items = decontaminate.occurrences(found, words)
+    assert items == {"7"} and [text[a:b] for a, b in decontaminate.hit_spans(text, ranges)] == ["two. THREE"]
+
+
+def brute_repeats(data, span=200):
+    counts = Counter()
+    for d in data.values():
+        counts.update(d[i : i + span] for i in range(len(d) - span + 1))
+    out = {}
+    for k, d in data.items():
+        cover = np.zeros(len(d) + 1, int)
+        for i in range(len(d) - span + 1):
+            if counts[d[i : i + span]] > 1:
+                cover[i] += 1
+                cover[i + span] -= 1
+        m = np.cumsum(cover)[:-1] > 0
+        kept = bytes(np.frombuffer(d, np.uint8)[~m])
+        out[k] = (len(d), int(m.sum()), int((np.diff(np.r_[0, m.astype(int)]) == 1).sum()), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 3000, "group_bytes": 900}])
+def test_repeated_passages(docs, texts, options):
+    want = brute_repeats({k: t.encode() for k, t in texts.items()})
+    got = suffix_dedup.digest(suffix_dedup.without_repeats(docs, **options)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+
+
+def test_passages_within_one_text_and_across(spark):
+    r = np.random.default_rng(3)
+    rand = lambda n: "".join(map(chr, r.integers(97, 123, n)))
+    p, q = rand(260), rand(199)
+    rows = [(1, rand(50) + p + rand(70) + p), (2, rand(30) + q), (3, q + rand(10)), (4, "a" * 500), (5, p[:200]), (6, "a" * 200)]
+    got = {x.doc_id: x.n_removed for x in suffix_dedup.digest(suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got == {1: 520, 2: 0, 3: 0, 4: 500, 5: 200, 6: 200}
+
+
+def test_run_length_index_against_brute_force():
+    r = np.random.default_rng(1)
+    for _ in range(25):
+        strings = [bytes(r.choice(np.frombuffer(b"ab\x00\xff", np.uint8), r.integers(0, 40))) for _ in range(r.integers(1, 6))]
+        index = RunLengthIndex(strings)
+        assert index.run_lengths.sum() == len(index.order)
+        places = [(i, a) for i, s in enumerate(strings) for a in range(len(s))]
+        for i, a in places:
+            best = 0
+            for j, b in places:
+                if (i, a) != (j, b):
+                    s, t = strings[i][a:], strings[j][b:]
+                    best = max(best, next((k for k in range(min(len(s), len(t))) if s[k] != t[k]), min(len(s), len(t))))
+            assert index.longest[index.begins[i] + a] == best
+
+
+def test_licenses(spark):
+    notice = dict(licenses.TEMPLATES)["MIT-notice"]
+    changed = notice.replace("free of charge", "at no charge")
+    rows = [(1, "x " * 300 + notice + " y" * 100), (2, changed), (3, "Licensed under CC BY-NC 4.0.\nAll rights reserved."), (4, notice[: len(notice) // 2]), (5, "all rights")]
+    got = {r.doc_id: [m.license for m in r.found] for r in licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ["MIT-notice"], 2: ["MIT-notice"], 3: ["CC-BY-NC-4.0-line", "All-rights-reserved"], 4: [], 5: []}
+
+
+def test_license_windows_against_brute_force(docs, texts):
+    """Every stretch of a template's length is tried; the bands may miss none of them."""
+    own = licenses._Hashes()
+    templates = [(n, decontaminate.words_of(t)) for n, t in licenses.TEMPLATES]
+    want = {}
+    for k, t in texts.items():
+        words, names = decontaminate.words_of(t), set()
+        for name, tw in templates:
+            width = min(5, len(tw))
+            mine = set(licenses.shingles(tw, own).tolist())
+            h = licenses.shingles(words, own, width).tolist() if len(words) >= width else []
+            n = max(1, len(tw) - 4)
+            if any(len(mine & set(h[s : s + n])) >= 0.8 * len(mine) for s in range(max(1, len(h) - n + 1))):
+                names.add(name)
+        want[k] = names
+    got = {r.doc_id: {m.license for m in r.found} for r in licenses.licenses(docs).collect()}
+    assert got == want
+
+
+def brute_fingerprint(text):
+    w = WORDS.findall(low(text))
+    if not w:
+        return 0
+    grams = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] or [" ".join(w)]
+    hs = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def test_fingerprints(texts):
+    for t in list(texts.values())[:60] + ["", " ", "One", "a b c d", "É À Ö ü"]:
+        assert simhash.fingerprint(t) == brute_fingerprint(t)
+
+
+def components_of(fps, radius=4):
+    fps = list(dict.fromkeys(fps))
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(fps):
+        for b in fps[i + 1 :]:
+            if (a ^ b).bit_count() <= radius:
+                root[find(a)] = find(b)
+    return {f: find(f) for f in fps}
+
+
+@pytest.mark.parametrize("bucket", [20_000, 6])
+def test_links_miss_nothing(spark, bucket):
+    """Also where buckets are too large for one task and go through the masks of the bits still free."""
+    r = np.random.default_rng(4)
+    fps = []
+    for _ in range(40):
+        f = int(r.integers(0, 1 << 63))
+        fps.append(f)
+        for _ in range(12):
+            for b in r.choice(64, r.integers(1, 6), replace=False):
+                f ^= 1 << int(b)
+            fps.append(f)
+    signed = [(simhash._signed(f),) for f in dict.fromkeys(fps)]
+    edges = simhash.links(spark.createDataFrame(signed, "fp long"), bucket)
+    got = {r.v & simhash.ALL_BITS: r.root & simhash.ALL_BITS for r in simhash.components(edges).collect()}
+    want = components_of(fps)
+    groups = lambda m: {frozenset(g) for g in _inverted(m).values() if len(g) > 1}
+    assert groups(got) == groups(want)
+
+
+def _inverted(m):
+    out = {}
+    for k, v in m.items():
+        out.setdefault(v, set()).add(k)
+    return out
+
+
+def test_covering_masks():
+    masks = simhash.covering_masks(list(range(64)))
+    assert len(masks) == 31
+    r = np.random.default_rng(9)
+    for _ in range(2000):
+        diff = sum(1 << int(b) for b in r.choice(64, 4, replace=False))
+        assert any(m & diff == 0 for m in masks)
+
+
+def test_near_duplicates(docs, texts):
+    fp = {k: brute_fingerprint(t) for k, t in texts.items()}
+    of = components_of(fp.values())
+    first = {}
+    for k, f in fp.items():
+        first[of[f]] = min(first.get(of[f], k), k)
+    got = simhash.near_duplicates(docs).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: first[of[f]] for k, f in fp.items()}
+
+
+def test_lm_scores(docs, texts):
+    got = {r.doc_id: r for r in lm_score.score(docs).collect()}
+    tokens = {k: WORDS.findall(low(t)) + [""] for k, t in texts.items()}
+    counts = Counter()
+    for k, w in tokens.items():
+        if zlib.crc32(str(k).encode()) % 7 != 2:
+            counts.update(w)
+    n, v = sum(counts.values()), len(counts)
+    for k, w in tokens.items():
+        r = got[k]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(counts[x] > 0 for x in w), n)
+        assert r.base_score == pytest.approx(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), rel=1e-9)
+        assert r.held_out == (zlib.crc32(str(k).encode()) % 7 == 2)
+    held = [r for r in got.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_gru_carries_state_and_learns():
+    r = np.random.default_rng(2)
+    documents = [np.tile([1, 2, 3, 0], r.integers(3, 30)) for _ in range(200)]
+    net = gru.train(gru.Gru.new(4, 8), documents, lanes=16, rounds=4)
+    flat, lengths = np.concatenate(documents), np.array([len(d) for d in documents])
+    begins = np.cumsum(lengths) - lengths
+    scores = gru.log10_likelihoods(net, flat, begins, lengths)
+    assert scores.sum() / len(flat) > -0.1  # a uniform guess has -0.6
+    alone = [gru.log10_likelihoods(net, d, np.array([0]), np.array([len(d)]))[0] for d in documents[:5]]
+    assert scores[:5] == pytest.approx(alone, abs=1e-4)
+
+
+def test_gru_gradients():
+    net = gru.Gru.new(5, 4, seed=1)
+    for p in net.parameters():
+        p *= 5
+    for name in ("embed", "recur", "out", "bias"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    before, target = np.array([[5, 5], [1, 2], [3, 5], [0, 4]]), np.array([[1, 2], [3, 0], [0, 4], [2, -1]])
+    h = np.zeros((2, 4))
+    grads, _ = gru._window(net, before, target, h, 5)
+
+    def loss():
+        total, n, s = 0.0, 0, h
+        for b, t in zip(before, target, strict=True):
+            s, _ = net.step(b, np.where((b == 5)[:, None], 0.0, s))
+            lp = net.log_probabilities(s)
+            total -= sum(lp[i, c] for i, c in enumerate(t) if c >= 0)
+            n += int((t >= 0).sum())
+        return total / n
+
+    for p, g in zip(net.parameters(), grads, strict=True):
+        for at in list(np.ndindex(p.shape))[::7]:
+            old, e = p[at], 1e-5
+            p[at] = old + e
+            up = loss()
+            p[at] = old - e
+            down = loss()
+            p[at] = old
+            assert g[at] == pytest.approx((up - down) / (2 * e), abs=1e-5)
+
+
+def brute_repeat_words(w):
+    counts = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    return len({k for i in range(len(w) - 4) if counts[tuple(w[i : i + 5])] > 1 for k in range(i, i + 5)})
+
+
+def test_quality_counts(docs, texts, odd):
+    for frame in (docs, odd.where("doc_id is not null").dropDuplicates(["doc_id"])):
+        own = {r.doc_id: r.text or "" for r in frame.select("doc_id", "text").collect()}
+        for r in quality.quality(frame).collect():
+            t = own[r.doc_id]
+            w = WORDS.findall(t)
+            lines = [x for x in t.split("\n") if WORDS.search(x)]
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (
+                len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), brute_repeat_words(w),
+            )
+
+
+def test_quality_is_native_and_keeps_clean_documents(docs, spark, tiny):
+    plan = quality.quality(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange" not in plan
+    labels = spark.read.parquet(f"{tiny}/labels.parquet")
+    lost = quality.quality(docs).where("not base_failed and not kept").join(labels.where("quality = 1"), "doc_id", "left_semi")
+    assert lost.count() == 0
+
+
+def test_packing_is_a_partition_of_every_document(docs, texts):
+    from tokenizers import Tokenizer
+
+    path = tokenizer()
+    plain = Tokenizer.from_file(path)
+    pieces = packing.pack(docs.repartition(3), path, with_ids=True).collect()
+    by_doc, by_sequence = {}, {}
+    for p in pieces:
+        by_doc.setdefault(p.doc_id, []).append(p)
+        by_sequence.setdefault(p.sequence_id, []).append(p)
+    for k, t in texts.items():
+        ids = plain.encode(t, add_special_tokens=False).ids + [2]
+        own = sorted(by_doc[k], key=lambda p: p.start)
+        assert [i for p in own for i in p.ids] == ids and all(p.doc_tokens == len(ids) for p in own)
+        assert all(zlib.crc32(np.array(p.ids, "<u4").tobytes()) == p.ids_crc32 for p in own)
+    for own in by_sequence.values():
+        at = 0
+        for p in sorted(own, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= 4096
+    total = packing.padding(packing.pack(docs, path)).first()
+    assert total.padding < 0.02 * total.tokens
+
+
+def test_tokens_of_odd_strings():
+    from tokenizers import Tokenizer
+
+    path = tokenizer()
+    plain, cache = Tokenizer.from_file(path), packing.TokenCache(path)
+    for t in ["", "don't STOP.", "É. è, ça!", "<|endoftext|> a", "x y z", "ﬁ İstanbul ΣΑΣ", "a.b,c..", "日本語 テスト", "éa", "12 34th", "'s 's", "a​b", "🙂🙂 ok"]:
+        assert np.frombuffer(cache.ids(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
+
+
+def test_cuts_against_all_choices():
+    """The cheapest way over the same cut positions, tried one by one."""
+    r = np.random.default_rng(6)
+    old = packing.GRID
+    packing.GRID = 4
+    try:
+        for _ in range(60):
+            n, window = int(r.integers(1, 60)), 16
+            ends = np.unique(np.r_[r.integers(1, n + 1, 2), n])
+            stops = np.unique(r.integers(1, n + 1, 5))
+            cuts = packing.cuts_of(ends, stops, n, window, True)
+            assert cuts[-1] == n and all(0 < b - a <= window for a, b in zip([0, *cuts], cuts, strict=False))
+            price = {k: packing.CUT_PRICE for k in range(0, n + 1, 4)} | {int(k): packing.SENTENCE_PRICE for k in stops} | {int(k): 0 for k in ends}
+            best = {0: 0.0}
+            for j in sorted(k for k in price if k):
+                best[j] = min(best[i] + window - (j - i) + price[j] for i in best if j - i <= window)
+            places = sorted(best)
+            tail = min(best[i] + packing.CUT_PRICE * ((n - i).bit_count() - 1) for i in places if i < n and n - i <= window)
+            regular = [c for c in cuts if c in best]
+            cost, at = 0.0, 0
+            for k, c in enumerate(cuts):
+                if c not in best or (k and cuts[k - 1] not in best):
+                    break
+                cost, at = cost + window - (c - at) + price[c], c
+            assert regular and min(best[n], tail) <= cost
+    finally:
+        packing.GRID = old
+
+
+def test_tool_calls(spark):
+    calls = spark.createDataFrame(
+        [Row(conv_id=1, at=k, call_id=c, tool=t, arguments=Row(text=x, turn=k)) for k, (c, t, x) in enumerate(
+            [("a", "reply", "hi"), ("b", "reply", ""), ("c", "other", "x"), ("d", "reply", "y"), ("e", "reply", "z")])],
+        "conv_id long, at long, call_id string, tool string, arguments struct<text:string,turn:long>",
+    )
+    results = spark.createDataFrame([(1, 7, "a", "first"), (1, 8, "a", "second"), (1, 9, "zz", "orphan")], "conv_id long, at long, call_id string, content string")
+    waits = spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "a"), ("a", "nobody"), ("d", "e"), ("e", "d")], "call_id string, on string")
+    got = {r.call_id: (r.level, r.valid, r.content, r.n_results) for r in tool_chat.linked(calls, results, waits).collect()}
+    assert got == {"a": (0, True, "first", 2), "b": (1, False, None, 0), "c": (2, False, None, 0), "d": (None, True, None, 0), "e": (None, True, None, 0), None: (None, None, "orphan", None)}
+
+
+def test_odd_conversations(spark):
+    turns = spark.createDataFrame(
+        [(1, 0, "assistant", "early", 1), (1, 1, "user", None, 1), (1, 2, "assistant", "ok", 1), (1, 2, "assistant", "ok", 1), (None, 0, "user", "hé", 2), (2, 0, "system", "s", 3), (3, None, None, None, 4)],
+        "conv_id long, turn long, role string, text string, level int",
+    )
+    got = {r.conv_id: r for r in tool_chat.conversations(turns).collect()}
+    assert set(got) == {1, None}
+    assert (got[1].n_calls, got[1].n_linked, got[1].n_valid, got[1].n_orphans) == (1, 1, 0, 1)
+    assert '"text":"hé"' in got[None].json
+    assert tool_chat.conversations(turns.limit(0)).collect() == []

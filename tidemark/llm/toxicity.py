@@ -45,12 +45,12 @@ _EDGES = ".,;:!?|%$&*#\"'()[]"
 
 
 def strings_of(text: str) -> set[str]:
-    """The beginnings, of three to ten letters, of a text's words, and the words, marked by spaces."""
+    """The beginnings, of three to six letters, of a text's words, and the words, marked by spaces."""
     out: set[str] = set()
     for word in set(text.lower().split()):
         word = word.strip(_EDGES)
         out.add(f" {word} ")
-        out.update(f" {word[:k]}" for k in range(3, min(len(word), 10) + 1))
+        out.update(f" {word[:k]}" for k in range(3, min(len(word), 6) + 1))
     return out
 
 
@@ -145,7 +145,8 @@ def dictionaries(toxic: list[str], ordinary: list[str], ratio: float = RATIO) ->
     }
     chosen: list[str] = []
     for s in sorted((s for s, g in apart.items() if g >= ratio), key=lambda s: (-round(apart[s], 6), -len(s), s)):
-        if len(chosen) < STRINGS and not any(s in longer for longer in chosen):
+        # what a chosen string begins already needs no longer form, whose ending ordinary words may share
+        if len(chosen) < STRINGS and not any(s in x or (len(x.encode()) >= LEVEL["min_match"] and s.startswith(x)) for x in chosen):
             chosen.append(s)
     frequent = [w for w, _ in sorted(b.items(), key=lambda x: (-x[1], x[0])) if w.endswith(" ")][:COMMON_WORDS]
     # what stands last has the shortest offsets
@@ -168,8 +169,11 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.5) -> np.ndarray:
     return w
 
 
-def fit(toxic: list[str], ordinary: list[str]) -> Model | None:
-    """None without texts of both classes. Every third text calibrates, the others give the strings."""
+def fit(toxic: list[str], ordinary: list[str], odds: float | None = None) -> Model | None:
+    """None without texts of both classes. Every third text calibrates, the others give the strings.
+
+    ``odds``: toxic to ordinary among all labelled rows, where the sample has another ratio.
+    """
     toxic, ordinary = without_copies(toxic), without_copies(ordinary)
     if len(toxic) < 6 or len(ordinary) < 6:
         return None
@@ -182,18 +186,25 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model | None:
     chance = tuple(float((1 + (plain >= t).sum()) / (1 + len(plain))) for t in THRESHOLDS)
     model = Model(*content, chance, ())
     weights = logistic(np.array([model.features(d) for d, _ in held]), y)
+    if odds:
+        weights[0] += math.log(odds * (1 - y).sum() / y.sum())
     return Model(*content, chance, tuple(map(float, weights)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[str]]:
-    """At most ``sample`` texts of each class, the first by a hash of their id; rows that are held out never take part."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[str], float]:
+    """At most ``sample`` texts of each class, the first by a hash of their id, and the classes' odds in all labels.
+
+    Rows that are held out never take part.
+    """
     marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc32_mod("doc_id", 3) != 1))
     order = (F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id"))
     of_class = lambda y: marked.where(F.col("toxic") == y).select("doc_id", "toxic").distinct().orderBy(*order).limit(sample)
     chosen = F.broadcast(of_class(1).unionByName(of_class(0)))  # at most twice ``sample`` ids
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(chosen, "doc_id").select("doc_id", "text", "toxic")
+    n = marked.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     found = sorted(rows.toLocalIterator(), key=lambda r: (xxhash.xxh64_intdigest(str(r.doc_id)), r.text))
-    return [r.text for r in found if r.toxic == 1][:sample], [r.text for r in found if r.toxic == 0][:sample]
+    of = lambda y: [r.text for r in found if r.toxic == y][:sample]
+    return of(1), of(0), (n[0] + 0.5) / (n[1] + 0.5)
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
