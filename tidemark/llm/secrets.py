@@ -99,6 +99,9 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty,
         at = m.start() + 1  # another sensitive word may stand between this one and its string
         if any(s < end and start < e for s, e, _ in taken) or any(f[0] == start for f in found):
             continue
+        own = m[1]  # a string in one case and without digits is a word or several
+        if sum(any(f(c) for c in own) for f in (str.islower, str.isupper, str.isdigit)) < 2:
+            continue
         score = novelty.of(text, start, end)
         if score >= least:
             found.append((start, end, "novel", score))
