@@ -28,7 +28,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     own = docs.select(_columns(docs))
     keyed = own.withColumn("key", F.xxhash64("text"))
     groups = simhash.near_duplicates(keyed, keep=("key",))
-    chosen = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(
+    chosen = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(
         F.min(F.struct("doc_id", "key")).alias("first")
     )
     kept = chosen.select(F.col("first.doc_id").alias("kept_id"), F.col("first.key").alias("kept_key"))

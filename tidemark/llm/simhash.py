@@ -230,14 +230,14 @@ def hex_of(fp: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns to keep, fp, component_id (smallest doc_id reachable over links)."""
+    """doc_id, the columns to keep, fp, root (its component's smallest fingerprint), component_id (smallest doc_id reachable)."""
     own = materialise(fingerprints(docs, keep), "fingerprints")
     first = own.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = components(links(own.select("fp").distinct()))
     known = first.join(roots, first.fp == roots.v, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     lowest = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_fp = known.join(lowest, "root").select("fp", "component_id")
-    return own.join(of_fp, "fp").select("doc_id", *keep, "fp", "component_id")
+    of_fp = known.join(lowest, "root").select("fp", "root", "component_id")
+    return own.join(of_fp, "fp").select("doc_id", *keep, "fp", "root", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
