@@ -204,8 +204,8 @@ def spearman(df: DataFrame, group: Sequence[str], x: str, y: str, least: int = 4
     use = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = use.select(*group, average_rank(x, group).alias("_rx"), average_rank(y, group).alias("_ry"))
     out = ranked.groupBy(*group).agg(
-        F.count("*").alias("n"), F.corr("_rx", "_ry").alias("_r"), F.var_pop("_rx").alias("_vx"), F.var_pop("_ry").alias("_vy")
-    )
+        F.count("*").alias("n"), F.covar_pop("_rx", "_ry").alias("_c"), F.var_pop("_rx").alias("_vx"), F.var_pop("_ry").alias("_vy")
+    ).withColumn("_r", F.try_divide("_c", F.sqrt(F.col("_vx") * F.col("_vy"))))
     ok = (F.col("n") >= least) & (F.col("_vx") > 0) & (F.col("_vy") > 0)
     return out.select(*group, "n", F.when(ok, F.col("_r")).alias("rho"))
 

@@ -598,11 +598,11 @@ def percent_ranks(a: Arena) -> DataFrame:
 
 @registered(
     "standardised_in_group",
-    """SELECT match_id, id, round(coalesce((value - avg(value) OVER w) / stddev_samp(value) OVER w, 0), 6) AS z, round(value - (regr_intercept(value, kills) OVER w + regr_slope(value, kills) OVER w * kills), 3) AS residual FROM players WINDOW w AS (PARTITION BY match_id)""",
+    """SELECT match_id, id, round(coalesce((value - avg(value) OVER w) / stddev_samp(value) OVER w, 0), 6) AS z, round(value - (regr_intercept(value, kills) OVER w + regr_slope(value, kills) OVER w * kills), 1) AS residual FROM players WINDOW w AS (PARTITION BY match_id)""",
 )
 def standardised(a: Arena) -> DataFrame:
     """W-06, W-12, W-13."""
-    return a.players.select("match_id", "id", r6(R.z_score("value", ["match_id"]), "z"), r6(R.residual("value", "kills", ["match_id"]), "residual", 3))
+    return a.players.select("match_id", "id", r6(R.z_score("value", ["match_id"]), "z"), r6(R.residual("value", "kills", ["match_id"]), "residual", 1))
 
 
 @registered(
