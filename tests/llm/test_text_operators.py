@@ -486,3 +486,15 @@ def test_odd_conversations(spark):
     assert (got[1].n_calls, got[1].n_linked, got[1].n_valid, got[1].n_orphans) == (1, 1, 0, 1)
     assert '"text":"hé"' in got[None].json
     assert tool_chat.conversations(turns.limit(0)).collect() == []
+
+
+def test_tokens_keep_what_the_tokenizer_does_not_take_for_white_space():
+    from tokenizers import Tokenizer
+
+    path = tokenizer()
+    plain, cache = Tokenizer.from_file(path), packing.TokenCache(path)
+    blank = [chr(c) for c in range(0x110000) if chr(c).isspace()] + ["​", "﻿", "᠎"]
+    for c in blank:
+        for text in (f"a{c}b", f"x{c}", f"{c}{c}", f"one {c} two", f"It's{c}.\n{c}Two"):
+            ids = plain.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(cache.ids(text), "<u4").tolist() == ids, (hex(ord(c)), text)

@@ -39,6 +39,14 @@ CACHE_WORDS = 500_000
 
 #: Lower-case words that every Unicode version and normal form leaves as they are.
 _PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
+#: Controls that ``str.split`` takes for white space and the tokenizer does not.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+_STRINGS = re.compile(rf"(?:\S|[{_SEPARATORS}])+")
+
+
+def strings_of(text: str) -> list[str]:
+    """The strings between what the tokenizer takes for white space."""
+    return _STRINGS.findall(text) if any(c in text for c in _SEPARATORS) else text.split()
 
 
 def _byte_letters() -> dict[int, str]:
@@ -88,7 +96,7 @@ class TokenCache(dict):
         return np.array(self.tokenizer.encode(string, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.__getitem__, strings_of(text)))
 
 
 _CACHES: dict[str, TokenCache] = {}
