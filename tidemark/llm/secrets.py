@@ -1,9 +1,10 @@
 """Secret scan: fixed patterns, and strings in a sensitive context that no dictionary explains.
 
 Patterns (leftmost, non-overlapping for each kind): an assignment to a secret's name, an access key id, a long hex
-run. Beyond them, a string that follows a sensitive word on its line is a candidate; its novelty is the number of
-bytes it adds to the zstandard frame of its surroundings, primed with a dictionary of common identifiers, per byte
-of its own. Words and names are cheap there; a random key is not, and is reported as ``novel``.
+run. Beyond them, every string in the context of a sensitive word (what follows it on its line and the next few, and
+the whole body of a private key) is a candidate; its novelty is the number of bytes it adds to the zstandard frame of
+its surroundings without its other copies, primed with a dictionary of common identifiers, per byte of its own. Words
+and names are cheap there; a random key is not, and is reported as ``novel``.
 
 Narrow: one pass over the texts. Offsets are code points, end exclusive.
 
@@ -24,6 +25,8 @@ from tidemark.llm.common import rows_of, table, texts
 
 KINDS = ("assign", "access", "hex", "novel")
 MIN_NOVELTY = 0.75
+CONTEXT = 160
+CONTEXT_LINES = 3
 AROUND = 400
 
 _ASSIGN = re.compile(
@@ -31,12 +34,10 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-#: A sensitive word, at most 48 characters of its line, and a whole string of 16 characters or more.
-_SENSITIVE = re.compile(
-    r"(?:passw|passphrase|secret|token|key|auth|bearer|credential|private|signature)[^\n]{0,48}?"
-    r"(?<![A-Za-z0-9+/_=~-])([A-Za-z0-9+/_=~-]{16,})",
-    re.A | re.I,
-)
+_SENSITIVE = re.compile(r"passw|passphrase|secret|token|key|auth|bearer|credential|private|signature", re.A | re.I)
+_PRIVATE_KEY = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z0-9 ]*-----")
+#: A whole string of 16 characters or more.
+_STRING = re.compile(r"(?<![A-Za-z0-9+/_=~-])[A-Za-z0-9+/_=~-]{16,}")
 
 #: Words that code and configuration use all the time; raw zstandard dictionary content.
 IDENTIFIERS = " ".join(
@@ -76,7 +77,10 @@ class Novelty:
         self.frame = zstandard.ZstdCompressor(level=level, dict_data=primed, write_content_size=False)
 
     def of(self, text: str, start: int, end: int, around: int = AROUND) -> float:
-        before, own, after = text[max(0, start - around) : start], text[start:end], text[end : end + around]
+        own = text[start:end]
+        reach = around + len(own) - 1  # copies that the edges cut go as well
+        before = text[max(0, start - reach) : start].replace(own, " ")[-around:]
+        after = text[end : end + reach].replace(own, " ")[:around]
         with_own = len(self.frame.compress((before + own + after).encode("utf-8", "replace")))
         without = len(self.frame.compress((before + after).encode("utf-8", "replace")))
         return (with_own - without) / len(own.encode("utf-8", "replace"))
@@ -91,20 +95,54 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def bodies_of(text: str) -> list[tuple[int, int]]:
+    """Ranges between the first and last line of private keys."""
+    if "PRIVATE KEY" not in text:
+        return []
+    ends = [(m.end(), text.find("-----END", m.end())) for m in _PRIVATE_KEY.finditer(text)]
+    return [(a, len(text) if b < 0 else b) for a, b in ends]
+
+
+def contexts_of(text: str, bodies: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Where candidates may begin, as ascending ranges that do not meet."""
+    ranges = list(bodies)
+    for m in _SENSITIVE.finditer(text):
+        begin = stop = m.end()
+        for _ in range(CONTEXT_LINES + 1):
+            stop = text.find("\n", stop, begin + CONTEXT) + 1
+            if not stop:
+                stop = begin + CONTEXT
+                break
+        ranges.append((begin, stop))
+    merged: list[tuple[int, int]] = []
+    for begin, stop in sorted(ranges):
+        if merged and begin <= merged[-1][1]:
+            begin, stop = merged[-1][0], max(merged.pop()[1], stop)
+        merged.append((begin, stop))
+    return merged
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty, least: float = MIN_NOVELTY):
     """(start, end, kind, novelty) of the incompressible strings in a sensitive context outside ``taken``."""
-    found, at = [], 0
-    while m := _SENSITIVE.search(text, at):
-        start, end = m.span(1)
-        at = m.start() + 1  # another sensitive word may stand between this one and its string
-        if any(s < end and start < e for s, e, _ in taken) or any(f[0] == start for f in found):
-            continue
-        own = m[1]  # a string in one case and without digits is a word or several
-        if sum(any(f(c) for c in own) for f in (str.islower, str.isupper, str.isdigit)) < 2:
-            continue
-        score = novelty.of(text, start, end)
-        if score >= least:
-            found.append((start, end, "novel", score))
+    found, bodies = [], bodies_of(text)
+    for at, stop in contexts_of(text, bodies):
+        # 15 characters more, so that a string that begins within the range is seen
+        while m := _STRING.search(text, at, min(len(text), stop + 15)):
+            start, end = _STRING.match(text, m.start()).span()
+            at = end
+            if any(s < end and start < e for s, e, _ in taken):
+                continue
+            own = text[start:end]  # a string in one case and without digits is a word or several
+            if sum(any(f(c) for c in own) for f in (str.islower, str.isupper, str.isdigit)) < 2:
+                continue
+            body = next(((a, b) for a, b in bodies if a <= start < b), None)
+            if body:  # the body's other lines are no surroundings: they would lend their letters' code
+                before = text[max(0, body[0] - AROUND) : body[0]]
+                score = novelty.of(before + own + text[body[1] : body[1] + AROUND], len(before), len(before) + len(own))
+            else:
+                score = novelty.of(text, start, end)
+            if score >= least:
+                found.append((start, end, "novel", score))
     return found
 
 
