@@ -24,16 +24,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the smallest id, and of rows that repeat it the smallest text."""
-    own = docs.select(_columns(docs))
-    keyed = own.withColumn("key", F.xxhash64("text"))
+    """One row of each near-duplicate group: that with the smallest id, of rows that share it the smallest text's hash.
+
+    Of rows that repeat both, the smallest by all columns stays.
+    """
+    columns = _columns(docs)
+    keyed = docs.select(columns).withColumn("key", F.xxhash64("text"))
     groups = simhash.near_duplicates(keyed, keep=("key",))
-    chosen = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(
-        F.min(F.struct("doc_id", "key")).alias("first")
-    )
-    kept = chosen.select(F.col("first.doc_id").alias("kept_id"), F.col("first.key").alias("kept_key"))
-    one = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("key").eqNullSafe(F.col("kept_key"))), "left_semi")
-    return one.drop("key")
+    counted = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id", "key").agg(F.count("*").alias("n"))
+    chosen = counted.groupBy("root").agg(F.min(F.struct("doc_id", "key", "n")).alias("first"))
+    kept = materialise(chosen.select(F.col("first.doc_id").alias("kept_id"), F.col("first.key").alias("kept_key"), F.col("first.n").alias("n")), "kept")
+
+    def of(part: DataFrame) -> DataFrame:
+        return keyed.join(part, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi")
+
+    repeated = of(kept.where("n > 1")).groupBy("doc_id", "key").agg(F.min(F.struct(*columns)).alias("row"))
+    return of(kept.where("n = 1")).select(columns).unionByName(repeated.select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,3 +39,13 @@ def test_run_and_odd_input(spark, tiny):
         docs = stage(spark, docs, tiny).cache()
         assert docs.columns == odd.columns, name
     assert {(r.doc_id, r.text) for r in docs.collect()} == {(1, None), (1, "a b c")}
+
+
+def test_near_copies_leave_one_row(spark, tiny):
+    """Also where a group's chosen row stands many times, or many times with other columns."""
+    text = "one two three four five six seven eight nine ten"
+    rows = [(7, text, "en", "b", 5)] * 20 + [(7, text, "en", "a", 5), (9, text, "en", "c", 5), (3, "quite another matter of words", "de", "d", 6)]
+    rows += [(None, None, None, None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, df, tiny).collect()]
+    assert sorted(got, key=str) == sorted([(3, "quite another matter of words", "de", "d", 6), (7, text, "en", "a", 5), (None,) * 5], key=str)
