@@ -20,6 +20,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,9 @@ GRID = 256
 BLOCK_TOKENS = 1 << 19
 CACHE_WORDS = 500_000
 
-#: Lower-case words that every Unicode version and normal form leaves as they are.
-_PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
+#: A lower-case word that every Unicode version and normal form leaves as it is, and marks that end it; the vocabulary
+#: splits between the two. An apostrophe may begin a suffix, so it is not among the marks.
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Controls that ``str.split`` takes for white space and the tokenizer does not.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 _STRINGS = re.compile(rf"(?:\S|[{_SEPARATORS}])+")
@@ -70,26 +72,35 @@ class TokenCache(dict):
         self.model, self.most = self.tokenizer.model, most
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self.plain: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def __missing__(self, string: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        low = string.lower() if string.isascii() else string
-        head, tail = (low[:-1], low[-1]) if low[-1] in ".," and len(low) > 1 else (low, "")
-        if _PLAIN.fullmatch(head):
-            ids = self.word(head) + (self.whole(tail) if tail else b"")
+        ascii_ = string.isascii()
+        parts = _PLAIN.fullmatch(string.lower() if ascii_ else string)
+        if parts:
+            word, marks = parts.groups()
+            ids = self.plain.get(word) or self.word(word, ascii_)
+            if marks:
+                ids += self.marks.get(marks) or self.marked(marks)
         else:
             ids = self.whole(string)
         self[string] = ids
         return ids
 
-    def word(self, word: str) -> bytes:
-        ids = self.plain.get(word)
-        if ids is None:
-            if len(self.plain) >= self.most:
-                self.plain.clear()
-            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            ids = self.plain[word] = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+    def word(self, word: str, ascii_: bool) -> bytes:
+        if len(self.plain) >= self.most:
+            self.plain.clear()
+        spelled = word if ascii_ else word.encode().decode("latin-1").translate(self.letters)
+        found = self.model.tokenize(spelled)
+        ids = self.plain[word] = pack_ids(f"<{len(found)}I", *[t.id for t in found])
+        return ids
+
+    def marked(self, marks: str) -> bytes:
+        if len(self.marks) >= self.most:
+            self.marks.clear()
+        ids = self.marks[marks] = self.whole(marks)
         return ids
 
     def whole(self, string: str) -> bytes:
@@ -109,9 +120,7 @@ def token_cache(path: str) -> TokenCache:
     return _CACHES[path]
 
 
-def cuts_of(
-    ends: np.ndarray, sentences: np.ndarray, total: int, window: int, final: bool, start_price: float = 0.0
-) -> list[int]:
+def cuts_of(ends: np.ndarray, sentences: np.ndarray, total: int, window: int, final: bool) -> list[int]:
     """The chosen cut positions, ascending, without 0. Not final: the last one leaves the rest for later."""
     price = np.full(total + 1, -1, np.int64)
     price[GRID::GRID] = CUT_PRICE
@@ -123,8 +132,7 @@ def cuts_of(
     at = np.flatnonzero(price >= 0)
     p, extra = at.tolist(), price[at].tolist()
     best, back = [0.0] * len(p), [0] * len(p)
-    best[0] = start_price
-    queue = deque([(best[0] + p[0], 0)])
+    queue = deque([(0.0, 0)])
     for j in range(1, len(p)):
         pj = p[j]
         while p[queue[0][1]] < pj - window:
