@@ -128,7 +128,7 @@ def test_redaction_keeps_rows_and_follows_lengths(spark):
     assert got == {1: ('a <secret>" b', 13), 2: (None, 7), 3: ("plain", 5)}
 
 
-def test_toxicity_learns_strings_and_leaves_copies_out():
+def test_toxicity_trains_dictionaries_and_leaves_copies_out():
     r = np.random.default_rng(8)
     words = ["".join(map(chr, r.integers(97, 123, r.integers(2, 9)))) for _ in range(400)]
     prose = lambda bad=(): " ".join([*(words[k] for k in r.integers(0, 400, 40)), *bad, *(words[k] for k in r.integers(0, 400, 20))])
@@ -137,8 +137,10 @@ def test_toxicity_learns_strings_and_leaves_copies_out():
     assert len(toxicity.without_copies([ordinary[0]] * 5 + ordinary[:1])) == 1
     model = toxicity.fit(toxic, ordinary)
     distance = toxicity.Distance(model.toxic, model.ordinary)
-    score = lambda t: model.score(distance.of(toxicity.windows_of(t)))
+    score = lambda t: model.score(distance.of(t))
     assert score(prose(("zonkish", "snorfles", "blarghing"))) > 0.7 > score(prose())
+    assert len(model.toxic) == len(model.ordinary) and b"zonkish" in model.toxic and b"zonkish" not in model.ordinary
+    assert model.score(distance.of("")) < 0.7 and distance["zonkish"] >= 3 > 0 >= distance[words[5]]
     assert toxicity.fit([], ordinary) is None
 
 
@@ -148,8 +150,22 @@ def test_toxicity_on_held_out_documents(spark):
     held = toxicity.toxicity(docs, labels).where("held_out").join(labels.where("toxic is not null"), "doc_id")
     rows = held.select("predicted", "toxic").collect()
     right = sum(r.toxic for r in rows if r.predicted)
-    assert right / max(1, sum(r.predicted for r in rows)) > 0.75
-    assert right / sum(r.toxic for r in rows) > 0.4
+    assert right / max(1, sum(r.predicted for r in rows)) > 0.9
+    assert right / sum(r.toxic for r in rows) > 0.7
+
+
+def test_toxicity_on_odd_rows(spark, odd):
+    """Repeated labels and ids count once; texts without windows get one score; a column ``score`` gives way."""
+    docs = spark.range(400).select(
+        "id", F.concat(F.lit("word and other "), F.when(F.col("id") % 2 == 0, "some zonkish blarghing text ").otherwise("plain quiet text "), F.hash("id")).alias("text")
+    ).withColumnRenamed("id", "doc_id")
+    docs = docs.unionByName(docs.where("doc_id < 40"))
+    marks = docs.select("doc_id", (1 - F.col("doc_id") % 2).alias("toxic"), F.lit(None).alias("quality"))
+    toxic, ordinary, odds = toxicity.labelled_sample(docs, marks, sample=50)
+    assert len(toxic) == len(ordinary) == 50 and len(set(toxic)) == 50 and 0.5 < odds < 2
+    assert toxicity.labelled_sample(docs.withColumn("text", F.repeat("text", 60_000)), marks)[:2] == ([], [])
+    found = toxicity.scored(odd, toxicity.Model(b" " * 8 + b" zonkish ", b" " * 17, (0.1,) * 5, (0.5,) + (1.0,) * 11)).collect()
+    assert len(found) == odd.count() and {r.score for r in found if not (r.text or "").strip()} == {found[0].score}
 
 
 def test_decontamination_blocks_agree_with_one(docs, spark, tiny):

@@ -1,16 +1,18 @@
-"""Toxicity by compression distance: which of two zstandard dictionaries shortens a text's windows more.
+"""Toxicity by compression distance: which of two trained zstandard dictionaries shortens a text's windows more.
 
-Both dictionaries are built from a bounded sample of labelled texts, near copies left out so that a copied text does
-not speak twice. They begin with the same frequent ordinary words. The toxic one goes on with the strings that set
-toxic texts apart (word beginnings and words, by the likelihood ratio of their document counts); the ordinary one
-with the same letters, each string's halves swapped, so that both have the same length and the same short pieces
-and only a whole toxic string makes a difference. A window's distance is its length under the ordinary dictionary
-less that under the toxic one.
+One dictionary is trained by zstandard's trainer on ordinary texts. The other one is trained on the stretches of
+toxic texts whose ``GRAM``-byte strings the ordinary texts hardly have: toxic prose is ordinary prose for the most
+part, and a dictionary trained on all of it would differ from the ordinary one by chance alone. Both have the same
+length. Near copies are left out of the sample, so that a copied text does not speak twice.
 
-A text's score is a logistic function of how many of its windows reach each threshold, in all and beyond what chance
-gives an ordinary text of its length; chance and weights are fitted on a part of the sample that chose no string.
+A window is a word, written ``REPEATS`` times, so that a frame pays for its sequences; its distance is its length under
+the ordinary dictionary less that under the toxic one, and each worker measures a word once while it holds it. A
+text's score is a logistic function of how many of its windows reach each threshold, in all and beyond what chance
+gives an ordinary text of its length; chance and weights are calibrated on a third of the sample that trained no
+dictionary.
 
-Narrow over the scored texts; the sample is at most ``sample`` texts of each class.
+Narrow over the scored texts; the sample has at most ``sample`` texts and ``SAMPLE_CHARS`` characters of each class, one
+text for each id.
 
 Defined results: null and empty texts get the score of a text without windows; repeated rows each get theirs; a null
 id is its empty text's checksum; without labelled texts of both classes every score is 0.
@@ -19,7 +21,6 @@ id is its empty text's checksum; without labelled texts of both classes every sc
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -33,25 +34,31 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import crc32_mod, table
 
 SAMPLE = 3000
-WINDOW = 24
-THRESHOLDS = (1, 2, 3, 5)
-COMMON_WORDS = 100
-STRINGS = 300
-RATIO = 25.0
+SAMPLE_CHARS = 24_000_000
+MOST_TEXT_CHARS = 1_000_000
+GRAM = 6
+RATIO = 4.0
+EVIDENCE = 25.0
+DICTIONARY_BYTES = 512
+SEGMENT = 16
+REPEATS = 4
+THRESHOLDS = (1, 2, 3, 4, 6)
 REJECT = 0.7
+CACHE_WORDS = 500_000
 LEVEL = dict(level=8, min_match=6, window_log=15, chain_log=13, hash_log=12)
 
 _EDGES = ".,;:!?|%$&*#\"'()[]"
+#: What stands between a trained dictionary's tables and its content: the three first repeat offsets.
+_OFFSETS = b"".join(k.to_bytes(4, "little") for k in (1, 4, 8))
 
 
-def strings_of(text: str) -> set[str]:
-    """The beginnings, of three to six letters, of a text's words, and the words, marked by spaces."""
-    out: set[str] = set()
-    for word in set(text.lower().split()):
-        word = word.strip(_EDGES)
-        out.add(f" {word} ")
-        out.update(f" {word[:k]}" for k in range(3, min(len(word), 6) + 1))
-    return out
+def spaced(word: str) -> bytes:
+    return f" {word.strip(_EDGES)} ".encode("utf-8", "replace")
+
+
+def windows_of(text: str) -> set[bytes]:
+    """The distinct words, lower-case and without marks at their edges, with a space on both sides."""
+    return {spaced(w) for w in text.lower().split()}
 
 
 def without_copies(sample: Iterable[str], least_hashes: int = 16) -> list[str]:
@@ -68,28 +75,70 @@ def without_copies(sample: Iterable[str], least_hashes: int = 16) -> list[str]:
     return out
 
 
-def likelihood_ratio(a: int, n: int, b: int, m: int) -> float:
+def grams_of(windows: Iterable[bytes]) -> np.ndarray:
+    """The distinct ``GRAM``-byte strings, as numbers."""
+    found = {w[i : i + GRAM] for w in windows for i in range(len(w) - GRAM + 1)}
+    return np.array(sorted(int.from_bytes(g, "big") for g in found), np.int64)
+
+
+def evidence(a: np.ndarray, n: int, b: np.ndarray, m: int) -> np.ndarray:
     """G statistic of a in n texts against b in m."""
 
-    def log_likelihood(k: int, of: int, p: float) -> float:
-        return (k * math.log(p) if k else 0.0) + ((of - k) * math.log1p(-p) if of > k else 0.0)
+    def log_likelihood(k: np.ndarray, of: int, p: np.ndarray) -> np.ndarray:
+        return np.where(k > 0, k * np.log(np.maximum(p, 1e-12)), 0) + np.where(k < of, (of - k) * np.log1p(-np.minimum(p, 1 - 1e-12)), 0)
 
+    a, b = a.astype(float), b.astype(float)
     p = (a + b) / (n + m)
-    return 2 * (
-        log_likelihood(a, n, a / n) + log_likelihood(b, m, b / m) - log_likelihood(a, n, p) - log_likelihood(b, m, p)
-    )
+    return 2 * (log_likelihood(a, n, a / n) + log_likelihood(b, m, b / m) - log_likelihood(a, n, p) - log_likelihood(b, m, p))
 
 
-def windows_of(text: str, width: int = WINDOW) -> list[bytes]:
-    words = text.lower().split()
-    return [(" " + " ".join(words[i : i + width]) + " ").encode("utf-8", "replace") for i in range(0, len(words), width)]
+def apart(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> set[bytes]:
+    """``GRAM``-byte strings that toxic texts have ``RATIO`` times as often as ordinary ones, beyond chance."""
+    counts = lambda texts: np.unique(np.concatenate([grams_of(t) for t in texts]), return_counts=True)
+    (own, a), (other, b) = counts(toxic), counts(ordinary)
+    at = np.minimum(np.searchsorted(other, own), max(0, len(other) - 1))
+    met = np.where(other[at] == own, b[at], 0) if len(other) else np.zeros(len(own), np.int64)
+    n, m = len(toxic), len(ordinary)
+    found = own[(a * m >= RATIO * n * met) & (evidence(a, n, met, m) >= EVIDENCE)]
+    return {int(g).to_bytes(GRAM, "big") for g in found}
+
+
+def stretches(windows: set[bytes], grams: set[bytes]) -> bytes:
+    """The parts of the windows that the given strings cover, one after another."""
+    out = []
+    for w in sorted(windows):
+        covered = -1
+        for i in range(len(w) - GRAM + 1):
+            if w[i : i + GRAM] in grams:
+                out.append(w[max(i, covered) : i + GRAM])
+                covered = i + GRAM
+    return b"".join(out)
+
 
+def trained(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
+    """Content of at most ``size`` bytes that zstandard's trainer chooses; empty where the samples are too few for it."""
+    try:
+        # the trainer does not count a sample's last bytes; 1,024 are room for its tables
+        whole = zstandard.train_dictionary(size + 1024, [s + b" " * 8 for s in samples if s], k=SEGMENT, d=GRAM, f=20, accel=1).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b""
+    return whole[whole.index(_OFFSETS) + len(_OFFSETS) :][-size:]
 
-class Distance:
-    """Length of a window under the ordinary dictionary less its length under the toxic one."""
+
+def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+    """Contents of equal length, trained on texts of either class."""
+    ours, theirs = [windows_of(t) for t in toxic], [windows_of(t) for t in ordinary]
+    grams = apart(ours, theirs)
+    contents = trained([stretches(w, grams) for w in ours]), trained([b"".join(sorted(w)) for w in theirs])
+    width = 8 + max(map(len, contents))  # a dictionary of fewer bytes than 8 is refused
+    return contents[0].rjust(width), contents[1].rjust(width)
+
+
+class Distance(dict):
+    """Of each word as it stands in a text: its window's length under the ordinary dictionary less that under the toxic one."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
-        self.frames = [self._frame(toxic), self._frame(ordinary)]
+        self.toxic, self.ordinary = (self._frame(x).compress for x in (toxic, ordinary))
 
     @staticmethod
     def _frame(content: bytes) -> zstandard.ZstdCompressor:
@@ -106,9 +155,16 @@ class Distance:
         primed.precompute_compress(compression_params=params)
         return zstandard.ZstdCompressor(dict_data=primed, compression_params=params)
 
-    def of(self, windows: list[bytes]) -> np.ndarray:
-        toxic, ordinary = (f.compress for f in self.frames)
-        return np.array([len(ordinary(w)) - len(toxic(w)) for w in windows], np.int64)
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        window = spaced(word) * REPEATS
+        self[word] = d = len(self.ordinary(window)) - len(self.toxic(window))
+        return d
+
+    def of(self, text: str) -> np.ndarray:
+        words = text.lower().split()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 @dataclass(frozen=True)
@@ -133,29 +189,6 @@ class Model:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def dictionaries(toxic: list[str], ordinary: list[str], ratio: float = RATIO) -> tuple[bytes, bytes]:
-    """Raw dictionary contents of equal length from texts of either class."""
-    a, b = Counter(), Counter()
-    for count, sample in ((a, toxic), (b, ordinary)):
-        for text in sample:
-            count.update(strings_of(text))
-    n, m = len(toxic), len(ordinary)
-    apart = {
-        s: likelihood_ratio(k, n, b[s], m) for s, k in a.items() if k >= 5 and k * m > 4 * b[s] * n
-    }
-    chosen: list[str] = []
-    for s in sorted((s for s, g in apart.items() if g >= ratio), key=lambda s: (-round(apart[s], 6), -len(s), s)):
-        # what a chosen string begins already needs no longer form, whose ending ordinary words may share
-        if len(chosen) < STRINGS and not any(s in x or (len(x.encode()) >= LEVEL["min_match"] and s.startswith(x)) for x in chosen):
-            chosen.append(s)
-    frequent = [w for w, _ in sorted(b.items(), key=lambda x: (-x[1], x[0])) if w.endswith(" ")][:COMMON_WORDS]
-    # what stands last has the shortest offsets
-    common, chosen = "".join(frequent[::-1]), chosen[::-1]
-    swapped = [s[len(s) // 2 :] + s[: len(s) // 2] for s in chosen]
-    fill = " " * 8  # a dictionary of fewer bytes is refused
-    return (fill + common + "".join(chosen)).encode(), (fill + common + "".join(swapped)).encode()
-
-
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.5) -> np.ndarray:
     """Newton steps of a lightly penalised logistic regression; x has a column of ones."""
     w = np.zeros(x.shape[1])
@@ -170,7 +203,7 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.5) -> np.ndarray:
 
 
 def fit(toxic: list[str], ordinary: list[str], odds: float | None = None) -> Model | None:
-    """None without texts of both classes. Every third text calibrates, the others give the strings.
+    """None without texts of both classes. Every third text calibrates, the others train the dictionaries.
 
     ``odds``: toxic to ordinary among all labelled rows, where the sample has another ratio.
     """
@@ -180,7 +213,7 @@ def fit(toxic: list[str], ordinary: list[str], odds: float | None = None) -> Mod
     make = lambda x: [t for i, t in enumerate(x) if i % 3]
     content = dictionaries(make(toxic), make(ordinary))
     distance = Distance(*content)
-    held = [(distance.of(windows_of(t)), y) for x, y in ((toxic[::3], 1), (ordinary[::3], 0)) for t in x]
+    held = [(distance.of(t), y) for x, y in ((toxic[::3], 1), (ordinary[::3], 0)) for t in x]
     y = np.array([y for _, y in held], float)
     plain = np.concatenate([d for d, label in held if not label])
     chance = tuple(float((1 + (plain >= t).sum()) / (1 + len(plain))) for t in THRESHOLDS)
@@ -194,24 +227,33 @@ def fit(toxic: list[str], ordinary: list[str], odds: float | None = None) -> Mod
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[str], float]:
     """At most ``sample`` texts of each class, the first by a hash of their id, and the classes' odds in all labels.
 
-    Rows that are held out never take part.
+    Rows that are held out never take part. Of rows that share an id the smallest text counts; texts longer than
+    ``MOST_TEXT_CHARS`` are not learned from, and a class ends at ``SAMPLE_CHARS``.
     """
     marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc32_mod("doc_id", 3) != 1))
     order = (F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id"))
-    of_class = lambda y: marked.where(F.col("toxic") == y).select("doc_id", "toxic").distinct().orderBy(*order).limit(sample)
-    chosen = F.broadcast(of_class(1).unionByName(of_class(0)))  # at most twice ``sample`` ids
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(chosen, "doc_id").select("doc_id", "text", "toxic")
     n = marked.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
-    found = sorted(rows.toLocalIterator(), key=lambda r: (xxhash.xxh64_intdigest(str(r.doc_id)), r.text))
-    of = lambda y: [r.text for r in found if r.toxic == y][:sample]
-    return of(1), of(0), (n[0] + 0.5) / (n[1] + 0.5)
+
+    def of_class(y: int) -> list[str]:
+        ids = F.broadcast(marked.where(F.col("toxic") == y).select("doc_id").distinct().orderBy(*order).limit(sample))  # at most ``sample`` ids
+        rows = docs.select("doc_id", "text").where(F.char_length("text") <= MOST_TEXT_CHARS).join(ids, "doc_id")
+        out, left = [], SAMPLE_CHARS
+        for row in rows.groupBy("doc_id").agg(F.min("text").alias("text")).orderBy(*order).toLocalIterator():
+            left -= len(row.text)
+            if left < 0:
+                break
+            out.append(row.text)
+        return out
+
+    return of_class(1), of_class(0), (n[0] + 0.5) / (n[1] + 0.5)
 
 
-def scored(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The same rows and columns with ``score``, from 0 to 1."""
+def scored(docs: DataFrame, model: Model | None, name: str = "score") -> DataFrame:
+    """The same rows and columns with the score, from 0 to 1, as ``name``; a column of that name gives way."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    out = docs.limit(0).withColumn("score", F.lit(0.0)).schema
+    docs = docs.drop(name)
+    out = docs.limit(0).withColumn(name, F.lit(0.0)).schema
     schema, text_at = to_arrow_schema(out), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,8 +261,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                own = part.column(text_at).to_pylist()
-                found = [model.score(distance.of(windows_of(t or ""))) if model else 0.0 for t in own]
+                found = [model.score(distance.of(t or "")) if model else 0.0 for t in part.column(text_at).to_pylist()]
                 columns = [c.cast(f.type) for c, f in zip(part.columns, schema, strict=False)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.float64())], schema=schema)
 
