@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages; each one works on all that the one before it kept.
 
 ``run`` applies them to ``documents``; a cluster writes each stage's rows as Parquet and reads them for the next.
-All stages but the last return the columns of ``documents``.
+All stages but the last return all columns of their input.
 """
 
 from __future__ import annotations
@@ -13,14 +13,10 @@ from tidemark.llm import decontaminate, packing, secrets, simhash, toxicity
 from tidemark.llm.common import materialise, table
 
 
-def _columns(docs: DataFrame) -> list[str]:
-    return [c for c in ("doc_id", "text", "lang", "source", "n_chars") if c in docs.columns]
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score below the rejecting one. The dictionaries are learned from all of ``documents``."""
+    """Documents with a toxicity score below the rejecting one. The dictionaries are trained on all of ``documents``."""
     model = toxicity.fit(*toxicity.labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
-    return toxicity.scored(docs.select(_columns(docs)), model).where(F.col("score") < toxicity.REJECT).drop("score")
+    return toxicity.scored(docs, model, "_toxicity").where(F.col("_toxicity") < toxicity.REJECT).drop("_toxicity")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,29 +24,30 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Of rows that repeat both, the smallest by all columns stays.
     """
-    columns = _columns(docs)
-    keyed = docs.select(columns).withColumn("key", F.xxhash64("text"))
-    groups = simhash.near_duplicates(keyed, keep=("key",))
-    counted = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id", "key").agg(F.count("*").alias("n"))
-    chosen = counted.groupBy("root").agg(F.min(F.struct("doc_id", "key", "n")).alias("first"))
-    kept = materialise(chosen.select(F.col("first.doc_id").alias("kept_id"), F.col("first.key").alias("kept_key"), F.col("first.n").alias("n")), "kept")
+    columns = docs.columns
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    groups = simhash.near_duplicates(keyed, keep=("_key",))
+    counted = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id", "_key").agg(F.count("*").alias("n"))
+    chosen = counted.groupBy("root").agg(F.min(F.struct("doc_id", "_key", "n")).alias("first"))
+    kept = materialise(
+        chosen.select(F.col("first.doc_id").alias("_kept_id"), F.col("first._key").alias("_kept_key"), F.col("first.n").alias("_n")), "kept"
+    )
 
     def of(part: DataFrame) -> DataFrame:
-        return keyed.join(part, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi")
+        return keyed.join(part, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_key") == F.col("_kept_key")), "left_semi")
 
-    repeated = of(kept.where("n > 1")).groupBy("doc_id", "key").agg(F.min(F.struct(*columns)).alias("row"))
-    return of(kept.where("n = 1")).select(columns).unionByName(repeated.select("row.*"))
+    repeated = of(kept.where("_n > 1")).groupBy("doc_id", "_key").agg(F.min(F.struct(*columns)).alias("_row"))
+    return of(kept.where("_n = 1")).select(columns).unionByName(repeated.select("_row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word of a benchmark window."""
-    own = docs.select(_columns(docs))
-    return decontaminate.clean(own, table(spark, sf_dir, "benchmark"))
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with a mark in the place of each secret."""
-    return secrets.redact(docs.select(_columns(docs)))
+    return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
