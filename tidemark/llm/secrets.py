@@ -14,6 +14,7 @@ Defined results: null and empty texts have no findings; repeated rows each get t
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,6 +37,10 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _SENSITIVE = re.compile(r"passw|passphrase|secret|token|key|auth|bearer|credential|private|signature", re.A | re.I)
 _PRIVATE_KEY = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z0-9 ]*-----")
+#: Lower-case letters alone: a rare compound word costs a frame as much as chance letters do, so none is a candidate.
+_WORDS = re.compile(r"[a-z+/_=~-]+")
+#: A string of 16 characters or more with a digit.
+_CODED = re.compile(r"(?<![A-Za-z0-9+/_=~-])(?=[A-Za-z+/_=~-]*[0-9])[A-Za-z0-9+/_=~-]{16,}")
 #: A whole string of 16 characters or more.
 _STRING = re.compile(r"(?<![A-Za-z0-9+/_=~-])[A-Za-z0-9+/_=~-]{16,}")
 
@@ -79,8 +84,9 @@ class Novelty:
     def of(self, text: str, start: int, end: int, around: int = AROUND) -> float:
         own = text[start:end]
         reach = around + len(own) - 1  # copies that the edges cut go as well
-        before = text[max(0, start - reach) : start].replace(own, " ")[-around:]
-        after = text[end : end + reach].replace(own, " ")[:around]
+        # nor do other strings with digits explain this one: a list of keys would lend each its letters' code
+        before = _CODED.sub(" ", text[max(0, start - reach) : start].replace(own, " ")[-around:])
+        after = _CODED.sub(" ", text[end : end + reach].replace(own, " ")[:around])
         with_own = len(self.frame.compress((before + own + after).encode("utf-8", "replace")))
         without = len(self.frame.compress((before + after).encode("utf-8", "replace")))
         return (with_own - without) / len(own.encode("utf-8", "replace"))
@@ -103,6 +109,16 @@ def bodies_of(text: str) -> list[tuple[int, int]]:
     return [(a, len(text) if b < 0 else b) for a, b in ends]
 
 
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ascending ranges that do not meet, with the same union."""
+    out: list[tuple[int, int]] = []
+    for begin, stop in sorted(ranges):
+        if out and begin <= out[-1][1]:
+            begin, stop = out[-1][0], max(out.pop()[1], stop)
+        out.append((begin, stop))
+    return out
+
+
 def contexts_of(text: str, bodies: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Where candidates may begin, as ascending ranges that do not meet."""
     ranges = list(bodies)
@@ -114,28 +130,29 @@ def contexts_of(text: str, bodies: list[tuple[int, int]]) -> list[tuple[int, int
                 stop = begin + CONTEXT
                 break
         ranges.append((begin, stop))
-    merged: list[tuple[int, int]] = []
-    for begin, stop in sorted(ranges):
-        if merged and begin <= merged[-1][1]:
-            begin, stop = merged[-1][0], max(merged.pop()[1], stop)
-        merged.append((begin, stop))
-    return merged
+    return merged(ranges)
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty, least: float = MIN_NOVELTY):
     """(start, end, kind, novelty) of the incompressible strings in a sensitive context outside ``taken``."""
     found, bodies = [], bodies_of(text)
-    for at, stop in contexts_of(text, bodies):
+    if not (contexts := contexts_of(text, bodies)):
+        return found
+    held = merged([(s, e) for s, e, _ in taken])
+    held_ends, body_ends = [e for _, e in held], [b for _, b in bodies]
+    for at, stop in contexts:
         # 15 characters more, so that a string that begins within the range is seen
         while m := _STRING.search(text, at, min(len(text), stop + 15)):
             start, end = _STRING.match(text, m.start()).span()
             at = end
-            if any(s < end and start < e for s, e, _ in taken):
+            k = bisect_right(held_ends, start)
+            if k < len(held) and held[k][0] < end:
                 continue
-            own = text[start:end]  # a string in one case and without digits is a word or several
-            if sum(any(f(c) for c in own) for f in (str.islower, str.isupper, str.isdigit)) < 2:
+            own = text[start:end]
+            if _WORDS.fullmatch(own):
                 continue
-            body = next(((a, b) for a, b in bodies if a <= start < b), None)
+            k = bisect_right(body_ends, start)
+            body = bodies[k] if k < len(bodies) and bodies[k][0] <= start else None
             if body:  # the body's other lines are no surroundings: they would lend their letters' code
                 before = text[max(0, body[0] - AROUND) : body[0]]
                 score = novelty.of(before + own + text[body[1] : body[1] + AROUND], len(before), len(before) + len(own))
