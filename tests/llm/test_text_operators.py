@@ -230,10 +230,11 @@ def test_passages_within_one_text_and_across(spark):
 
 def test_run_length_index_against_brute_force():
     r = np.random.default_rng(1)
-    for _ in range(25):
+    for turn in range(30):
         strings = [bytes(r.choice(np.frombuffer(b"ab\x00\xff", np.uint8), r.integers(0, 40))) for _ in range(r.integers(1, 6))]
+        if turn % 3 == 0:  # long and equal stretches
+            strings = [s * int(r.integers(1, 9)) for s in strings[:2]] + strings[:2]
         index = RunLengthIndex(strings)
-        assert index.run_lengths.sum() == len(index.order)
         places = [(i, a) for i, s in enumerate(strings) for a in range(len(s))]
         for i, a in places:
             best = 0
@@ -242,6 +243,13 @@ def test_run_length_index_against_brute_force():
                     s, t = strings[i][a:], strings[j][b:]
                     best = max(best, next((k for k in range(min(len(s), len(t))) if s[k] != t[k]), min(len(s), len(t))))
             assert index.longest[index.begins[i] + a] == best
+        # a step leads to the suffix one symbol longer, and the runs say which symbol that is
+        rows = np.arange(len(index.order))
+        longer = index.order[index.lf(rows)]
+        inside = index.order > 0
+        own = ~np.isin(index.order, index.begins)
+        assert (longer[inside & own] == index.order[inside & own] - 1).all()
+        assert (index.run_symbols[index.run_of][inside & own] == index.symbols[longer[inside & own]]).all()
 
 
 def test_licenses(spark):

@@ -16,7 +16,6 @@ not, are copies of each other; texts under ``SPAN`` bytes keep all; an empty tab
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -297,7 +296,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, block_bytes: int = BLOCK_B
     wanted = (
         judged.where("wanted")
         .groupBy("doc_id", "key")
-        .agg(F.collect_list(F.struct("anchor", "start", "end", "settled")).alias("wanted"))
+        .agg(F.collect_set(F.struct("anchor", "start", "end", "settled")).alias("wanted"))
     )
     cut = f"anchor long, doc_id {id_type}, key long, start int, settled boolean, data binary"
     marks = f"doc_id {id_type}, key long, start int, end int, anchor long, hash long"
@@ -335,7 +334,7 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
     spans = (
         repeated_spans(docs, **options)
         .groupBy("doc_id", "key")
-        .agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+        .agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # those of repeated rows once
     )
     ddl = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, removed array<struct<start:int,end:int>>, kept binary"
     return joined(keyed(docs), spans, "left").select("doc_id", "text", "spans").mapInArrow(_remove(ddl), ddl)
@@ -351,9 +350,5 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def sha256_of(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(without_repeats(table(spark, sf_dir, "documents")))
