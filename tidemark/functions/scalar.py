@@ -61,7 +61,7 @@ def season(branch: Column) -> Column:
 RARITIES = ("common", "uncommon", "rare", "epic", "legendary", "mythic")
 #: Marks in an item's name and the rarity they stand for; the first that occurs counts (fixed values).
 RARITY_MARKS = (("_mythic", "mythic"), ("_sr_", "legendary"), ("_vr_", "epic"), ("_r_", "rare"), ("_uc_", "uncommon"), ("_c_", "common"))
-#: Words in an item's name and its category; the first that occurs counts (fixed values).
+#: Words in an item's name and its category; the first that occurs counts, after ^ at the beginning only (fixed values).
 CATEGORIES = (
     ("ammo", "ammo"),
     ("wooditemdata", "materials"), ("stoneitemdata", "materials"), ("metalitemdata", "materials"),
@@ -70,7 +70,7 @@ CATEGORIES = (
     ("pepper", "heal/shield"), ("mushroom", "heal/shield"), ("consumable", "heal/shield"), ("heal", "heal/shield"),
     ("pickaxe", "pickaxe"), ("harvest", "pickaxe"),
     ("buildingitemdata", "build tool"), ("edittool", "build tool"), ("buildingtool", "build tool"),
-    ("wid_", "weapon"), ("shotgun", "weapon"), ("assault", "weapon"), ("smg", "weapon"), ("pistol", "weapon"),
+    ("^wid_", "weapon"), ("shotgun", "weapon"), ("assault", "weapon"), ("smg", "weapon"), ("pistol", "weapon"),
     ("sniper", "weapon"), ("rifle", "weapon"), ("launcher", "weapon"),
 )
 #: Words in a weapon's name and its class; the first that occurs counts (fixed values).
@@ -86,7 +86,7 @@ WEAPON_ID_PARTS = ("WID", "Athena", "Ore", "ORE", "C", "UC", "R", "VR", "SR", "U
 def first_word(text: Column, table: Sequence[tuple[str, str]], otherwise: str | None = None) -> Column:
     low, out = F.lower(text), F.lit(otherwise).cast("string")
     for word, label in reversed(table):
-        out = F.when(low.contains(word), label).otherwise(out)
+        out = F.when(low.startswith(word[1:]) if word.startswith("^") else low.contains(word), label).otherwise(out)
     return out
 
 

@@ -282,8 +282,12 @@ def circular_permutation(df: DataFrame, group: Sequence[str], side: str, degrees
 
 def folds(df: DataFrame, unit: str, k: int, seed: int = 0) -> DataFrame:
     """``fold`` from 0 for each unit, all of a unit's rows in one fold; sizes differ by one at most."""
-    units = df.select(unit).distinct()
-    dealt = units.withColumn("fold", (F.row_number().over(Window.orderBy(F.xxhash64(unit, F.lit(seed)), unit)) - 1) % k)
+    # places in hash order: within one of 1,024 hash buckets, plus what the buckets before it hold
+    units = df.select(unit).distinct().withColumn("_h", F.xxhash64(unit, F.lit(seed))).withColumn("_b", F.shiftrightunsigned("_h", 54))
+    sizes = units.groupBy("_b").count()  # at most 1,024 rows
+    before = sizes.select("_b", F.coalesce(F.sum("count").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_b").orderBy("_h", unit)) - 1 + F.col("_before")
+    dealt = units.join(F.broadcast(before), "_b").select(unit, (place % k).cast("int").alias("fold"))
     return df.join(dealt, unit)
 
 

@@ -44,11 +44,10 @@ def asof_join(
         *key, F.col(right_time).cast("double").alias("_t"), F.lit(0 if back else 1).alias("_side"), known.alias("_right")
     )
     both = probes.unionByName(facts, allowMissingColumns=True)
-    by = Window.partitionBy(*(f"_k{i}" for i in range(len(keys)))).orderBy("_t", "_side", "_right")
-    if back:
-        found = F.last("_right", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        found = F.first("_right", ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))
+    # a frame that only grows: forward, the rows go from the latest to the earliest
+    order = [F.asc(c) if back else F.desc(c) for c in ("_t", "_side", "_right")]
+    by = Window.partitionBy(*(f"_k{i}" for i in range(len(keys)))).orderBy(*order)
+    found = F.last("_right", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
     hit = both.withColumn("_found", found).where(F.col("_left").isNotNull())
     ok = F.col("_t").isNotNull() & F.col("_found").isNotNull()
     if tolerance is not None:
@@ -66,12 +65,15 @@ def fresh(joined: DataFrame, limit: float, time: str = "t", matched: str = "t_ma
 
 
 def running_totals(
-    left: DataFrame, facts: DataFrame, keys: Sequence[str], sums: dict[str, Column], time: str = "t"
+    left: DataFrame, facts: DataFrame, keys: Sequence[str], sums: dict[str, Column], time: str = "t", inclusive: bool = True
 ) -> DataFrame:
-    """Left rows with the running totals of their keys' facts up to and including their time: two of them make any interval's sum."""
+    """Left rows with the running totals of their keys' facts up to their time, and at it: two of them make any interval's sum.
+
+    Not ``inclusive``: facts at the time itself do not count.
+    """
     by = Window.partitionBy(*(f"_k{i}" for i in range(len(keys)))).orderBy("_t", "_side")
     key = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
-    probes = left.select(*key, F.col(time).cast("double").alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"))
+    probes = left.select(*key, F.col(time).cast("double").alias("_t"), F.lit(1 if inclusive else -1).alias("_side"), F.struct(*left.columns).alias("_left"))
     rows = facts.select(
         *key, F.col(time).cast("double").alias("_t"), F.lit(0).alias("_side"), *(c.cast("double").alias(f"_s_{n}") for n, c in sums.items())
     )

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.asof import running_totals
+
 
 def interval_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], before: float, after: float, time: str = "t", right_time: str = "r_t", how: str = "inner"
@@ -21,12 +23,15 @@ def interval_join(
     )
     near = (F.col(right_time) >= F.col(time) - before) & (F.col(right_time) <= F.col(time) + after)
     if how in ("left_semi", "left_anti"):
-        # the keys' groups are one player's rows of one match, so the keys alone bound the pairs
-        r = right.select(*(F.col(k).alias(f"_r_{k}") for k in keys), F.col(right_time).alias(right_time))
-        same = near
+        # whether the keys' running number of facts grows over the interval: one pass, no pairs
+        counted = right.select(*keys, F.col(right_time).cast("double").alias("_at"))
+        probe = left.withColumns({"_low": F.col(time).cast("double") - before, "_at": F.col(time).cast("double") + after})
+        upto = running_totals(probe, counted, keys, {"_n1": F.lit(1.0)}, time="_at")
+        since = running_totals(upto.withColumn("_at", F.col("_low")), counted, keys, {"_n0": F.lit(1.0)}, time="_at", inclusive=False)
+        met = F.coalesce(F.col("_n1") > F.col("_n0"), F.lit(False)) & F.col(time).isNotNull()
         for k in keys:
-            same = same & (F.col(k) == F.col(f"_r_{k}"))
-        return left.join(r, same, how)
+            met = met & F.col(k).isNotNull()
+        return since.where(met if how == "left_semi" else ~met).select(*left.columns)
     a = left.withColumn("_bin", F.explode_outer(bins))
     b = right.withColumn("_bin", F.floor(F.col(right_time) / width))
     return a.join(b, [*keys, "_bin"]).where(near).drop("_bin")
@@ -35,13 +40,17 @@ def interval_join(
 def window_sums(
     left: DataFrame, right: DataFrame, keys: Sequence[str], spans: dict[str, tuple[Column, Column]], value: str, ident: Sequence[str], right_time: str = "r_t"
 ) -> DataFrame:
-    """For each left row (told apart by ``ident``) the sum of ``value`` over each named span (after, up to], zero without any."""
-    low = F.least(*(s[0] for s in spans.values()), F.lit(float("inf")))
-    high = F.greatest(*(s[1] for s in spans.values()), F.lit(float("-inf")))
-    met = left.join(right, list(keys)).where((F.col(right_time) > low) & (F.col(right_time) <= high))
-    sums = met.groupBy(*ident).agg(
-        *(F.sum(F.when((F.col(right_time) > a) & (F.col(right_time) <= b), F.col(value))).alias(n) for n, (a, b) in spans.items())
-    )
+    """For each left row (told apart by ``ident``) the sum of ``value`` over each named span (after, up to], zero without any.
+
+    A span's sum is the difference of two running totals; all ends of all spans go through one window over the keys.
+    """
+    ends = [F.struct(F.lit(f"{n}-{k}").alias("end"), at.cast("double").alias("_at")) for n, span in spans.items() for k, at in enumerate(span)]
+    probes = left.select(*dict.fromkeys((*keys, *ident)), F.explode(F.array(*ends)).alias("_e")).select("*", "_e.*").drop("_e")
+    totals = running_totals(probes, right.select(*keys, F.col(right_time).alias("_at"), value), keys, {"_sum": F.col(value)}, time="_at")
+    at_end = lambda n, k: F.max(F.when(F.col("end") == f"{n}-{k}", F.col("_sum")))
+    known = lambda n: F.count(F.when(F.col("end").startswith(f"{n}-") & F.col("_at").isNotNull(), 1)) == 2
+    later = lambda n: F.max(F.when(F.col("end") == f"{n}-1", F.col("_at"))) > F.max(F.when(F.col("end") == f"{n}-0", F.col("_at")))
+    sums = totals.groupBy(*ident).agg(*(F.when(known(n) & later(n), at_end(n, 1) - at_end(n, 0)).alias(n) for n in spans))
     return left.join(sums, list(ident), "left").fillna(0.0, subset=list(spans))
 
 

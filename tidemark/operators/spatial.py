@@ -41,21 +41,28 @@ def neighbour_counts(points: DataFrame, group: Sequence[str], ident: str, radii_
     return points.join(found, [*group, ident], "left").fillna(0, subset=[f"near_{int(r)}" for r in radii_m])
 
 
-def nearest_place(points: DataFrame, places: DataFrame, limit_m: float, otherwise: str = "Unnamed area", most_places: int = 10_000) -> DataFrame:
+def nearest_place(points: DataFrame, places: DataFrame, limit_m: float, otherwise: str = "Unnamed area") -> DataFrame:
     """Each point with the nearest place's name and distance within the limit; ties go to the smaller name.
 
-    The places go to every task; more than ``most_places`` are refused rather than broadcast.
+    Each place goes to its own grid cell, as wide as the limit, and the eight around it; a point looks up its cell's.
     """
-    if places.limit(most_places + 1).count() > most_places:
-        raise ValueError("too many places to broadcast")
-    held = places.where("x is not null and y is not null").agg(
-        F.collect_list(F.struct(F.col("name"), F.col("x").alias("px"), F.col("y").alias("py"))).alias("_places")
+    cell = limit_m * CM
+    at = lambda x, i: F.floor(F.col(x) / cell) + i
+    around = F.explode(F.array(*(F.struct(at("x", i).alias("cx"), at("y", j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    held = (
+        places.where("x is not null and y is not null")
+        .select(around.alias("_cell"), F.struct(F.col("name"), F.col("x").alias("px"), F.col("y").alias("py")).alias("_p"))
+        .groupBy("_cell")
+        .agg(F.collect_list("_p").alias("_places"))
+        .select(F.col("_cell.cx").alias("_cx"), F.col("_cell.cy").alias("_cy"), "_places")
     )
+
     def d(p: Column) -> Column:
         return F.sqrt((F.col("x") - p["px"]) ** 2 + (F.col("y") - p["py"]) ** 2) / CM
 
     best = F.array_min(F.transform("_places", lambda p: F.struct(d(p).alias("m"), p["name"].alias("name"))))
-    out = points.crossJoin(F.broadcast(held)).withColumn("_best", best).drop("_places")
+    met = (F.col("_cx") == at("x", 0)) & (F.col("_cy") == at("y", 0))
+    out = points.join(held, met, "left").withColumn("_best", best)
     near = F.col("_best.m") <= limit_m
     return out.select(
         *points.columns,

@@ -279,7 +279,7 @@ def surge_rule(t: Tables, tie: float = 0.02) -> tuple[DataFrame, DataFrame]:
     return mean, best.withColumn("rank", R.percent_rank_min("score", ["match_id", "episode"]))
 
 
-def team_zones(t: Tables, least_wait_s: float = 20.0, far_m: float = 50.0, look_m: float = 100.0) -> DataFrame:
+def team_zones(t: Tables, least_wait_s: float = 20.0, far_m: float = 50.0, look_m: float = 150.0) -> DataFrame:
     """D-11: teams well outside a circle that waits: how they approached, who watched their way in, what it cost."""
     by = Window.partitionBy("match_id").orderBy("phase")
     first = t.matches.select("match_id", "safe_zones_start_t") if "safe_zones_start_t" in t.matches.columns else t.matches.select("match_id", F.lit(None).cast("double").alias("safe_zones_start_t"))
@@ -318,7 +318,7 @@ def team_zones(t: Tables, least_wait_s: float = 20.0, far_m: float = 50.0, look_
         {
             "surge_half": F.when(F.col("net_prev") <= half, "Bottom half").otherwise("Top half"), "surged": F.col("surge_hits") > 0,
             "out": F.coalesce(F.col("last_death") <= F.col("finish_shrink_t"), F.lit(False)),
-            "approach": F.when(F.col("dist_mid_m") <= 0, "rotated").when(closed <= 0.1, "stayed").otherwise("between"),
+            "approach": F.when((F.col("dist_mid_m") <= 0) | (closed >= 0.5), "rotated").when(closed < 0.2, "stayed").otherwise("between"),
         }
     ).withColumn("safe_alive", ~F.col("surged") & ~F.col("out")).where(F.col("dist_m") >= far_m)
 
@@ -406,7 +406,8 @@ def snapshots(t: Tables, step_s: float = 10.0, scheme: DataFrame | None = None,
     g = P.scored(g.withColumn("_to_come", F.greatest(F.col("_all") - F.col("kills"), F.lit(0.0))), scheme, "placement", "_to_come").withColumnRenamed("points", "future_pts").drop("_all", "_to_come")
     skill = L.humans(t.players).groupBy(*team).agg(A.geometric_mean(F.col("pr_rank")).alias("skill"))
     lobby = L.humans(t.players).groupBy("match_id").agg(F.median(F.coalesce("pr_rank", F.lit(100_000.0))).alias("lobby_skill"))
-    return g.join(skill, team, "left").join(lobby, "match_id", "left").withColumn("hp", F.coalesce("hp", F.lit(100.0)))
+    usual = g.agg(F.median("hp").alias("_usual"))  # of unknown health nothing better is known
+    return g.crossJoin(F.broadcast(usual)).withColumn("hp", F.coalesce("hp", "_usual", F.lit(100.0))).drop("_usual").join(skill, team, "left").join(lobby, "match_id", "left")
 
 
 def damage_causes(t: Tables, before_s: float = 10.0) -> tuple[DataFrame, DataFrame]:

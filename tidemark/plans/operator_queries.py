@@ -247,13 +247,13 @@ def neighbours(a: Arena) -> DataFrame:
 
 @registered(
     "nearest_place",
-    f"""{POSITIONS_SQL}, pl AS (SELECT 'P' || s_suppkey AS name, CAST((s_suppkey * 7919) % 240001 - 120000 AS DOUBLE) AS px, CAST((s_suppkey * 104729) % 240001 - 120000 AS DOUBLE) AS py FROM supplier WHERE s_suppkey <= 40),
+    f"""{POSITIONS_SQL}, pl AS (SELECT 'P' || s_suppkey AS name, CAST((s_suppkey * 7919) % 240001 - 120000 AS DOUBLE) AS px, CAST((s_suppkey * 104729) % 240001 - 120000 AS DOUBLE) AS py FROM supplier),
     d AS (SELECT a.match_id, a.id, a.phase, arg_min(name, (sqrt(pow(x - px, 2) + pow(y - py, 2)) / 100, name)) AS name, min(sqrt(pow(x - px, 2) + pow(y - py, 2)) / 100) AS m FROM a, pl GROUP BY ALL)
     SELECT CASE WHEN m <= 400 THEN name ELSE 'Unnamed area' END AS place, count(*) AS n, round(avg(CASE WHEN m <= 400 THEN m END), 4) AS place_m FROM d GROUP BY 1""",
 )
 def places(a: Arena) -> DataFrame:
-    """J-15: nearest of a small table of places within 400 m."""
-    pl = a.table("supplier").where("s_suppkey <= 40").select(
+    """J-15: nearest place within 400 m."""
+    pl = a.table("supplier").select(
         F.concat(F.lit("P"), F.col("s_suppkey").cast("string")).alias("name"),
         F.expr("cast((s_suppkey * 7919) % 240001 - 120000 as double)").alias("x"), F.expr("cast((s_suppkey * 104729) % 240001 - 120000 as double)").alias("y"),
     )

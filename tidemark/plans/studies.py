@@ -200,7 +200,7 @@ def positioning(c: Context):
     s = t.zones.select("match_id", "phase", F.col("start_shrink_t").alias("at"), "next_x", "next_y", "next_r").join(D.humans(t).select("match_id", "id", "death_t", "final"), "match_id").where("death_t is null or death_t > at")
     j = asof_join(s, t.positions, ["match_id", "id"], ["x", "y"], time="at", right_time="t", tolerance=max(10.0, t.freshness))
     j = j.withColumn("radii", G.distance_m(F.col("x"), F.col("y"), F.col("next_x"), F.col("next_y")) * 100 / F.col("next_r")).withColumn("rank", R.percent_rank_average("final", ["match_id", "phase"]))
-    j = j.withColumn("band", S.bands(F.col("radii"), [-1, 0.5, 1.0, 1.5, 2.5, 1e9], ["deep inside", "inside", "near edge", "outside", "far outside"]))
+    j = j.withColumn("band", S.bands(F.col("radii"), [-1, 0.5, 1.0, 1.5, 2.0, 3.0, 1e9], ["deep inside", "inside", "near edge", "outside", "well outside", "far outside"]))
     by_phase = T.spearman(j, ["match_id", "phase"], "radii", "final").where("rho is not null")
     return {"tests": tests(rho_test(j, "distance and finish", "radii", "final"), mean_test(by_phase, "distance and finish, zone", "rho", group=("phase",))), "table:bands": j.groupBy("phase", "band").agg(F.count("*").alias("n"), F.avg("rank").alias("rivals_ahead"))}
 
@@ -324,7 +324,7 @@ def surge_study(c: Context):
 def storm_hunt(c: Context):
     """K-15: staying outside against rotating, like for like."""
     z = D.team_zones(c.tables).where("approach <> 'between'")
-    z = c._kept(z.withColumn("far", S.bands(F.col("dist_m"), [0, 100, 200, 400, 1e9], ["to 100", "to 200", "to 400", "over 400"])))
+    z = c._kept(z.withColumn("far", S.bands(F.col("dist_m"), [-1, 300, 1e9], ["to 300", "over 300"])))
     parts = []
     for x in ("dealt", "taken", "net", "storm", "final"):
         parts.append(mean_test(A.like_for_like(z.withColumn(x, F.col(x).cast("double")), ["match_id", "phase", "far", "surge_half"], F.col("approach") == "stayed", x), f"stayed against rotated: {x}", "gap"))
@@ -354,7 +354,7 @@ def endgame_height(c: Context):
 @study("height_damage")
 def height_damage(c: Context):
     """K-17: damage dealt for each point taken, by height and range."""
-    e = D.exchanges(c.tables)
+    e = D.exchanges(c.tables).where("phase >= 4")
     e = e.withColumn("trade", F.try_divide(F.col("dealt") - F.col("taken"), F.col("dealt") + F.col("taken")))
     table = e.groupBy("height", "range").agg(F.count("*").alias("n"), A.ratio_of_sums(F.col("dealt"), F.col("taken")).alias("ratio"), A.share(F.col("one_sided"), 10).alias("one_sided"))
     by_range = T.spearman(e, ["match_id", "range"], "above_m", "trade").where("rho is not null")
@@ -374,7 +374,7 @@ def zone_check(c: Context):
     spot = t.positions.groupBy("match_id", "id").agg(F.max_by("x", "t").alias("x"), F.max_by("y", "t").alias("y"))
     near = won.join(spot, ["match_id", "id"]).groupBy("match_id").agg(F.min(G.distance_m(F.col("x"), F.col("y"), F.col("next_x"), F.col("next_y")) - F.col("next_r") / 100).alias("winner_outside_m"))
     per = z.groupBy("match_id").agg(F.max("gap_m").alias("largest_gap_m"), F.count_if(~F.col("ordered")).alias("out_of_order")).join(agree, "match_id", "left").join(near, "match_id", "left")
-    flags = F.array_compact(F.array(F.when(F.col("largest_gap_m") > 1, "gap"), F.when(F.col("out_of_order") > 0, "order"), F.when(F.col("winner_outside_m") > 50, "winner outside")))
+    flags = F.array_compact(F.array(F.when(F.col("largest_gap_m") > 1, "gap"), F.when(F.col("out_of_order") > 0, "order"), F.when(F.col("winner_outside_m") > 25, "winner outside")))
     return {"table:matches": per.withColumn("flags", F.array_join(flags, ",")), "metrics": metrics(per, continuous=A.share(F.coalesce(F.col("largest_gap_m") <= 1, F.lit(True))), in_order=A.share(F.col("out_of_order") == 0))}
 
 

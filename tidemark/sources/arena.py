@@ -1,6 +1,6 @@
 """Match telemetry derived from the given sales tables by fixed arithmetic, so that every operator runs on them.
 
-Lineitem rows become position samples, hits, health changes and eliminations of 24 matches with 60 players each;
+Lineitem rows become position samples, hits, health changes and eliminations of matches with 60 players each, one for about 2,500 rows, 24 at least;
 the same arithmetic is written once as DataFrame operations and once as SQL (``ARENA_SQL``) for the cross-check.
 """
 
@@ -18,7 +18,8 @@ RADII = (
     (1, 150000, 100000), (2, 100000, 60000), (3, 60000, 42500), (4, 42500, 32000), (5, 32000, 26500),
     (6, 26500, 20500), (7, 20500, 14000), (8, 14000, 11500), (9, 11500, 8500), (10, 8500, 5000),
 )
-MATCHES = 24
+LEAST_MATCHES = 24
+ROWS_OF_MATCH = 2500
 PLAYERS = 60
 
 
@@ -30,11 +31,15 @@ class Arena:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def n_matches(self) -> int:
+        return max(LEAST_MATCHES, self.table("lineitem").count() // ROWS_OF_MATCH)
+
     @cached_property
     def raw(self) -> DataFrame:
         t = F.expr("cast((l_orderkey * 131 + l_partkey * 17 + l_linenumber * 29) % 12000 as double) / cast(10 as double)")
         return self.table("lineitem").select(
-            (F.col("l_orderkey") % MATCHES).alias("match_id"),
+            (F.col("l_orderkey") % self.n_matches).alias("match_id"),
             (F.col("l_suppkey") % PLAYERS).alias("id"),
             t.alias("t"),
             F.expr("cast(((l_partkey * 7919 + l_linenumber * 104729) % 240001) - 120000 as double)").alias("x"),
@@ -120,13 +125,13 @@ class Arena:
 
     @cached_property
     def landings(self) -> DataFrame:
-        """Each player's first sample as their landing, with opponents near and the nearest of ten places."""
+        """Each player's first sample as their landing, with opponents near and the nearest place."""
         from tidemark.operators.spatial import nearest_place, neighbour_counts
 
         first = self.tracks.groupBy("match_id", "id").agg(F.min("t").alias("land_t"), *(F.min_by(c, "t").alias(c) for c in "xyz"))
         own = self.players.select("match_id", "id", "team_index", "placement", "pr_rank", "death_t", "kills")
         pts = neighbour_counts(first.join(own, ["match_id", "id"]), ["match_id"], "id", [150, 300], "team_index")
-        places = self.table("supplier").where("s_suppkey <= 10").select(
+        places = self.table("supplier").select(
             F.concat(F.lit("P"), F.col("s_suppkey").cast("string")).alias("name"),
             F.expr("cast((s_suppkey * 7919) % 240001 - 120000 as double)").alias("x"), F.expr("cast((s_suppkey * 104729) % 240001 - 120000 as double)").alias("y"),
         )
@@ -155,7 +160,7 @@ class Arena:
 
 
 ARENA_SQL = """
-raw AS (SELECT l_orderkey % 24 AS match_id, l_suppkey % 60 AS id,
+raw AS (SELECT l_orderkey % (SELECT greatest(24, count(*) // 2500) FROM lineitem) AS match_id, l_suppkey % 60 AS id,
   CAST((l_orderkey * 131 + l_partkey * 17 + l_linenumber * 29) % 12000 AS DOUBLE) / CAST(10 AS DOUBLE) AS t,
   CAST(((l_partkey * 7919 + l_linenumber * 104729) % 240001) - 120000 AS DOUBLE) AS x,
   CAST(((l_orderkey * 6101 + l_suppkey * 15485863) % 240001) - 120000 AS DOUBLE) AS y,
