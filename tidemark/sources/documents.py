@@ -324,7 +324,8 @@ def rebuilt_health(attributes: DataFrame, slots: DataFrame) -> DataFrame:
     chosen = chosen.unionByName(lacking.select("match_id", F.lit(0).cast("bigint").alias("handle"), F.lit("health").alias("_of")))
     wide = attributes.join(chosen, ["match_id", "handle"]).groupBy("match_id", "id", "t").pivot("_of", ["health", "shield"]).agg(F.max("value"))
     by = Window.partitionBy("match_id", "id").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    return wide.select("match_id", "t", "id", *(F.greatest(F.last(c, ignorenulls=True).over(by), F.lit(0.0)).alias(c) for c in ("health", "shield")))
+    held = lambda c: F.last(c, ignorenulls=True).over(by)
+    return wide.select("match_id", "t", "id", *(F.when(held(c) < 0, 0.0).otherwise(held(c)).alias(c) for c in ("health", "shield")))
 
 
 def nearest_actor(events: DataFrame, positions: DataFrame, players_: DataFrame, ident: list[str], time: str, age_s: float = 3.0, reach_m: float = 3.0) -> DataFrame:
