@@ -671,3 +671,10 @@ def test_secret_digest_against_brute_force(spark, docs, texts):
         assert r.base_sha256 == hashlib.sha256(",".join(own).encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s.startswith(k) for s in own) for k in patterns)
         assert set(own) <= set(filter(None, r.spans.split(",")))
+
+
+def test_quality_counts_where_window_hashes_agree(docs, texts, monkeypatch):
+    """Every window has one of three hashes: different ones agree, and the same ones need not be neighbours."""
+    monkeypatch.setattr(quality, "window_hash", lambda hashes, at, span: F.xxhash64(F.get(hashes, at) % 3))
+    got = {r.doc_id: r.n_repeat_words for r in quality.measures(docs).select("doc_id", "n_repeat_words").collect()}
+    assert got == {k: brute_repeat_words(WORDS.findall(t)) for k, t in texts.items()}

@@ -1,7 +1,8 @@
 """Quality rules: one table of thresholds, compiled into one Spark projection without user functions.
 
 Words are runs of anything but ASCII white space. Repeated five-word windows are found by sorting, within the row,
-64-bit window hashes whose low bits hold the window's place; neighbours that agree are compared word by word.
+64-bit window hashes whose low bits hold the window's place; neighbours that agree are compared word by word. A row
+where two different windows agree sorts the windows themselves instead.
 
 Narrow and inside the JVM. Defined results: a null or empty text has no words, fails the base rule and is not kept;
 repeated rows each get their own result; ids may be null.
@@ -43,6 +44,11 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(trimmed, f"{_WHITE_CLASS}+"))
 
 
+def window_hash(hashes: Column, at: Column, span: int) -> Column:
+    """A hash of the ``span`` words' hashes from a place on."""
+    return F.xxhash64(*(F.get(hashes, at + k) for k in range(span)))
+
+
 def repeated_words(words: Column, span: int = SPAN) -> Column:
     """How many words stand in a ``span``-word window that the text has twice or more."""
 
@@ -54,7 +60,7 @@ def repeated_words(words: Column, span: int = SPAN) -> Column:
                     F.sequence(F.lit(0), n - span),
                     lambda i: F.call_function(
                         "shiftleft",
-                        F.call_function("shiftright", F.xxhash64(*(F.get(hs, i + k) for k in range(span))), bits),
+                        F.call_function("shiftright", window_hash(hs, i, span), bits),
                         bits,
                     ).bitwiseOR(i.cast("long")),
                 )
@@ -65,18 +71,30 @@ def repeated_words(words: Column, span: int = SPAN) -> Column:
         low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
         place = lambda x: x.bitwiseAND(low).cast("int")
         prefix = lambda x: F.call_function("shiftright", x, bits)
-        same = lambda x, y: (prefix(x) == prefix(y)) & (
-            F.slice(words, place(x) + 1, F.lit(span)) == F.slice(words, place(y) + 1, F.lit(span))
-        )
+        window = lambda x: F.slice(words, place(x) + 1, F.lit(span))
+        agree = lambda x, y: F.coalesce(prefix(x) == prefix(y), F.lit(False))
         found = F.transform(
             order,
             lambda x, k: F.when(
-                F.coalesce(same(x, F.get(order, k + 1)), F.lit(False))
-                | F.coalesce(same(x, F.get(order, k - 1)), F.lit(False)),
-                place(x),
-            ).otherwise(-1),
+                agree(x, F.get(order, k + 1)), F.when(window(x) == window(F.get(order, k + 1)), place(x)).otherwise(-2)
+            ).otherwise(F.when(agree(x, F.get(order, k - 1)) & (window(x) == window(F.get(order, k - 1))), place(x)).otherwise(-1)),
+        )
+        return let(found, lambda f: F.when(F.array_contains(f, -2), exact(n)).otherwise(F.sort_array(F.filter(f, lambda s: s >= 0))))
+
+    def exact(n: Column) -> Column:
+        """Starts of repeated windows by sorting the windows."""
+        windows = F.sort_array(
+            F.transform(F.sequence(F.lit(0), n - span), lambda i: F.struct(F.slice(words, i + 1, F.lit(span)).alias("w"), i.alias("i")))
+        )
+        return let(
+            windows,
+            lambda all_: F.sort_array(
+                F.transform(
+                    F.filter(all_, lambda x, k: F.coalesce(x["w"] == F.get(all_, k + 1)["w"], F.lit(False)) | F.coalesce(x["w"] == F.get(all_, k - 1)["w"], F.lit(False))),
+                    lambda x: x["i"],
+                )
+            ),
         )
-        return F.sort_array(F.filter(found, lambda s: s >= 0))
 
     def covered(begin: Column) -> Column:
         return F.aggregate(
