@@ -26,7 +26,8 @@ def registered(name: str, sql: str | None = None, arena: bool = True):
     def add(f):
         QUERIES[name] = lambda spark, sf_dir: f(Arena(spark, sf_dir))
         if sql:
-            ORACLES[name] = f"WITH {ARENA_SQL}{', ' if sql.lstrip()[:6].upper() != 'SELECT' else ' '}{sql}" if arena else sql
+            # one query says its next row from the last one
+            ORACLES[name] = f"WITH {'RECURSIVE ' if sql.startswith('k(') else ''}{ARENA_SQL}{', ' if sql.lstrip()[:6].upper() != 'SELECT' else ' '}{sql}" if arena else sql
         return f
 
     return add
@@ -441,7 +442,11 @@ def sample_bins(a: Arena) -> DataFrame:
     return W.thinned(a.tracks, ["match_id", "id"], "t", 60.0).groupBy("match_id").agg(F.count("*").alias("kept"), r6(F.sum("t"), "t", 4))
 
 
-@registered("sample_greedy")
+@registered(
+    "sample_greedy",
+    """k(match_id, id, t) AS (SELECT match_id, id, min(t) FROM tracks GROUP BY ALL UNION ALL SELECT k.match_id, k.id, min(x.t) FROM k JOIN tracks x ON x.match_id = k.match_id AND x.id = k.id AND x.t - k.t >= 60 GROUP BY k.match_id, k.id, k.t)
+    SELECT match_id, id, team_index, t, x, y, z FROM k JOIN tracks USING (match_id, id, t)""",
+)
 def sample_greedy(a: Arena) -> DataFrame:
     """S-17 exact: the next kept sample is the first at least a minute after the last kept."""
     return W.thinned(a.tracks, ["match_id", "id"], "t", 60.0, exact=True)

@@ -486,15 +486,19 @@ def field_study(c: Context):
 # ---- all studies of one selection -------------------------------------------------------------------------------
 
 
+SHEET = "study string, kind string, label string, value double, n bigint, p double, strength string"
 #: Team studies first.
 FIRST = ("audit", "field", "gameplan")
 
 
 def findings(context: Context, ids: tuple[str, ...] | None = None) -> DataFrame:
-    """S-15: one long sheet (study, kind, label, value, n, p, strength); a failing study has one row that says so."""
+    """S-15: one long sheet (study, kind, label, value, n, p, strength); a failing study has one row that says so.
+
+    Each study runs on its own, here; what it adds are its tests and metrics, one row for each label.
+    """
     spark = context.tables.matches.sparkSession
     order = [i for i in FIRST if i in STUDIES] + [i for i in STUDIES if i not in FIRST]
-    out = None
+    out: list = []
     for i in order:
         if (ids and i not in ids) or (STUDIES[i].needs_compare and context.compare is None):
             continue
@@ -502,12 +506,12 @@ def findings(context: Context, ids: tuple[str, ...] | None = None) -> DataFrame:
         try:
             for name, df in run_study(i, context).items():
                 if name == "tests":
-                    parts.append(df.select(F.lit(i).alias("study"), F.lit("test").alias("kind"), "label", F.col("effect").cast("double").alias("value"), F.col("n").cast("bigint").alias("n"), "p", S.strength(F.col("p")).alias("strength")))
+                    parts += df.select(F.lit(i).alias("study"), F.lit("test").alias("kind"), "label", F.col("effect").cast("double").alias("value"), F.col("n").cast("bigint").alias("n"), "p", S.strength(F.col("p")).alias("strength")).collect()
                 elif name == "metrics":
                     none = F.lit(None)
-                    parts.append(df.select(F.lit(i).alias("study"), F.lit("metric").alias("kind"), "label", "value", none.cast("bigint").alias("n"), none.cast("double").alias("p"), none.cast("string").alias("strength")))
+                    parts += df.select(F.lit(i).alias("study"), F.lit("metric").alias("kind"), "label", "value", none.cast("bigint").alias("n"), none.cast("double").alias("p"), none.cast("string").alias("strength")).collect()
         except Exception as e:  # one study's failure is a finding, not the run's end
-            parts = [spark.createDataFrame([(i, "failed", str(e)[:200], None, None, None, None)], "study string, kind string, label string, value double, n bigint, p double, strength string")]
-        for p in parts:
-            out = p if out is None else out.unionByName(p)
-    return out
+            parts = [(i, "failed", str(e)[:200], None, None, None, None)]
+        out += parts
+    context.close()
+    return spark.createDataFrame(out, SHEET)

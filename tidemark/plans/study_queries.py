@@ -164,10 +164,24 @@ def spacing(a: Arena) -> DataFrame:
     return D.evidence_spacing(a.tables()).groupBy("phase").agg(F.count("*").alias("teams"), r6(F.avg("spacing_m"), "spacing_m", 4))
 
 
-@registered("detect_rotations")
+ROTATIONS_SQL = f"""z AS (SELECT p.*, lag(finish_shrink_t) OVER (PARTITION BY match_id ORDER BY phase) AS reveal_t, sqrt(pow(next_x - cur_x, 2) + pow(next_y - cur_y, 2)) AS pull FROM phases p),
+    s AS (SELECT k.id, k.t, k.x, k.y, z.*, {SHARE_OF_MOVE} AS f, sqrt(pow(x - next_x, 2) + pow(y - next_y, 2)) / 100 AS d FROM z JOIN tracks k ON k.match_id = z.match_id AND k.t BETWEEN z.reveal_t AND z.finish_shrink_t WHERE reveal_t IS NOT NULL),
+    q AS (SELECT *, {MARGIN} < 0 AS storm, first_value(d) OVER (PARTITION BY match_id, phase, id ORDER BY t) AS d0 FROM s),
+    g AS (SELECT match_id, phase, id, count(*) AS n, min(t) AS first_t, max(t) AS last_t, any_value(d0) AS d0, any_value(reveal_t) AS reveal_t, any_value(start_shrink_t) AS start_t, any_value(finish_shrink_t) AS finish_t, any_value(next_r) AS next_r, any_value(cur_r) AS cur_r, any_value(pull) AS pull,
+      min(t) FILTER (d <= next_r / 100) AS entry, count(*) FILTER (storm) AS storm_n FROM q GROUP BY ALL),
+    ro AS (SELECT g.*, p.team_index, p.death_t, p.placement AS final, d0 - next_r / 100 AS outside_m, entry - start_t AS arrival, storm_n * least((last_t - first_t) / greatest(n - 1, 1), 5) AS storm_s,
+      CASE WHEN pull <= cur_r - next_r + 100 THEN 'Shrinking' WHEN start_t - reveal_t <= 1 THEN 'Moving' WHEN pull >= cur_r + next_r THEN 'Shifted' ELSE '50/50' END AS kind
+      FROM g JOIN players p USING (match_id, id) WHERE NOT is_bot AND first_t - reveal_t <= 60 AND d0 - next_r / 100 > 0 AND (death_t IS NULL OR death_t >= start_t)),
+    ln AS (SELECT *, count(*) OVER w AS rotators, var_pop(CASE WHEN arrival IS NOT NULL THEN outside_m END) OVER w AS vx, covar_pop(arrival, outside_m) OVER w AS cv, avg(arrival) OVER w AS my, avg(CASE WHEN arrival IS NOT NULL THEN outside_m END) OVER w AS mx, median(arrival) OVER w AS med FROM ro WINDOW w AS (PARTITION BY match_id, phase)),
+    re AS (SELECT *, CASE WHEN arrival IS NULL THEN 'infinity'::DOUBLE ELSE arrival - CASE WHEN coalesce(vx, 0) < 1e-12 THEN med ELSE my + cv / vx * (outside_m - mx) END END AS residual FROM ln),
+    sh AS (SELECT *, (rank() OVER (PARTITION BY match_id, phase ORDER BY residual) + (count(*) OVER (PARTITION BY match_id, phase, residual) - 1) / 2) / count(*) OVER (PARTITION BY match_id, phase) AS share FROM re),
+    rt AS (SELECT *, CASE WHEN rotators >= 6 THEN CASE WHEN share <= 1.0 / 3 THEN 'Ahead' WHEN share <= 2.0 / 3 THEN 'Typical' ELSE 'Behind' END END AS timing FROM sh)"""
+
+
+@registered("detect_rotations", f"{ROTATIONS_SQL} SELECT phase, kind, timing, count(*) AS n, round(avg(outside_m), 4) AS outside_m, round(avg(storm_s), 4) AS storm_s, round(avg(final), 6) AS final FROM rt GROUP BY ALL")
 def rotations(a: Arena) -> DataFrame:
     """D-04, W-05, W-13, W-14."""
-    return D.rotations(a.tables()).groupBy("phase", "kind", "timing").agg(F.count("*").alias("n"), F.avg("outside_m").alias("outside_m"), F.avg("storm_s").alias("storm_s"), F.avg("final").alias("final"))
+    return D.rotations(a.tables()).groupBy("phase", "kind", "timing").agg(F.count("*").alias("n"), r6(F.avg("outside_m"), "outside_m", 4), r6(F.avg("storm_s"), "storm_s", 4), r6(F.avg("final"), "final"))
 
 
 @registered("detect_surge_rule")
@@ -183,10 +197,21 @@ def team_zones(a: Arena) -> DataFrame:
     return z.groupBy("phase", "approach", "surge_half").agg(F.count("*").alias("n"), F.avg("net").alias("net"), F.avg("storm").alias("storm"), F.sum("lookers").alias("lookers"))
 
 
-@registered("detect_loot")
+@registered(
+    "detect_loot",
+    """la AS (SELECT match_id, id, min(t) AS land_t FROM tracks GROUP BY ALL), ev AS (SELECT match_id, id, t - land_t AS since, l_linenumber AS k, l_partkey % 3 AS c FROM raw JOIN la USING (match_id, id) WHERE t - land_t BETWEEN -5 AND 300),
+    p AS (SELECT la.match_id, la.id, land_t, min(since) FILTER (k = 3) AS first_chest_s, count(*) FILTER (k = 3) AS chests, count(*) FILTER (k >= 4) AS items, count(*) FILTER (k >= 5) AS weapons, count(*) FILTER (k = 4) AS heals,
+      max(CASE WHEN k <= 2 THEN [1, 3, 5][c + 1] END) AS best, count(DISTINCT CASE WHEN k <= 2 AND c < 2 THEN c END) = 2 AS both_ FROM la LEFT JOIN ev USING (match_id, id) GROUP BY ALL)
+    SELECT match_id, count(*) AS n, round(avg(first_chest_s), 4) AS first_chest_s, CAST(sum(chests) AS BIGINT) AS chests, CAST(sum(items) AS BIGINT) AS items, CAST(sum(weapons) AS BIGINT) AS weapons, CAST(sum(heals) AS BIGINT) AS heals,
+      round(avg(best), 6) AS best_rarity, count(*) FILTER (both_) AS ar_and_shotgun, count(*) FILTER (death_t IS NULL OR death_t > land_t + 300) AS survived FROM p JOIN players USING (match_id, id) GROUP BY match_id""",
+)
 def loot(a: Arena) -> DataFrame:
     """D-12, G-10, B-17, B-18."""
-    return D.loot_per_player(a.tables(), 300.0)
+    d = D.loot_per_player(a.tables(), 300.0)
+    return d.groupBy("match_id").agg(
+        F.count("*").alias("n"), r6(F.avg("first_chest_s"), "first_chest_s", 4), *(F.sum(c).alias(c) for c in ("chests", "items", "weapons", "heals")), r6(F.avg("best_rarity"), "best_rarity"),
+        F.count_if("ar_and_shotgun").alias("ar_and_shotgun"), F.count_if("survived").alias("survived"),
+    )
 
 
 @registered("detect_snapshots")
@@ -195,10 +220,16 @@ def snapshots(a: Arena) -> DataFrame:
     return D.snapshots(a.tables(), 60.0)
 
 
-@registered("detect_damage_causes")
+@registered(
+    "detect_damage_causes",
+    f"""{SURGE_SQL}, {HITS_SQL}, al AS (SELECT match_id, id, t, {MARGIN} < 0 AS storm, round_even(t, 0) AS sec, t - lag(t) OVER w AS back, lead(t) OVER w - t AS ahead FROM uz WINDOW w AS (PARTITION BY match_id, id ORDER BY t)),
+    tg AS (SELECT match_id, sec, count(DISTINCT id) AS n FROM al GROUP BY ALL),
+    cs AS (SELECT match_id, CASE WHEN storm THEN 'storm' WHEN coalesce(back BETWEEN 3 AND 7, false) OR coalesce(ahead BETWEEN 3 AND 7, false) OR n >= 3 THEN 'surge' ELSE 'other' END AS cause FROM al JOIN tg USING (match_id, sec) UNION ALL SELECT match_id, 'hit' FROM ph), cn AS (SELECT match_id, cause, count(*) AS n FROM cs GROUP BY ALL)
+    SELECT match_id, cause, n, round(n / sum(n) OVER (PARTITION BY match_id), 6) AS share FROM cn""",
+)
 def causes(a: Arena) -> DataFrame:
     """D-25."""
-    return A.value_shares(D.damage_causes(a.tables())[0], ["match_id"], "cause")
+    return A.value_shares(D.damage_causes(a.tables())[0], ["match_id"], "cause").withColumn("share", F.round("share", 6))
 
 
 @registered("detect_risks")
@@ -207,11 +238,19 @@ def risks(a: Arena) -> DataFrame:
     return D.risk_flags(a.tables()).select("match_id", "team_index", "final", F.array_join("flags", ",").alias("flags"), "n_flags")
 
 
-@registered("map_density")
+@registered(
+    "map_density",
+    """c AS (SELECT CAST(floor(x / 5000) AS BIGINT) AS cx, CAST(floor(y / 5000) AS BIGINT) AS cy, count(*) AS n FROM tracks GROUP BY ALL),
+    five AS (SELECT i, j FROM (SELECT unnest(range(-2, 3)) AS i), (SELECT unnest(range(-2, 3)) AS j)), gr AS (SELECT DISTINCT cx + i AS cx, cy + j AS cy FROM c, five),
+    er AS (SELECT cx, cy FROM (SELECT cx + i AS cx, cy + j AS cy FROM gr, five) GROUP BY ALL HAVING count(*) = 25), ma AS (SELECT cx, cy FROM er UNION SELECT cx, cy FROM c),
+    ke AS (SELECT i, exp(-0.5 * pow(i / 3.0, 2)) AS w FROM (SELECT unnest(range(-9, 10)) AS i)), kn AS (SELECT i, w / (SELECT sum(w) FROM ke) AS w FROM ke),
+    bl AS (SELECT cx + a.i AS cx, cy + b.i AS cy, sum(n * a.w * b.w) AS n FROM c, kn a, kn b GROUP BY ALL)
+    SELECT ma.cx, ma.cy, c.n IS NOT NULL AS known, round(ln(bl.n / (SELECT sum(n) FROM c) + 1e-7), 6) AS log_density FROM ma LEFT JOIN c USING (cx, cy) LEFT JOIN bl USING (cx, cy)""",
+)
 def density(a: Arena) -> DataFrame:
     """D-19, D-20: a closed land mask, and the blurred log density of samples on it."""
     cells = grid_density(a.tracks, 50.0, 1)
-    return land_map(cells).join(blurred_density(cells, 3.0, 9), ["cx", "cy"], "left")
+    return land_map(cells).join(blurred_density(cells, 3.0, 9), ["cx", "cy"], "left").withColumn("log_density", F.round("log_density", 6))
 
 
 @registered("model_expected_points")
@@ -229,10 +268,22 @@ def prices(a: Arena) -> DataFrame:
     return M.priced_actions(model, snaps, M.EXPECTED_POINTS_FEATURES).groupBy("best").agg(F.count("*").alias("n"), F.avg("stake").alias("stake"))
 
 
-@registered("model_fight_odds")
+@registered(
+    "model_fight_odds",
+    f"""{HITS_SQL}, n AS (SELECT *, least(ta, tb) AS a, greatest(ta, tb) AS b, t - lag(t) OVER (PARTITION BY match_id, least(ta, tb), greatest(ta, tb) ORDER BY t) AS since FROM ph),
+    s AS (SELECT *, sum(CASE WHEN since > 15 THEN 1 ELSE 0 END) OVER (PARTITION BY match_id, a, b ORDER BY t) AS fight FROM n),
+    f AS (SELECT match_id, a, b, fight, min(t) AS t0, max(t) AS t1, arg_min(ta, (t, attacker_id, target_id)) AS first FROM s GROUP BY ALL),
+    d AS (SELECT match_id, team_index, death_t FROM players WHERE NOT is_bot AND death_t IS NOT NULL),
+    w AS (SELECT f.*, EXISTS (SELECT 1 FROM d WHERE d.match_id = f.match_id AND d.team_index = f.a AND d.death_t BETWEEN t0 AND t1 + 5) AS la,
+      EXISTS (SELECT 1 FROM d WHERE d.match_id = f.match_id AND d.team_index = f.b AND d.death_t BETWEEN t0 AND t1 + 5) AS lb FROM f),
+    pr AS (SELECT w.match_id, a, b, fight, p.team_index, p.id, t0 - 1 AS at_t FROM w JOIN players p ON p.match_id = w.match_id AND (p.team_index = a OR p.team_index = b) AND NOT p.is_bot WHERE la <> lb),
+    hp AS (SELECT pr.match_id, a, b, fight, avg(health + shield) FILTER (team_index = a) AS ha, avg(health + shield) FILTER (team_index = b) AS hb FROM pr ASOF JOIN changes c ON pr.match_id = c.match_id AND pr.id = c.id AND pr.at_t >= c.t GROUP BY ALL),
+    o AS (SELECT CASE WHEN first = w.a THEN ha - hb ELSE hb - ha END AS lead, (CASE WHEN la THEN w.b ELSE w.a END) = first AS won FROM w LEFT JOIN hp USING (match_id, a, b, fight) WHERE la <> lb)
+    SELECT CASE WHEN lead <= -50 THEN 'far behind' WHEN lead <= -10 THEN 'behind' WHEN lead <= 10 THEN 'level' WHEN lead <= 50 THEN 'ahead' WHEN lead > 50 THEN 'far ahead' END AS lead, count(*) AS n, round(avg(CASE WHEN won THEN 1.0 ELSE 0 END), 6) AS won FROM o GROUP BY 1""",
+)
 def odds(a: Arena) -> DataFrame:
     """M-05."""
-    return M.fight_odds(D.fights(a.tables()))
+    return M.fight_odds(D.fights(a.tables())).withColumn("won", F.round("won", 6))
 
 
 @registered("model_zone_forecast")
@@ -257,15 +308,25 @@ def _study(name: str):
     return run
 
 
+#: SQL of the studies whose result has no p-values.
+STUDY_SQL = {
+    "overview": """m AS (SELECT count(*) AS a, count(DISTINCT season) AS b, count(DISTINCT region) AS c, avg(CASE WHEN is_server_replay THEN 1.0 ELSE 0 END) AS d, median(lobby_strength) AS e FROM matches), p AS (SELECT avg(n) AS f FROM (SELECT match_id, max(phase) AS n FROM phases GROUP BY ALL))
+    SELECT unnest(['matches', 'seasons', 'regions', 'server', 'strength', 'phases']) AS label, unnest([CAST(a AS DOUBLE), b, c, d, e, f]) AS value FROM m, p""",
+    "match_map": "SELECT match_id, id, t, x, y FROM (SELECT *, row_number() OVER (PARTITION BY match_id, id ORDER BY t) - 1 AS n FROM tracks) WHERE n % 4 = 0",
+}
+
 for _name in K.STUDIES:
     if _name != "eliminations":  # registered with its SQL among the operators
+        _sql = STUDY_SQL.get(_name)
         registered(f"study_{_name}")(_study(_name))
+        if _sql:
+            ORACLES[f"study_{_name}"] = f"WITH {ARENA_SQL}{' ' if _sql.startswith('SELECT') else ', '}{_sql}"
 
 
 @registered("findings_sheet")
 def sheet(a: Arena) -> DataFrame:
-    """S-15: several studies over one selection in one long sheet."""
-    return K.findings(K.Context(a.tables()), ("overview", "zone_randomness", "height", "surge", "zone_check"))
+    """S-15: every study of one selection in one long sheet."""
+    return K.findings(K.Context(a.tables()))
 
 
 @registered("conclusion")
