@@ -296,3 +296,21 @@ def best_teams(a: Arena) -> DataFrame:
     """D-30."""
     g = P.scored(a.players.where("(id + match_id) % 3 = 0"), P.scheme(a.spark, P.SOLOS)).select((F.col("id") % 20).alias("team"), "points")
     return V.top_teams(g, "team", (30, 20, 1)).select("team", r6("ppg", "ppg"), "games", "minimum", "top")
+
+
+@registered(
+    "first_centres",
+    """d AS (SELECT match_id, id, t AS drop_t FROM (SELECT match_id, id, t, health + shield AS hs, lag(health + shield) OVER (PARTITION BY match_id, id ORDER BY t) AS h0 FROM changes) q WHERE h0 - hs > 0.5
+      AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.match_id = q.match_id AND h.target_id = q.id AND h.t BETWEEN q.t - 1.5 AND q.t + 0.5)),
+    z AS (SELECT * FROM phases WHERE phase = 1), dz AS (SELECT d.* FROM d JOIN z USING (match_id) WHERE drop_t BETWEEN start_shrink_t AND finish_shrink_t + 5),
+    s AS (SELECT k.match_id, k.x, k.y, z.next_x, z.next_y, (k.t - start_shrink_t) / (finish_shrink_t - start_shrink_t) AS f, EXISTS (SELECT 1 FROM dz WHERE dz.match_id = k.match_id AND dz.id = k.id AND dz.drop_t >= k.t AND dz.drop_t - k.t <= 30) AS hurt, cur_r + (k.t - start_shrink_t) / (finish_shrink_t - start_shrink_t) * (next_r - cur_r) AS r
+      FROM tracks k JOIN players p USING (match_id, id) JOIN z USING (match_id) WHERE NOT is_bot AND k.t BETWEEN start_shrink_t AND finish_shrink_t AND (death_t IS NULL OR k.t < death_t - 1)),
+    en AS (SELECT match_id FROM s GROUP BY ALL HAVING count(*) FILTER (hurt) >= 5 AND count(*) FILTER (NOT hurt) >= 5),
+    c AS (SELECT match_id, next_x - 90000 + i * 15000 AS cx, next_y - 90000 + j * 15000 AS cy, cur_r, next_x, next_y, next_r FROM z JOIN en USING (match_id), (SELECT unnest(range(0, 13)) AS i), (SELECT unnest(range(0, 13)) AS j)),
+    v AS (SELECT s.match_id, cx, cy, hurt, CASE WHEN sqrt(pow(s.x - (cx + (s.next_x - cx) * f), 2) + pow(s.y - (cy + (s.next_y - cy) * f), 2)) > r THEN 1.0 ELSE 0 END AS o FROM s JOIN c USING (match_id) WHERE sqrt(pow(cx - c.next_x, 2) + pow(cy - c.next_y, 2)) + c.next_r <= c.cur_r),
+    b AS (SELECT match_id, cx, cy, round((avg(o) FILTER (hurt) + avg(1 - o) FILTER (NOT hurt)) / 2, 9) AS score FROM v GROUP BY ALL)
+    SELECT match_id, arg_min(cx, (-score, cx, cy)) AS cur_x, arg_min(cy, (-score, cx, cy)) AS cur_y, max(score) AS score FROM b GROUP BY match_id HAVING max(score) > 0.5""",
+)
+def first_centres(a: Arena) -> DataFrame:
+    """D-18, one pass over a coarse grid."""
+    return V.first_centres(a.tables(), ((90_000.0, 15_000.0),), least=5, follow_s=30.0, least_score=0.5)

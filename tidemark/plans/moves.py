@@ -300,3 +300,42 @@ def top_teams(games: DataFrame, who: str, minimums: Sequence[int] = (8, 5, 3, 1)
     kept = per.crossJoin(F.broadcast(counts.select(chosen.alias("minimum")))).where(F.col("games") >= F.col("minimum"))
     cut = kept.agg(F.percentile("ppg", F.lit(1 - share)).alias("_cut"))
     return kept.crossJoin(F.broadcast(cut)).select(who, "ppg", "games", "minimum", (F.col("ppg") >= F.col("_cut")).alias("top"))
+
+
+#: Half width and step in centimetres of the passes over candidate centres, coarse to fine (fixed values).
+CENTRE_PASSES = ((90_000.0, 7_500.0), (9_000.0, 1_500.0), (1_500.0, 250.0))
+
+
+def first_centres(t: D.Tables, passes: Sequence[tuple[float, float]] = CENTRE_PASSES, least: int = 20, follow_s: float = 2.5, least_score: float = 0.6) -> DataFrame:
+    """D-18: (match_id, cur_x, cur_y, score): where the first circle's unknown centre is, by the damage outside it.
+
+    Living humans' samples during the first shrink are damaged, where an unexplained drop follows within ``follow_s``, or
+    not; the centre chosen is the one whose moving circle tells the two apart best (mean of both sides' right shares), the
+    first such in the grid's order. Each pass looks around the centre before it, the first around the next circle's.
+    """
+    z = t.zones.where("phase = 1").select("match_id", "cur_r", "next_x", "next_y", "next_r", "start_shrink_t", "finish_shrink_t")
+    hits = t.damage.select("match_id", F.col("target_id").alias("id"), F.col("t").alias("r_t"))
+    from tidemark.operators.interval import interval_join
+
+    drops = interval_join(D.health_drops(t), hits, ["match_id", "id"], 1.5, 0.5, how="left_anti").select("match_id", "id", F.col("t").alias("drop_t"), F.lit(1).alias("one"))
+    drops = drops.join(z.select("match_id", "start_shrink_t", "finish_shrink_t"), "match_id").where("drop_t >= start_shrink_t and drop_t <= finish_shrink_t + 5").select("match_id", "id", "drop_t", "one")
+    alive = D.humans(t).select("match_id", "id", "death_t")
+    s = t.positions.select("match_id", "id", "t", "x", "y").join(alive, ["match_id", "id"]).join(z, "match_id").where("t >= start_shrink_t and t <= finish_shrink_t and (death_t is null or t < death_t - 1)")
+    s = asof_join(s, drops, ["match_id", "id"], ["one"], right_time="drop_t", how="left", direction="forward", tolerance=follow_s)
+    f = G.progress(F.col("t"), F.col("start_shrink_t"), F.col("finish_shrink_t"))
+    s = s.select("match_id", "x", "y", f.alias("f"), F.col("one").isNotNull().alias("hurt"), (F.col("cur_r") + f * (F.col("next_r") - F.col("cur_r"))).alias("r"))
+    enough = s.groupBy("match_id").agg(F.count_if("hurt").alias("_a"), F.count_if(~F.col("hurt")).alias("_b")).where((F.col("_a") >= least) & (F.col("_b") >= least)).select("match_id")
+    centre = z.join(enough, "match_id", "left_semi").withColumns({"bx": F.col("next_x"), "by": F.col("next_y")})
+    for span, step in passes:
+        n = int(2 * span // step)
+        grid = lambda c: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n)), lambda k: F.col(c) - span + k * step))
+        cand = centre.select("match_id", "cur_r", "next_x", "next_y", "next_r", "bx", "by", grid("bx").alias("cx")).select("*", grid("by").alias("cy"))
+        cand = cand.where(F.sqrt((F.col("cx") - F.col("next_x")) ** 2 + (F.col("cy") - F.col("next_y")) ** 2) + F.col("next_r") <= F.col("cur_r"))
+        met = s.join(cand.select("match_id", "cx", "cy", "next_x", "next_y"), "match_id")  # the grid has a fixed size
+        mx, my = G.moving(F.col("cx"), F.col("next_x"), F.col("f")), G.moving(F.col("cy"), F.col("next_y"), F.col("f"))
+        out = (F.sqrt((F.col("x") - mx) ** 2 + (F.col("y") - my) ** 2) > F.col("r")).cast("double")
+        score = (F.avg(F.when(F.col("hurt"), out)) + F.avg(F.when(~F.col("hurt"), 1 - out))) / 2
+        best = met.groupBy("match_id", "cx", "cy").agg(F.round(score, 9).alias("score"))
+        best = best.groupBy("match_id").agg(F.min(F.struct((-F.col("score")).alias("m"), "cx", "cy")).alias("_b"))
+        centre = centre.drop("bx", "by", "score").join(best.select("match_id", F.col("_b.cx").alias("bx"), F.col("_b.cy").alias("by"), (-F.col("_b.m")).alias("score")), "match_id")
+    return centre.where(F.col("score") > least_score).select("match_id", F.col("bx").alias("cur_x"), F.col("by").alias("cur_y"), "score")
