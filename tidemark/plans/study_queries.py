@@ -190,11 +190,27 @@ def rule(a: Arena) -> DataFrame:
     return D.surge_rule(a.tables())[0]
 
 
-@registered("detect_team_zones")
+@registered(
+    "detect_team_zones",
+    f"""{SURGE_SQL}, {HITS_SQL}, w AS (SELECT *, (reveal + start_shrink_t) / 2 AS mid FROM (SELECT *, lag(finish_shrink_t) OVER v AS reveal, coalesce(lag(finish_shrink_t, 2) OVER v, 0) AS prev FROM phases WINDOW v AS (PARTITION BY match_id ORDER BY phase)) WHERE start_shrink_t - reveal >= 20),
+    a0 AS (SELECT w.*, e.id, e.team_index, least(mid, coalesce(death_t - 0.5, mid)) AS t_mid FROM w JOIN players e ON e.match_id = w.match_id AND NOT e.is_bot AND (death_t IS NULL OR death_t > reveal)),
+    a1 AS (SELECT a0.*, k.x AS ax, k.y AS ay FROM a0 ASOF JOIN tracks k ON a0.match_id = k.match_id AND a0.id = k.id AND a0.reveal >= k.t), a2 AS (SELECT a1.*, k.x AS bx, k.y AS bty FROM a1 ASOF JOIN tracks k ON a1.match_id = k.match_id AND a1.id = k.id AND a1.t_mid >= k.t),
+    g AS (SELECT match_id, phase, team_index, avg(ax) AS ax, avg(ay) AS ay, avg(bx) AS bx, avg(bty) AS bty, any_value(prev) AS prev, any_value(reveal) AS reveal, any_value(finish_shrink_t) AS finish_t, any_value(next_x) AS nx, any_value(next_y) AS ny, any_value(next_r) AS nr FROM a2 GROUP BY ALL),
+    h AS (SELECT *, greatest(sqrt(pow(ax - nx, 2) + pow(ay - ny, 2)) / 100 - nr / 100, 0) AS dist, greatest(sqrt(pow(bx - nx, 2) + pow(bty - ny, 2)) / 100 - nr / 100, 0) AS dist_mid, least(nr / nullif(sqrt(pow(ax - nx, 2) + pow(ay - ny, 2)), 0), 1) AS k FROM g),
+    lo AS (SELECT h.match_id, h.phase, h.team_index, count(*) AS lookers FROM h JOIN h i ON i.match_id = h.match_id AND i.phase = h.phase AND i.team_index <> h.team_index AND i.dist <= 0
+      AND sqrt(pow(h.nx + (h.ax - h.nx) * h.k - i.ax, 2) + pow(h.ny + (h.ay - h.ny) * h.k - i.ay, 2)) / 100 <= 150 GROUP BY ALL),
+    nt AS (SELECT match_id, t, ta AS team_index, amount AS v FROM ph UNION ALL SELECT match_id, t, tb, -amount FROM ph),
+    st AS (SELECT uz.match_id, uz.t, p.team_index, lost FROM uz JOIN players p ON p.match_id = uz.match_id AND p.id = uz.id AND NOT p.is_bot WHERE {MARGIN} < 0),
+    su AS (SELECT h.*, coalesce((SELECT sum(v) FROM nt WHERE nt.match_id = h.match_id AND nt.team_index = h.team_index AND nt.t > prev AND nt.t <= reveal), 0) AS net_prev, coalesce((SELECT sum(v) FROM nt WHERE nt.match_id = h.match_id AND nt.team_index = h.team_index AND nt.t > reveal AND nt.t <= finish_t), 0) AS net,
+      coalesce((SELECT sum(lost) FROM st WHERE st.match_id = h.match_id AND st.team_index = h.team_index AND st.t > reveal AND st.t <= finish_t), 0) AS storm FROM h),
+    hf AS (SELECT *, net_prev <= median(net_prev) OVER (PARTITION BY match_id, phase) AS low FROM su)
+    SELECT phase, CASE WHEN dist_mid <= 0 OR (dist - dist_mid) / dist >= 0.5 THEN 'rotated' WHEN (dist - dist_mid) / dist < 0.2 THEN 'stayed' ELSE 'between' END AS approach, CASE WHEN low THEN 'Bottom half' ELSE 'Top half' END AS surge_half,
+      count(*) AS n, round(avg(net), 4) + 0.0 AS net, round(avg(storm), 4) + 0.0 AS storm, CAST(sum(coalesce(lookers, 0)) AS BIGINT) AS lookers FROM hf LEFT JOIN lo USING (match_id, phase, team_index) WHERE dist >= 50 GROUP BY ALL""",
+)
 def team_zones(a: Arena) -> DataFrame:
     """D-11."""
     z = D.team_zones(a.tables())
-    return z.groupBy("phase", "approach", "surge_half").agg(F.count("*").alias("n"), F.avg("net").alias("net"), F.avg("storm").alias("storm"), F.sum("lookers").alias("lookers"))
+    return z.groupBy("phase", "approach", "surge_half").agg(F.count("*").alias("n"), r6(F.avg("net"), "net", 4), r6(F.avg("storm"), "storm", 4), F.sum("lookers").alias("lookers"))
 
 
 @registered(
