@@ -10,9 +10,10 @@ from tidemark.functions import points as P
 from tidemark.plans import detect as D
 from tidemark.plans import models as M
 from tidemark.plans import moves as V
-from tidemark.plans.operator_queries import r6
+from tidemark.plans import studies as K
+from tidemark.plans.operator_queries import MARGIN, r6
 from tidemark.plans.source_queries import registered as _registered
-from tidemark.plans.study_queries import HITS_SQL
+from tidemark.plans.study_queries import HITS_SQL, ROTATIONS_SQL, SURGE_SQL
 from tidemark.sources.arena import Arena
 
 QUERIES, ORACLES = {}, {}
@@ -314,3 +315,61 @@ def best_teams(a: Arena) -> DataFrame:
 def first_centres(a: Arena) -> DataFrame:
     """D-18, one pass over a coarse grid."""
     return V.first_centres(a.tables(), ((90_000.0, 15_000.0),), least=5, follow_s=30.0, least_score=0.5)
+
+
+# ---- tables of studies ------------------------------------------------------------------------------------------
+
+
+def _table(a: Arena, study: str, name: str) -> DataFrame:
+    return K.run_study(study, K.Context(a.tables()))[name]
+
+
+@registered(
+    "gameplan_leave_by",
+    f"""{ROTATIONS_SQL}, sp AS (SELECT phase, median(outside_m / (entry - depart)) AS speed, median(start_t - reveal_t) AS wait_s FROM rt WHERE entry > depart GROUP BY ALL)
+    SELECT phase, round(speed, 4) AS speed, round(wait_s, 4) AS wait_s, distance_m, round(wait_s - distance_m / speed, 4) + 0.0 AS leave_by_s FROM (SELECT *, CAST(unnest([50, 100, 200, 400]) AS DOUBLE) AS distance_m FROM sp)""",
+)
+def leave_by(a: Arena) -> DataFrame:
+    """K-29, D-43: the latest time to leave by phase and distance."""
+    t = _table(a, "gameplan", "table:leave_by")
+    return t.select("phase", r6("speed", "speed", 4), r6("wait_s", "wait_s", 4), "distance_m", r6("leave_by_s", "leave_by_s", 4))
+
+
+@registered(
+    "room_damage_log",
+    f"""{SURGE_SQL}, {HITS_SQL}, al AS (SELECT match_id, id, t, lost, {MARGIN} < 0 AS storm, round_even(t, 0) AS sec, t - lag(t) OVER w AS back, lead(t) OVER w - t AS ahead FROM uz WINDOW w AS (PARTITION BY match_id, id ORDER BY t)),
+    tg AS (SELECT match_id, sec, count(DISTINCT id) AS n FROM al GROUP BY ALL)
+    SELECT match_id, id, t, CAST(lost AS DOUBLE) AS lost, CASE WHEN storm THEN 'storm' WHEN coalesce(back BETWEEN 3 AND 7, false) OR coalesce(ahead BETWEEN 3 AND 7, false) OR n >= 3 THEN 'surge' ELSE 'other' END AS cause, CAST(NULL AS BIGINT) AS "by" FROM al JOIN tg USING (match_id, sec)
+    UNION ALL SELECT match_id, target_id, t, CAST(amount AS DOUBLE), 'hit', attacker_id FROM ph""",
+)
+def damage_log(a: Arena) -> DataFrame:
+    """K-28, D-25: every loss of health with its cause."""
+    return _table(a, "match_room", "table:damage")
+
+
+@registered(
+    "zone_shapes",
+    """f AS (SELECT *, sqrt(pow(next_x - cur_x, 2) + pow(next_y - cur_y, 2)) AS dist, round(start_shrink_t - lag(finish_shrink_t) OVER (PARTITION BY match_id ORDER BY phase), 1) AS wait FROM phases),
+    k AS (SELECT *, CASE WHEN dist <= (cur_r - next_r) * 1.01 + 1 THEN 'shrinking' WHEN coalesce(wait, 99) <= 1 THEN 'moving' WHEN dist < cur_r + next_r THEN '50/50' ELSE 'shifted' END AS zone_type FROM f),
+    n AS (SELECT phase, zone_type, count(*) AS n FROM k GROUP BY ALL), m AS (SELECT phase, arg_min(zone_type, (-n, zone_type)) AS zone_type, max(n) / sum(n) AS share FROM n GROUP BY ALL)
+    SELECT phase, round(median(wait), 4) AS wait_s, round(median(next_r / cur_r), 6) AS shrink_ratio, round(quantile_cont(dist / cur_r, 0.75) - quantile_cont(dist / cur_r, 0.25), 6) AS spread, stddev_samp(dist) < 100 AS fixed_distance, any_value(m.zone_type) AS zone_type, round(any_value(share), 6) AS share
+    FROM k JOIN m USING (phase) GROUP BY phase""",
+)
+def zone_shapes(a: Arena) -> DataFrame:
+    """K-03: what each phase looks like."""
+    t = _table(a, "zone_geometry", "table:phases")
+    return t.select("phase", r6("wait_s", "wait_s", 4), r6("shrink_ratio", "shrink_ratio"), r6("spread", "spread"), "fixed_distance", "zone_type", r6("share", "share"))
+
+
+@registered(
+    "endgame_survival",
+    """s AS (SELECT m.match_id, m.phase, e.id, e.team_index, m.start_shrink_t AS at_t, e.placement FROM phases m JOIN players e USING (match_id) WHERE NOT e.is_bot AND (e.death_t IS NULL OR e.death_t > m.start_shrink_t)),
+    a AS (SELECT s.*, p.z FROM s ASOF JOIN tracks p ON s.match_id = p.match_id AND s.id = p.id AND s.at_t >= p.t),
+    h AS (SELECT match_id, phase, team_index, round(avg(z) / 100, 9) AS height FROM a GROUP BY ALL),
+    r AS (SELECT *, (rank() OVER (PARTITION BY match_id, phase ORDER BY height) + (count(*) OVER (PARTITION BY match_id, phase, height) - 1) / 2) / count(*) OVER (PARTITION BY match_id, phase) AS share FROM h),
+    l AS (SELECT *, coalesce(lead(phase) OVER (PARTITION BY match_id, team_index ORDER BY phase) = phase + 1, false) AS survived FROM r WHERE phase >= 6)
+    SELECT phase, CASE WHEN share <= 1.0 / 3 THEN 'Low' WHEN share <= 2.0 / 3 THEN 'Middle' ELSE 'High' END AS tier, count(*) AS n, round(avg(CASE WHEN survived THEN 1.0 ELSE 0 END), 6) AS survived FROM l GROUP BY ALL""",
+)
+def endgame_survival(a: Arena) -> DataFrame:
+    """K-16, J-19: who is still there in the next late zone, by height."""
+    return _table(a, "endgame_height", "table:survival").select("phase", "tier", "n", r6("survived", "survived"))

@@ -168,7 +168,7 @@ ROTATIONS_SQL = f"""z AS (SELECT p.*, lag(finish_shrink_t) OVER (PARTITION BY ma
     s AS (SELECT k.id, k.t, k.x, k.y, z.*, {SHARE_OF_MOVE} AS f, sqrt(pow(x - next_x, 2) + pow(y - next_y, 2)) / 100 AS d FROM z JOIN tracks k ON k.match_id = z.match_id AND k.t BETWEEN z.reveal_t AND z.finish_shrink_t WHERE reveal_t IS NOT NULL),
     q AS (SELECT *, {MARGIN} < 0 AS storm, first_value(d) OVER (PARTITION BY match_id, phase, id ORDER BY t) AS d0 FROM s),
     g AS (SELECT match_id, phase, id, count(*) AS n, min(t) AS first_t, max(t) AS last_t, any_value(d0) AS d0, any_value(reveal_t) AS reveal_t, any_value(start_shrink_t) AS start_t, any_value(finish_shrink_t) AS finish_t, any_value(next_r) AS next_r, any_value(cur_r) AS cur_r, any_value(pull) AS pull,
-      min(t) FILTER (d <= next_r / 100) AS entry, count(*) FILTER (storm) AS storm_n FROM q GROUP BY ALL),
+      min(t) FILTER (d <= next_r / 100) AS entry, min(t) FILTER (d <= d0 - greatest(50, 0.25 * (d0 - next_r / 100))) AS depart, count(*) FILTER (storm) AS storm_n FROM q GROUP BY ALL),
     ro AS (SELECT g.*, p.team_index, p.death_t, p.placement AS final, d0 - next_r / 100 AS outside_m, entry - start_t AS arrival, storm_n * least((last_t - first_t) / greatest(n - 1, 1), 5) AS storm_s,
       CASE WHEN pull <= cur_r - next_r + 100 THEN 'Shrinking' WHEN start_t - reveal_t <= 1 THEN 'Moving' WHEN pull >= cur_r + next_r THEN 'Shifted' ELSE '50/50' END AS kind
       FROM g JOIN players p USING (match_id, id) WHERE NOT is_bot AND first_t - reveal_t <= 60 AND d0 - next_r / 100 > 0 AND (death_t IS NULL OR death_t >= start_t)),
