@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidemark.llm import decontaminate, licenses, line_dedup, lm_score, packing, quality, secrets, simhash, suffix_dedup, tool_chat, toxicity
+from tidemark.llm import decontaminate, licenses, line_dedup, lm_score, packing, quality, secrets, simhash, suffix_dedup, token_align, tool_chat, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_tool_chat": tool_chat.query,
     "op10_packing": packing.query,
     "op12_line_dedup": line_dedup.query,
+    "op13_token_align": token_align.query,
     "pipeline": corpus_pipeline.run,
 }
 
