@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidemark.llm import decontaminate, licenses, line_dedup, lm_score, packing, quality, secrets, simhash, suffix_dedup, token_align, tool_chat, toxicity
+from tidemark.llm import collocations, decontaminate, licenses, line_dedup, lm_score, packing, quality, secrets, simhash, suffix_dedup, token_align, tool_chat, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_quality": quality.query,
     "op9_tool_chat": tool_chat.query,
     "op10_packing": packing.query,
+    "op11_collocations": collocations.query,
     "op12_line_dedup": line_dedup.query,
     "op13_token_align": token_align.query,
     "pipeline": corpus_pipeline.run,
@@ -25,6 +26,7 @@ ORACLES = {
     "op3_decontaminate": decontaminate.ORACLE,
     "op8_quality": quality.ORACLE,
     "op9_tool_chat": tool_chat.ORACLE,
+    "op11_collocations": collocations.ORACLE,
     "op12_line_dedup": line_dedup.ORACLE,
 }
 if corpus_pipeline.ORACLE_SQL:
