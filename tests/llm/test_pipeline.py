@@ -50,3 +50,20 @@ def test_near_copies_leave_one_row(spark, tiny):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, df, tiny).collect()]
     assert sorted(got, key=str) == sorted([(3, "quite another matter of words", "de", "d", 6), (7, text, "en", "a", 5), (None,) * 5], key=str)
+
+
+def test_names_and_types_stay(spark, tiny):
+    """Columns with the stages' own names, maps, and an int n_chars."""
+    text = "one two three four five six seven eight nine ten"
+    ddl = "doc_id long, text string, n_chars int, _key long, KEY string, id int, `row` int, n int, kept_id int, kept_key int, _toxicity double, toxicity double, m map<string,int>"
+    rows = [(7, text, len(text), 111, "k", 1, 2, 3, 4, 5, 0.5, 0.25, {"a": 1})] * 3 + [(8, text + " x", 5, 112, "k", 1, 2, 3, 4, 5, 0.5, 0.25, {"a": 2})]
+    rows += [(9, 'token = "04dbebab91ab85687d33eeaa"', 5, 113, None, 1, 2, 3, 4, 5, None, None, None)]
+    df = spark.createDataFrame(rows, ddl)
+    docs = df
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, tiny)
+        assert docs.schema == df.schema, name
+        docs = docs.cache()
+    got = sorted(map(tuple, docs.collect()))
+    assert got[0] == rows[0] and [r[0] for r in got] in ([7, 9], [7, 8, 9]) and got[-1][2] == len(got[-1][1]) and got[-1][3] == 113
+    assert corpus_pipeline.drop_near_copies(spark, df.limit(0), tiny).count() == 0

@@ -14,7 +14,7 @@ Defined results: null and empty texts have no findings; repeated rows each get t
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,7 +36,7 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _SENSITIVE = re.compile(r"passw|passphrase|secret|token|key|auth|bearer|credential|private|signature", re.A | re.I)
-_PRIVATE_KEY = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z0-9 ]*-----")
+_BEGIN = re.compile(r"-----BEGIN( [A-Z0-9 ]*)-----")
 #: Lower-case letters alone: a rare compound word costs a frame as much as chance letters do, so none is a candidate.
 _WORDS = re.compile(r"[a-z+/_=~-]+")
 #: A string of 16 characters or more with a digit.
@@ -105,8 +105,11 @@ def bodies_of(text: str) -> list[tuple[int, int]]:
     """Ranges between the first and last line of private keys."""
     if "PRIVATE KEY" not in text:
         return []
-    ends = [(m.end(), text.find("-----END", m.end())) for m in _PRIVATE_KEY.finditer(text)]
-    return [(a, len(text) if b < 0 else b) for a, b in ends]
+    ends = [m.start() for m in re.finditer("-----END", text)] + [len(text)]
+    begins = [m.end() for m in _BEGIN.finditer(text) if " PRIVATE KEY" in m[1]]
+    # of begin lines without an end between them one body is enough
+    bodies = {ends[bisect_left(ends, a)]: a for a in reversed(begins)}
+    return sorted((a, b) for b, a in bodies.items())
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -223,7 +226,7 @@ def redact(docs: DataFrame, mark: str = "<secret>", least: float = MIN_NOVELTY)
 
     out = docs.mapInArrow(scan, ddl)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
     return out
 
 
