@@ -1,7 +1,11 @@
 """A corpus pipeline of five stages; each one works on all that the one before it kept.
 
 ``run`` applies them to ``documents``; a cluster writes each stage's rows as Parquet and reads them for the next.
-All stages but the last return all columns of their input.
+All stages but the last return all columns of their input, with their types.
+
+Defined results: null and empty texts are not toxic, not contaminated and without secrets, and are near copies of each
+other; null ids come first; of rows that repeat id and text one stays; columns may have any name or type, maps too; an
+empty table stays empty.
 """
 
 from __future__ import annotations
@@ -13,31 +17,40 @@ from tidemark.llm import decontaminate, packing, secrets, simhash, toxicity
 from tidemark.llm.common import materialise, table
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that the table has not got, whatever the case of its letters."""
+    held = {c.lower() for c in docs.columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below the rejecting one. The dictionaries are trained on all of ``documents``."""
     model = toxicity.fit(*toxicity.labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
-    return toxicity.scored(docs, model, "_toxicity").where(F.col("_toxicity") < toxicity.REJECT).drop("_toxicity")
+    score = free_name(docs, "toxicity")
+    return toxicity.scored(docs, model, score).where(F.col(score) < toxicity.REJECT).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group: that with the smallest id, of rows that share it the smallest text's hash.
 
-    Of rows that repeat both, the smallest by all columns stays.
+    Of rows that repeat both, the one whose JSON comes first stays. The rows travel as one column, so that no name clashes.
     """
-    columns = docs.columns
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    groups = simhash.near_duplicates(keyed, keep=("_key",))
-    counted = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id", "_key").agg(F.count("*").alias("n"))
-    chosen = counted.groupBy("root").agg(F.min(F.struct("doc_id", "_key", "n")).alias("first"))
+    key = F.xxhash64("text").alias("key")
+    groups = simhash.near_duplicates(docs.select("doc_id", "text", key), keep=("key",))
+    counted = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id", "key").agg(F.count("*").alias("n"))
+    chosen = counted.groupBy("root").agg(F.min(F.struct("doc_id", "key", "n")).alias("first"))
     kept = materialise(
-        chosen.select(F.col("first.doc_id").alias("_kept_id"), F.col("first._key").alias("_kept_key"), F.col("first.n").alias("_n")), "kept"
+        chosen.select(F.col("first.doc_id").alias("kept_id"), F.col("first.key").alias("kept_key"), F.col("first.n").alias("n")), "kept"
     )
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), key)
 
     def of(part: DataFrame) -> DataFrame:
-        return keyed.join(part, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_key") == F.col("_kept_key")), "left_semi")
+        return rows.join(part, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi")
 
-    repeated = of(kept.where("_n > 1")).groupBy("doc_id", "_key").agg(F.min(F.struct(*columns)).alias("_row"))
-    return of(kept.where("_n = 1")).select(columns).unionByName(repeated.select("_row.*"))
+    repeated = of(kept.where("n > 1")).groupBy("id", "key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return of(kept.where("n = 1")).select("row").unionByName(repeated.select("row")).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
