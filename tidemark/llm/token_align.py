@@ -26,6 +26,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ CACHED = 300_000
 
 _GAP = re.compile(r"\s[ \n]")
 _BEGIN = re.compile(r"(?<=\S)(?=[ \n])")
+#: The first tokenizer's pre-tokens (fixed value).
+_PRE_TOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Where the first tokenizer's pre-tokens end whatever stands around: a run of letters or digits ends, or white space begins.
 _SAFE_A = regex.compile(r"(?<=\p{L})(?=[^\p{L}])|(?<=\p{N})(?=[^\p{N}])|(?<=\S)(?=\s)")
 
@@ -58,7 +61,7 @@ def units_of(text: str) -> list[str]:
 
 
 class Tokenizers:
-    """Ids and byte lengths of both; ``b`` reads a string as it stands, without the space that the model puts in front."""
+    """Ids of both, and how many bytes each id spells; ``b`` reads a string as it stands, without the space that the model puts in front."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -67,30 +70,61 @@ class Tokenizers:
 
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
+        self.lengths = [len(self.a.id_to_token(k) or "") for k in range(self.a.get_vocab_size())]
+        self.short = self._ranked(path_a)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         size = self.b.vocab_size()
         pieces = [self.b.id_to_piece(k) for k in range(size)]
         self.spelled = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
+        self.b_lengths = [len(x) for x in self.spelled]
         self.odd = {k for k in range(size) if self.b.is_unknown(k) or self.b.is_control(k)}
         usual = [p for k, p in enumerate(pieces) if not self.b.is_byte(k) and k not in self.odd]
         #: neighbours that some piece holds: merges never cross any others
         self.inside = {p[k : k + 2].replace("▁", " ") for p in usual for k in range(len(p) - 1)}
-        self.lengths = [len(self.a.id_to_token(k) or "") for k in range(self.a.get_vocab_size())]
         if any("\n" in p for p in usual):
             raise ValueError("a piece holds a line feed; it cannot set strings apart")
 
-    def read_a(self, strings: list[str]) -> list[tuple[list[int], list[int]]]:
-        got = self.a.encode_batch_fast(strings, add_special_tokens=False)
-        return [(e.ids, np.cumsum([self.lengths[i] for i in e.ids]).tolist()) for e in got]
+    def _ranked(self, path_a: str):
+        """The same file read as ranks, much quicker for short strings, where its ids follow its merges; else None."""
+        import json
+
+        import tiktoken
+
+        with open(path_a, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab = model["vocab"]
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        # letters that stand for bytes: printable Latin-1 for itself, the others from U+0100 on in order
+        own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        rest = [b for b in range(256) if b not in set(own)]
+        byte_of = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+        if any(vocab.get(x + y) != 256 + k for k, (x, y) in enumerate(merges)) or sorted(vocab.get(c, -1) for c in byte_of) != list(range(256)):
+            return None
+        special = {t["id"] for t in json.loads(self.a.to_str())["added_tokens"]}
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if i not in special}
+        return tiktoken.Encoding("ranks", pat_str=_PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
+
+    def read_a(self, strings: list[str]) -> list[list[int]]:
+        """Strings of the letters below U+0250 through the ranks, all others through the tokenizer itself."""
+        if self.short is None or len(strings) == 1:
+            return [e.ids for e in self.a.encode_batch_fast(strings, add_special_tokens=False)]
+        short, out, others = self.short.encode_ordinary, [], []
+        for k, s in enumerate(strings):
+            if max(s) < "\u0250":
+                out.append(short(s))
+            else:
+                out.append([])
+                others.append(k)
+        for k, e in zip(others, self.a.encode_batch_fast([strings[k] for k in others], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        return out
 
-    def read_b(self, strings: list[str]) -> list[tuple[list[int], list[int], bool]]:
+    def read_b(self, strings: list[str]) -> list[tuple[list[int], bool]]:
         """Also whether the pieces spell the string."""
-        out = []
+        out, spelled = [], self.spelled.__getitem__
         for string, ids in zip(strings, self.b.encode(["\n" + s for s in strings], num_threads=1), strict=True):
-            ids = ids[2:]  # the model's space and the line feed, which no piece joins to anything
-            spelled = [self.spelled[i] for i in ids]
-            ok = b"".join(spelled) == string.encode() and not self.odd.intersection(ids)
-            out.append((ids, np.cumsum([len(x) for x in spelled]).tolist(), ok))
+            del ids[:2]  # the model's space and the line feed, which no piece joins to anything
+            out.append((ids, b"".join(map(spelled, ids)) == string.encode() and self.odd.isdisjoint(ids)))
         return out
 
     def safe_a(self, text: str, at: int) -> int:
@@ -185,29 +219,50 @@ class Fragment:
         return out
 
 
+def closed_unit(a: list[int], b: list[int], lengths_a: list[int], lengths_b: list[int]) -> tuple[str, int, int, int, int, tuple, tuple]:
+    """What ``Fragment.of(...).whole()`` says of one string that both have read in full: (groups, n_a, n_b, n_groups, n_links, pairs, their numbers)."""
+    if len(a) == len(b) == 1:
+        return f"{a[0]}|{b[0]}", 1, 1, 1, 1, (a[0] << 16 | b[0],), (1,)
+    parts, pairs, links = [], {}, 0
+    i = j = i0 = j0 = x = y = 0
+    for x_id in a:
+        x += lengths_a[x_id]
+        i += 1
+        while y < x:
+            y += lengths_b[b[j]]
+            j += 1
+        if x == y:
+            if i - i0 == j - j0 == 1:
+                parts.append(f"{x_id}|{b[j0]}")
+                code = x_id << 16 | b[j0]
+                pairs[code] = pairs.get(code, 0) + 1
+                links += 1
+            else:
+                parts.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
+                links += (i - i0) * (j - j0)
+                for p in a[i0:i]:
+                    for q in b[j0:j]:
+                        code = p << 16 | q
+                        pairs[code] = pairs.get(code, 0) + 1
+            i0, j0 = i, j
+    return ";".join(parts), len(a), len(b), len(parts), links, tuple(pairs), tuple(pairs.values())
+
+
 class Units:
-    """The closed groups of the strings met so far; emptied when it holds ``CACHED``."""
+    """The closed groups of the strings met so far; emptied when it holds ``CACHED``. None where the two spell differently."""
 
     def __init__(self, tokenizers: Tokenizers):
         self.tokenizers = tokenizers
-        self.held: dict[str, tuple] = {}
+        self.held: dict[str, tuple | None] = {}
 
     def learn(self, strings: set[str]) -> None:
         new = [s for s in strings if s not in self.held]
         if len(self.held) + len(new) > CACHED:
             self.held.clear()
             new = list(strings)
-        if not new:
-            return
-        for s, (a, ea), (b, eb, ok) in zip(new, self.tokenizers.read_a(new), self.tokenizers.read_b(new), strict=True):
-            if not ok:
-                self.held[s] = None
-                continue
-            got = Fragment.of((a, ea, b, eb)).whole()
-            self.held[s] = (
-                ";".join(got.parts), len(a), len(b), got.groups, got.links,
-                np.fromiter(got.pairs.keys(), np.int64, len(got.pairs)), np.fromiter(got.pairs.values(), np.int64, len(got.pairs)),
-            )
+        t = self.tokenizers
+        for s, a, (b, ok) in zip(new, t.read_a(new), t.read_b(new), strict=True):
+            self.held[s] = closed_unit(a, b, t.lengths, t.b_lengths) if ok else None
 
 
 _HELD: dict[tuple[str, str], Units] = {}
@@ -229,46 +284,48 @@ class Block:
     """Texts as bags of units, units as bags of id pairs, and in how many of the texts each pair is linked."""
 
     def __init__(self):
-        self.units: dict[object, int] = {}
-        self.codes: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
-        self.docs: list[tuple] = []
-        self.doc_units: list[np.ndarray] = []
-        self.doc_counts: list[np.ndarray] = []
+        self.index: dict[object, int] = {}
+        self.units: list[tuple] = []
+        self.docs: list[tuple] = []  # id and digest
+        self.bags: list[np.ndarray] = []
+        self.numbers: list[np.ndarray] = []
         self.size = 0
 
-    def unit(self, key, codes: np.ndarray, counts: np.ndarray) -> int:
-        k = self.units.get(key)
-        if k is None:
-            k = self.units[key] = len(self.codes)
-            self.codes.append(codes)
-            self.counts.append(counts)
-        return k
-
-    def doc(self, row: tuple, units: list[int], counts: list[int]) -> None:
-        self.docs.append(row)
-        self.doc_units.append(np.array(units, np.int64))
-        self.doc_counts.append(np.array(counts, np.int64))
-        self.size += sum(len(self.codes[k]) for k in units)
+    def doc(self, doc_id, digest: str, bag: dict, held: dict) -> None:
+        """``bag``: how often each unit stands; ``held``: the units."""
+        index, units, at = self.index, self.units, []
+        for key in bag:
+            k = index.get(key)
+            if k is None:
+                k = index[key] = len(units)
+                units.append(held[key])
+            at.append(k)
+        self.docs.append((doc_id, digest))
+        self.bags.append(np.array(at, np.int64))
+        self.numbers.append(np.fromiter(bag.values(), np.int64, len(bag)))
+        self.size += 2 * len(at)
 
     def row(self, block: int) -> dict:
         none = [np.empty(0, np.int64)]
-        lengths = np.array([len(c) for c in self.codes], np.int64)
+        lengths = np.array([len(u[5]) for u in self.units], np.int64)
         ptr = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
-        pairs, at = np.unique(np.concatenate(self.codes or none), return_inverse=True)
-        units = np.concatenate(self.doc_units or none)
-        owner = np.repeat(np.arange(len(self.docs)), [len(u) for u in self.doc_units])
+        codes, times = (np.fromiter(chain.from_iterable(u[k] for u in self.units), np.int64, int(ptr[-1])) for k in (5, 6))
+        pairs, at = np.unique(codes, return_inverse=True)
+        bags, numbers = np.concatenate(self.bags or none), np.concatenate(self.numbers or none)
+        owner = np.repeat(np.arange(len(self.docs)), [len(u) for u in self.bags])
         # every (text, pair) of the block, once
-        many = lengths[units]
-        places = np.repeat(ptr[units], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        seen = np.unique(np.repeat(owner, many) * max(1, len(pairs)) + at[places])
+        many = lengths[bags]
+        places = np.repeat(ptr[bags], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        seen = np.sort(np.repeat(owner, many) * max(1, len(pairs)) + at[places])
+        seen = seen[np.diff(seen, prepend=-1) > 0]
         held = np.bincount(seen % max(1, len(pairs)), minlength=len(pairs))
-        columns = list(zip(*self.docs, strict=True)) or [()] * 6
+        own = np.array([u[1:5] for u in self.units], np.int64).reshape(-1, 4)
+        doc_ptr = np.concatenate(([0], np.cumsum([len(u) for u in self.bags]))).astype(np.int64)
+        sums = [np.diff(np.concatenate(([0], np.cumsum(own[bags, k] * numbers)))[doc_ptr]) for k in range(4)]
         return {
-            "block": block, "pairs": pairs, "pair_docs": held, "unit_ptr": ptr, "unit_pair": at, "unit_n": np.concatenate(self.counts or none),
-            **dict(zip(("doc_id", "n_a", "n_b", "n_groups", "n_links", "digest"), map(list, columns), strict=True)),
-            "doc_ptr": np.concatenate(([0], np.cumsum([len(u) for u in self.doc_units]))), "doc_unit": units,
-            "doc_n": np.concatenate(self.doc_counts or none),
+            "block": block, "pairs": pairs, "pair_docs": held, "unit_ptr": ptr, "unit_pair": at, "unit_n": times,
+            "doc_id": [d for d, _ in self.docs], "n_a": sums[0], "n_b": sums[1], "n_groups": sums[2], "n_links": sums[3],
+            "digest": [x for _, x in self.docs], "doc_ptr": doc_ptr, "doc_unit": bags, "doc_n": numbers,
         }
 
 
@@ -299,17 +356,10 @@ def short_blocks(docs: DataFrame, path_a: str, path_b: str, id_type: str) -> Dat
             for doc_id, strings in zip(rows["doc_id"], split, strict=True):
                 found = [held[s] for s in strings]
                 if not found or None in found:
-                    block.doc((doc_id, 0, 0, 0, 0, ""), [], [])
+                    block.doc(doc_id, "", {}, held)
                     continue
                 digest = hashlib.sha256(";".join([x[0] for x in found]).encode()).hexdigest()
-                bag = Counter(strings)
-                sums = np.zeros(4, np.int64)
-                units = []
-                for s, n in bag.items():
-                    x = held[s]
-                    units.append(block.unit(s, x[5], x[6]))
-                    sums += np.multiply(x[1:5], n)
-                block.doc((doc_id, *sums.tolist(), digest), units, list(bag.values()))
+                block.doc(doc_id, digest, Counter(strings), held)
             if block.size >= BLOCK_LINKS or len(block.docs) >= BLOCK_ROWS:
                 yield _batch(block.row(number), schema)
                 block, number = Block(), number + 1
@@ -359,9 +409,10 @@ def fragments(parts: DataFrame, path_a: str, path_b: str, id_type: str) -> DataF
         for rows in rows_of(batches, 1):
             row = {k: v[0] for k, v in rows.items()}
             a0, a1, base_a, b0, b1, base_b = row["at"]
-            a, ea = tokenizers.read_a([row["string"][a0:a1]])[0]
-            b, eb, ok = tokenizers.read_b([row["string"][b0:b1]])[0]
-            made = Fragment.of((a, [base_a + x for x in ea], b, [base_b + x for x in eb]), ok)
+            a = tokenizers.read_a([row["string"][a0:a1]])[0]
+            b, ok = tokenizers.read_b([row["string"][b0:b1]])[0]
+            ends = [list(accumulate((of[k] for k in ids), initial=base))[1:] for ids, of, base in ((a, tokenizers.lengths, base_a), (b, tokenizers.b_lengths, base_b))]
+            made = Fragment.of((a, ends[0], b, ends[1]), ok)
             yield _batch(row | {"n_a": len(a), "n_b": len(b), "fragment": pack_fragment(made)}, schema)
 
     return parts.mapInArrow(run, ddl)
@@ -410,10 +461,10 @@ def long_blocks(docs: DataFrame, path_a: str, path_b: str, id_type: str, chunk:
             if fragment.ok:
                 got = fragment.whole()
                 digest = hashlib.sha256(";".join(got.parts).encode()).hexdigest()
-                unit = block.unit(0, np.fromiter(got.pairs.keys(), np.int64), np.fromiter(got.pairs.values(), np.int64))
-                block.doc((row["doc_id"], row["n_a"], row["n_b"], got.groups, got.links, digest), [unit], [1])
+                unit = ("", row["n_a"], row["n_b"], got.groups, got.links, tuple(got.pairs), tuple(got.pairs.values()))
+                block.doc(row["doc_id"], digest, {0: 1}, {0: unit})
             else:
-                block.doc((row["doc_id"], 0, 0, 0, 0, ""), [], [])
+                block.doc(row["doc_id"], "", {}, {})
             yield _batch(block.row(-1 - row["doc"]), schema)
 
     return made.mapInArrow(run, ddl)
