@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions import boosting as B
 from tidemark.functions import geometry as G
 from tidemark.functions import stats as T
 from tidemark.operators.ranks import average_rank
@@ -16,67 +17,59 @@ from tidemark.operators.ranks import average_rank
 EXPECTED_POINTS_FEATURES = (
     "phase", "progress", "teams_alive", "members", "hp", "outside_m", "storm_m", "off_centre", "height_rank", "enemies_50", "enemies_150", "hit_10s", "surge_rank", "kills", "skill", "lobby_skill",
 )
-CLOCK_AND_SKILL = ("phase", "progress", "teams_alive", "skill")
-#: Signs that a feature's effect should have; boosted trees here cannot be held to them, so breaches are counted.
-SIGNS = {"members": 1, "hp": 1, "storm_m": -1, "hit_10s": -1}
+CLOCK_AND_SKILL = ("phase", "teams_alive", "skill", "lobby_skill")
+#: Directions known from the game (fixed values): more is never worse (1) or never better (-1).
+SIGNS = {
+    "hp": 1, "members": 1, "kills": 1, "outside_m": -1, "storm_m": -1, "hit_10s": -1, "teams_alive": -1, "seen_close": -1, "surge_margin": 1, "enemies_50": -1, "skill": -1,
+}
 
 
 # ---- expected points --------------------------------------------------------------------------------------------
 
 
-def _assembled(df: DataFrame, features: Sequence[str], target: str | None) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
+def known_skill(df: DataFrame) -> DataFrame:
+    """Unranked teams and lobbies count as rank 100,000."""
+    return df.withColumns({c: F.coalesce(c, F.lit(100_000.0)) for c in ("skill", "lobby_skill") if c in df.columns})
 
-    use = df.select("*", *(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"_f_{f}") for f in features))
-    if target:
-        use = use.where(F.col(target).isNotNull()).withColumn("_y", F.col(target).cast("double"))
-    return VectorAssembler(inputCols=[f"_f_{f}" for f in features], outputCol="_x").transform(use).drop(*(f"_f_{f}" for f in features))
 
+def expected_points_model(snapshots: DataFrame, features: Sequence[str] = EXPECTED_POINTS_FEATURES, k: int = 6, growth: B.Growth = B.Growth(), seed: int = 3):
+    """(model of all snapshots, the snapshots with ``fold``, ``predicted`` and ``baseline``, both out of fold): trees held to ``SIGNS``.
 
-def boosted(df: DataFrame, features: Sequence[str], target: str, rounds: int = 60, depth: int = 5, rate: float = 0.1, seed: int = 0):
-    from pyspark.ml.regression import GBTRegressor
+    The baseline knows the clock and both sides' skill, so what the model adds is the situation's.
+    """
+    dealt = T.folds(known_skill(snapshots), "match_id", k, seed)
+    full, parts, base = B.cross_fit(dealt, features, "future_pts", k, SIGNS, growth, [f for f in CLOCK_AND_SKILL if f in features])
+    return full, dealt.withColumns({"predicted": B.by_fold(parts), "baseline": B.by_fold(base)}), parts
 
-    gbt = GBTRegressor(featuresCol="_x", labelCol="_y", predictionCol="_p", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed)
-    return gbt.fit(_assembled(df, features, target))
 
+def model_check(judged: DataFrame) -> DataFrame:
+    """ST-15: n, R2 and R2 over the baseline."""
+    return judged.agg(F.count("*").alias("n"), T.r_squared("future_pts", "predicted").alias("r2"), T.r_squared("future_pts", "predicted", "baseline").alias("r2_over_baseline"))
 
-def predict(model, df: DataFrame, features: Sequence[str], name: str = "predicted") -> DataFrame:
-    return model.transform(_assembled(df, features, None)).drop("_x").withColumnRenamed("_p", name)
 
+def expected_points(snapshots: DataFrame, k: int = 6, growth: B.Growth = B.Growth()) -> tuple[DataFrame, DataFrame]:
+    """M-01: (out-of-fold predictions; their R2 and that against the clock-and-skill baseline)."""
+    _, judged, _ = expected_points_model(snapshots, k=k, growth=growth)
+    return judged, model_check(judged)
 
-def out_of_fold(df: DataFrame, unit: str, features: Sequence[str], target: str, k: int = 6, **options) -> DataFrame:
-    """The rows with ``predicted``, each by the model that saw none of its unit's rows."""
-    dealt = T.folds(df, unit, k).persist()
-    out = None
-    for fold in range(k):
-        model = boosted(dealt.where(F.col("fold") != fold), features, target, **options)
-        part = predict(model, dealt.where(F.col("fold") == fold), features)
-        out = part if out is None else out.unionByName(part)
-    return out
 
+def predict(model: B.Boosted, df: DataFrame, name: str = "predicted") -> DataFrame:
+    return df.withColumn(name, model.column())
 
-def expected_points(snapshots: DataFrame, k: int = 6, **options) -> tuple[DataFrame, DataFrame]:
-    """M-01: (out-of-fold predictions; their R2 and that against the clock-and-skill baseline)."""
-    full = out_of_fold(snapshots, "match_id", EXPECTED_POINTS_FEATURES, "future_pts", k, **options)
-    base = out_of_fold(snapshots, "match_id", CLOCK_AND_SKILL, "future_pts", k, **options).select("match_id", "t", "team_index", F.col("predicted").alias("baseline"))
-    both = full.join(base, ["match_id", "t", "team_index"])
-    return both, both.agg(F.count("*").alias("n"), T.r_squared("future_pts", "predicted").alias("r2"), T.r_squared("future_pts", "predicted", "baseline").alias("r2_over_baseline"))
 
-
-def sign_breaches(model, df: DataFrame, features: Sequence[str], step: float = 0.1) -> DataFrame:
-    """For each feature with an expected sign the share of rows where a small step moves the prediction the other way."""
-    now = predict(model, df, features, "_now")
+def sign_breaches(model: B.Boosted, df: DataFrame, step: float = 0.1) -> DataFrame:
+    """For each feature with a sign the share of rows where a step, small or to the next integer, moves the prediction the other way."""
+    now = predict(model, df, "_now")
     out = None
-    for name, sign in SIGNS.items():
-        if name not in features:
-            continue
-        moved = predict(model, now.withColumn(name, F.col(name) + step * F.greatest(F.abs(name), F.lit(1.0))), features, "_then")
-        one = moved.agg(F.lit(name).alias("feature"), F.avg(((F.col("_then") - F.col("_now")) * sign < -1e-9).cast("double")).alias("breaches"))
+    for name in (f for f in model.features if SIGNS.get(f)):
+        up = F.col(name) + F.greatest(step * F.abs(name), F.lit(1.0))
+        moved = predict(model, now.withColumn(name, up), "_then")
+        one = moved.agg(F.lit(name).alias("feature"), F.count("*").alias("n"), F.sum(((F.col("_then") - F.col("_now")) * SIGNS[name] < -1e-9).cast("bigint")).alias("breaches"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def priced_actions(model, df: DataFrame, features: Sequence[str]) -> DataFrame:
+def priced_actions(model: B.Boosted, df: DataFrame) -> DataFrame:
     """M-03, M-10: every situation as it is and under each action, priced in one pass; the best action and what it is worth.
 
     Hold leaves it; rotate moves the team inside; heal restores its health; win removes the nearest enemies.
@@ -93,7 +86,7 @@ def priced_actions(model, df: DataFrame, features: Sequence[str]) -> DataFrame:
             one = one.withColumn(column, value)
         one = one.withColumn("action", F.lit(name))
         stacked = one if stacked is None else stacked.unionByName(one)
-    priced = predict(model, stacked, features, "worth").groupBy(*keys).pivot("action", list(states)).agg(F.first("worth"))
+    priced = predict(model, stacked, "worth").groupBy(*keys).pivot("action", list(states)).agg(F.first("worth"))
     best = F.greatest(*states)
     choice = F.lit(None).cast("string")
     for name in reversed(list(states)):
@@ -101,6 +94,54 @@ def priced_actions(model, df: DataFrame, features: Sequence[str]) -> DataFrame:
     return priced.withColumns({"best": choice, "stake": best - F.least(*states)})
 
 
+def swap_drivers(model: B.Boosted, spark, one: dict, other: dict, banked: float = 4.0) -> DataFrame:
+    """M-10: two situations given by hand, priced, and what each differing feature alone moves: (label, one, other, points).
+
+    Row ``total`` has both totals with ``banked`` points for each elimination made; the others the change from the first.
+    """
+    rows = [("one", one), ("other", other)] + [(f, one | {f: other[f]}) for f in model.features if one[f] != other[f]]
+    names = ", ".join(f"{f} double" for f in model.features)
+    df = spark.createDataFrame([(label, *(float(x[f]) for f in model.features)) for label, x in rows], f"label string, {names}")
+    priced = predict(model, df, "worth")
+    sides = priced.where("label in ('one', 'other')").agg(
+        *(F.max(F.when(F.col("label") == side, F.col("worth"))).alias(side) for side in ("one", "other")),
+        *(F.max(F.when(F.col("label") == side, F.col("worth") + banked * F.col("kills"))).alias(f"{side}_total") for side in ("one", "other")),
+    )
+    total = sides.select(F.lit("total").alias("label"), F.col("one_total").alias("one"), F.col("other_total").alias("other"), (F.col("other_total") - F.col("one_total")).alias("points"))
+    own = F.element_at(F.create_map(*(F.lit(x) for f in model.features for x in (f, float(one[f])))), F.col("label"))
+    new = F.element_at(F.create_map(*(F.lit(x) for f in model.features for x in (f, float(other[f])))), F.col("label"))
+    each = priced.where("label not in ('one', 'other')").crossJoin(F.broadcast(sides)).select("label", own.alias("one"), new.alias("other"), (F.col("worth") - F.col("one")).alias("points"))
+    return total.unionByName(each)
+
+
+def endgame_effects() -> dict[str, tuple[dict, dict]]:
+    """What a change is worth: features set on one side and on the other (fixed values)."""
+    set_to = lambda **x: {k: F.lit(float(v)) for k, v in x.items()}
+    return {
+        "+50 health and shield": ({"hp": F.least(F.col("hp") + 50, F.lit(200.0))}, {}),
+        "inside the next zone instead of outside": (set_to(outside_m=0), {"outside_m": F.greatest("outside_m", F.lit(100.0))}),
+        "out of the storm": (set_to(storm_m=0), {"storm_m": F.greatest("storm_m", F.lit(50.0))}),
+        "one more enemy team within 50 m": ({"enemies_50": F.col("enemies_50") + 1}, {}),
+        "teammate alive": (set_to(members=2), set_to(members=1)),
+        "top of the lobby in net damage": (set_to(surge_rank=1), set_to(surge_rank=0)),
+        "high ground": (set_to(height_rank=0.9), set_to(height_rank=0.1)),
+        "centre of the zone": (set_to(off_centre=0.2), set_to(off_centre=0.95)),
+        "just took 50 damage": (set_to(hit_10s=50), set_to(hit_10s=0)),
+        "stronger team": (set_to(skill=200), set_to(skill=5000)),
+    }
+
+
+def marginal_effects(model: B.Boosted, df: DataFrame, effects: dict[str, tuple[dict, dict]]) -> DataFrame:
+    """M-10: (label, n, points): the mean change of the prediction, each effect alone, over all rows in one pass.
+
+    An effect counts only if the model reads a feature that it changes.
+    """
+    of = lambda change: F.array(*(F.coalesce(change.get(f, F.col(f)).cast("double"), F.lit(float("nan"))) for f in model.features))
+    use = {k: v for k, v in effects.items() if set(model.features) & (set(v[0]) | set(v[1]))}
+    stacked = df.select(F.explode(F.array(*(F.struct(F.lit(k).alias("label"), F.lit(w).alias("w"), of(x).alias("x")) for k, v in use.items() for w, x in ((1.0, v[0]), (-1.0, v[1])))))).select("col.*")
+    return stacked.select("label", (F.col("w") * model.column("x")).alias("p"), "w").groupBy("label").agg(F.count_if(F.col("w") > 0).alias("n"), (F.sum("p") / F.count_if(F.col("w") > 0)).alias("points"))
+
+
 def hit_risk(exposures: DataFrame, least: int = 30) -> DataFrame:
     """M-04: chance of a new attacker by stage, action and lookers, and of at least one in two such spells."""
     g = exposures.groupBy("stage", "action", F.least("lookers", F.lit(2)).alias("lookers")).agg(F.count("*").alias("n"), F.avg(F.col("hit").cast("double")).alias("p"))
@@ -108,12 +149,18 @@ def hit_risk(exposures: DataFrame, least: int = 30) -> DataFrame:
 
 
 def fight_odds(fights: DataFrame) -> DataFrame:
-    """M-05: how often the side that begins a decided fight wins it, by its lead in health."""
+    """M-05: how often the side that begins a decided fight wins it, by its own health going in."""
     from tidemark.functions.scalar import bands
 
-    lead = F.when(F.col("first") == F.col("a"), F.col("hp_gap")).otherwise(-F.col("hp_gap"))
-    f = fights.where("winner is not null").withColumn("lead", bands(lead, [-1e9, -50, -10, 10, 50, 1e9], ["far behind", "behind", "level", "ahead", "far ahead"]))
-    return f.groupBy("lead").agg(F.count("*").alias("n"), F.avg((F.col("winner") == F.col("first")).cast("double")).alias("won"))
+    own = F.when(F.col("first") == F.col("a"), F.col("hp_a")).otherwise(F.col("hp_b"))
+    f = fights.where("winner is not null").withColumn("health", bands(own, [0, 75, 125, 175, 1e9], ["low", "mid", "high", "full"]))
+    return f.groupBy("health").agg(F.count("*").alias("n"), F.avg((F.col("winner") == F.col("first")).cast("double")).alias("won"))
+
+
+def surged_share(per: DataFrame, default: float = 0.25) -> DataFrame:
+    """M-05: one row, the median over surge episodes of the share of players surged; ``default`` without episodes."""
+    each = per.groupBy("match_id", "episode").agg(F.avg(F.col("surged").cast("double")).alias("_s"))
+    return each.agg(F.coalesce(F.median("_s"), F.lit(default)).alias("cut_off"))
 
 
 # ---- next circle ------------------------------------------------------------------------------------------------

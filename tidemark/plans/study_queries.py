@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import boosting as B
 from tidemark.functions import stats as T
 from tidemark.operators import aggregates as A
 from tidemark.operators import selection as L
@@ -12,8 +13,10 @@ from tidemark.operators.spatial import blurred_density, grid_density, land_map
 from tidemark.plans import detect as D
 from tidemark.plans import models as M
 from tidemark.plans import studies as K
+from tidemark.plans import value_studies  # noqa: F401  registers its studies
 from tidemark.plans.operator_queries import DROPS_SQL, MARGIN, SHARE_OF_MOVE, r6
 from tidemark.sources.arena import ARENA_SQL, Arena
+from tidemark.sources.shared import written
 
 QUERIES, ORACLES = {}, {}
 
@@ -269,19 +272,31 @@ def density(a: Arena) -> DataFrame:
     return land_map(cells).join(blurred_density(cells, 3.0, 9), ["cx", "cy"], "left").withColumn("log_density", F.round("log_density", 6))
 
 
+#: Fewer rounds than the operator's 250, so that the query takes seconds; folds are its own six.
+SHORT = B.Growth(rounds=12, rate=0.3, depth=4)
+
+
 @registered("model_expected_points")
 def points(a: Arena) -> DataFrame:
     """M-01, ST-15: boosted trees out of fold, held against the clock-and-skill baseline."""
-    snaps = D.snapshots(a.tables(), 60.0)
-    return M.expected_points(snaps, 2, rounds=8, depth=4)[1]
+    snaps = written(D.snapshots(a.tables(), 60.0), "snapshots")
+    return M.expected_points(snaps, growth=SHORT)[1]
 
 
 @registered("model_action_prices")
 def prices(a: Arena) -> DataFrame:
     """M-03, M-10: what each action is worth in each situation."""
-    snaps = D.snapshots(a.tables(), 120.0).persist()
-    model = M.boosted(snaps, M.EXPECTED_POINTS_FEATURES, "future_pts", rounds=8, depth=4)
-    return M.priced_actions(model, snaps, M.EXPECTED_POINTS_FEATURES).groupBy("best").agg(F.count("*").alias("n"), F.avg("stake").alias("stake"))
+    snaps = written(M.known_skill(D.snapshots(a.tables(), 60.0)), "snapshots")
+    model = B.fit(snaps, M.EXPECTED_POINTS_FEATURES, "future_pts", M.SIGNS, SHORT)
+    return M.priced_actions(model, snaps).groupBy("best").agg(F.count("*").alias("n"), F.avg("stake").alias("stake"))
+
+
+@registered("model_sign_breaches")
+def breaches(a: Arena) -> DataFrame:
+    """M-01: for each feature with a sign, the rows where a step in it moves the prediction the wrong way: none may."""
+    snaps = written(M.known_skill(D.snapshots(a.tables(), 60.0)), "snapshots")
+    model = B.fit(snaps, M.EXPECTED_POINTS_FEATURES, "future_pts", M.SIGNS, SHORT)
+    return M.sign_breaches(model, snaps)
 
 
 @registered(
@@ -294,8 +309,8 @@ def prices(a: Arena) -> DataFrame:
       EXISTS (SELECT 1 FROM d WHERE d.match_id = f.match_id AND d.team_index = f.b AND d.death_t BETWEEN t0 AND t1 + 5) AS lb FROM f),
     pr AS (SELECT w.match_id, a, b, fight, p.team_index, p.id, t0 - 1 AS at_t FROM w JOIN players p ON p.match_id = w.match_id AND (p.team_index = a OR p.team_index = b) AND NOT p.is_bot WHERE la <> lb),
     hp AS (SELECT pr.match_id, a, b, fight, avg(health + shield) FILTER (team_index = a) AS ha, avg(health + shield) FILTER (team_index = b) AS hb FROM pr ASOF JOIN changes c ON pr.match_id = c.match_id AND pr.id = c.id AND pr.at_t >= c.t GROUP BY ALL),
-    o AS (SELECT CASE WHEN first = w.a THEN ha - hb ELSE hb - ha END AS lead, (CASE WHEN la THEN w.b ELSE w.a END) = first AS won FROM w LEFT JOIN hp USING (match_id, a, b, fight) WHERE la <> lb)
-    SELECT CASE WHEN lead <= -50 THEN 'far behind' WHEN lead <= -10 THEN 'behind' WHEN lead <= 10 THEN 'level' WHEN lead <= 50 THEN 'ahead' WHEN lead > 50 THEN 'far ahead' END AS lead, count(*) AS n, round(avg(CASE WHEN won THEN 1.0 ELSE 0 END), 6) AS won FROM o GROUP BY 1""",
+    o AS (SELECT CASE WHEN first = w.a THEN ha ELSE hb END AS own, (CASE WHEN la THEN w.b ELSE w.a END) = first AS won FROM w LEFT JOIN hp USING (match_id, a, b, fight) WHERE la <> lb)
+    SELECT CASE WHEN own > 175 THEN 'full' WHEN own > 125 THEN 'high' WHEN own > 75 THEN 'mid' WHEN own > 0 THEN 'low' END AS health, count(*) AS n, round(avg(CASE WHEN won THEN 1.0 ELSE 0 END), 6) AS won FROM o GROUP BY 1""",
 )
 def odds(a: Arena) -> DataFrame:
     """M-05."""
@@ -308,6 +323,21 @@ def forecast(a: Arena) -> DataFrame:
     return M.forecast(D.pulls(a.tables()), n=30, k=2)
 
 
+#: Fewer rounds than the studies' own.
+STUDY_PARAMS = {"expected_points": {"growth": SHORT}}
+#: Studies whose query returns every row of every frame.
+WHOLE = ("expected_points",)
+
+
+def all_frames(found: dict[str, DataFrame]) -> DataFrame:
+    """(frame, row): all rows of all frames of a study, each as JSON."""
+    out = None
+    for name, df in found.items():
+        one = df.select(F.lit(name).alias("frame"), F.to_json(F.struct("*")).alias("row"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _study(name: str):
     def run(a: Arena) -> DataFrame:
         t = a.tables()
@@ -315,7 +345,10 @@ def _study(name: str):
         if K.STUDIES[name].needs_compare:
             sides = (L.Filters(seasons=("v30", "v31")), L.Filters(seasons=("v31", "v32")))
             context = K.Context(t.chosen(L.select(a.matches, sides[0])), {"rounds": 200}, t.chosen(L.select(a.matches, sides[1])))
+        context.params = STUDY_PARAMS.get(name, {}) | context.params
         found = K.run_study(name, context)
+        if name in WHOLE:
+            return all_frames(found)
         if "tests" in found:
             return found["tests"]
         return found.get("metrics") or next(iter(found.values()))
