@@ -42,8 +42,8 @@ LONG = 100_000
 CHUNK = 32_768
 FAN = 8
 BLOCK_ROWS = 4096
-BLOCK_LINKS = 2_000_000
-CACHED = 300_000
+BLOCK_UNITS = 300_000
+CACHED = 150_000
 
 _GAP = re.compile(r"\s[ \n]")
 _BEGIN = re.compile(r"(?<=\S)(?=[ \n])")
@@ -249,20 +249,25 @@ def closed_unit(a: list[int], b: list[int], lengths_a: list[int], lengths_b: lis
 
 
 class Units:
-    """The closed groups of the strings met so far; emptied when it holds ``CACHED``. None where the two spell differently."""
+    """The closed groups of the strings met so far, by number. None where the two spell differently."""
 
     def __init__(self, tokenizers: Tokenizers):
         self.tokenizers = tokenizers
-        self.held: dict[str, tuple | None] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.rows: list[tuple | None] = []
+        self.said: list[str | None] = []
 
     def learn(self, strings: set[str]) -> None:
-        new = [s for s in strings if s not in self.held]
-        if len(self.held) + len(new) > CACHED:
-            self.held.clear()
-            new = list(strings)
+        new = [s for s in strings if s not in self.number]
         t = self.tokenizers
         for s, a, (b, ok) in zip(new, t.read_a(new), t.read_b(new), strict=True):
-            self.held[s] = closed_unit(a, b, t.lengths, t.b_lengths) if ok else None
+            self.number[s] = len(self.rows)
+            row = closed_unit(a, b, t.lengths, t.b_lengths) if ok else None
+            self.rows.append(row)
+            self.said.append(row and row[0])
 
 
 _HELD: dict[tuple[str, str], Units] = {}
@@ -283,44 +288,40 @@ doc_ptr array<int>, doc_unit array<int>, doc_n array<int>"""
 class Block:
     """Texts as bags of units, units as bags of id pairs, and in how many of the texts each pair is linked."""
 
-    def __init__(self):
-        self.index: dict[object, int] = {}
-        self.units: list[tuple] = []
+    def __init__(self, rows: list[tuple | None]):
+        self.rows = rows
         self.docs: list[tuple] = []  # id and digest
-        self.bags: list[np.ndarray] = []
-        self.numbers: list[np.ndarray] = []
+        self.bags: list[np.ndarray] = []  # numbers of the units, a text after the other
+        self.counts: list[np.ndarray] = []
         self.size = 0
 
-    def doc(self, doc_id, digest: str, bag: dict, held: dict) -> None:
-        """``bag``: how often each unit stands; ``held``: the units."""
-        index, units, at = self.index, self.units, []
-        for key in bag:
-            k = index.get(key)
-            if k is None:
-                k = index[key] = len(units)
-                units.append(held[key])
-            at.append(k)
+    def doc(self, doc_id, digest: str, units: list[int]) -> None:
+        bag, n = np.unique(np.array(units, np.int64), return_counts=True)
         self.docs.append((doc_id, digest))
-        self.bags.append(np.array(at, np.int64))
-        self.numbers.append(np.fromiter(bag.values(), np.int64, len(bag)))
-        self.size += 2 * len(at)
+        self.bags.append(bag)
+        self.counts.append(n)
+        self.size += len(bag)
 
     def row(self, block: int) -> dict:
         none = [np.empty(0, np.int64)]
-        lengths = np.array([len(u[5]) for u in self.units], np.int64)
+        used, bags = np.unique(np.concatenate(self.bags or none), return_inverse=True)
+        numbers = np.concatenate(self.counts or none)
+        units = [self.rows[k] for k in used.tolist()]
+        lengths = np.array([len(u[5]) for u in units], np.int64)
         ptr = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
-        codes, times = (np.fromiter(chain.from_iterable(u[k] for u in self.units), np.int64, int(ptr[-1])) for k in (5, 6))
+        codes, times = (np.fromiter(chain.from_iterable(u[k] for u in units), np.int64, int(ptr[-1])) for k in (5, 6))
         pairs, at = np.unique(codes, return_inverse=True)
-        bags, numbers = np.concatenate(self.bags or none), np.concatenate(self.numbers or none)
-        owner = np.repeat(np.arange(len(self.docs)), [len(u) for u in self.bags])
-        # every (text, pair) of the block, once
-        many = lengths[bags]
-        places = np.repeat(ptr[bags], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        seen = np.sort(np.repeat(owner, many) * max(1, len(pairs)) + at[places])
-        seen = seen[np.diff(seen, prepend=-1) > 0]
-        held = np.bincount(seen % max(1, len(pairs)), minlength=len(pairs))
-        own = np.array([u[1:5] for u in self.units], np.int64).reshape(-1, 4)
         doc_ptr = np.concatenate(([0], np.cumsum([len(u) for u in self.bags]))).astype(np.int64)
+        held = np.zeros(len(pairs), np.int64)
+        for first in range(0, len(self.docs), 64):  # which texts of these have which pairs
+            ends = doc_ptr[first : first + 65]
+            part = bags[ends[0] : ends[-1]]
+            many = lengths[part]
+            places = np.repeat(ptr[part] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            seen = np.zeros((len(ends) - 1, len(pairs)), bool)
+            seen[np.repeat(np.repeat(np.arange(len(ends) - 1), np.diff(ends)), many), at[places]] = True
+            held += seen.sum(0)
+        own = np.array([u[1:5] for u in units], np.int64).reshape(-1, 4)
         sums = [np.diff(np.concatenate(([0], np.cumsum(own[bags, k] * numbers)))[doc_ptr]) for k in range(4)]
         return {
             "block": block, "pairs": pairs, "pair_docs": held, "unit_ptr": ptr, "unit_pair": at, "unit_n": times,
@@ -347,24 +348,26 @@ def short_blocks(docs: DataFrame, path_a: str, path_b: str, id_type: str) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = units_for(path_a, path_b)
-        number = TaskContext.get().partitionId() << 33
-        block = Block()
+        place = TaskContext.get().partitionId() << 33
+        block = Block(cache.rows)
         for rows in rows_of(batches, 128):
             split = [units_of(t) if t else [] for t in rows["text"]]
             cache.learn(set().union(*split))
-            held = cache.held
+            number, said = cache.number.__getitem__, cache.said.__getitem__
             for doc_id, strings in zip(rows["doc_id"], split, strict=True):
-                found = [held[s] for s in strings]
+                units = list(map(number, strings))
+                found = list(map(said, units))
                 if not found or None in found:
-                    block.doc(doc_id, "", {}, held)
-                    continue
-                digest = hashlib.sha256(";".join([x[0] for x in found]).encode()).hexdigest()
-                block.doc(doc_id, digest, Counter(strings), held)
-            if block.size >= BLOCK_LINKS or len(block.docs) >= BLOCK_ROWS:
-                yield _batch(block.row(number), schema)
-                block, number = Block(), number + 1
+                    block.doc(doc_id, "", [])
+                else:
+                    block.doc(doc_id, hashlib.sha256(";".join(found).encode()).hexdigest(), units)
+            if block.size >= BLOCK_UNITS or len(block.docs) >= BLOCK_ROWS:
+                yield _batch(block.row(place), schema)
+                if len(cache.rows) > CACHED:
+                    cache.clear()
+                block, place = Block(cache.rows), place + 1
         if block.docs:
-            yield _batch(block.row(number), schema)
+            yield _batch(block.row(place), schema)
 
     return docs.mapInArrow(run, ddl)
 
@@ -457,14 +460,16 @@ def long_blocks(docs: DataFrame, path_a: str, path_b: str, id_type: str, chunk:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in rows_of(batches, 1):
             row = {k: v[0] for k, v in rows.items()}
-            fragment, block = unpack_fragment(row["fragment"]), Block()
+            fragment = unpack_fragment(row["fragment"])
             if fragment.ok:
                 got = fragment.whole()
                 digest = hashlib.sha256(";".join(got.parts).encode()).hexdigest()
                 unit = ("", row["n_a"], row["n_b"], got.groups, got.links, tuple(got.pairs), tuple(got.pairs.values()))
-                block.doc(row["doc_id"], digest, {0: 1}, {0: unit})
+                block = Block([unit])
+                block.doc(row["doc_id"], digest, [0])
             else:
-                block.doc(row["doc_id"], "", {}, {})
+                block = Block([])
+                block.doc(row["doc_id"], "", [])
             yield _batch(block.row(-1 - row["doc"]), schema)
 
     return made.mapInArrow(run, ddl)
