@@ -156,4 +156,3 @@ def test_studies_do_not_fail_on_the_arena(spark, tiny):
     c = K.Context(Arena(spark, tiny).tables())
     sheet = K.findings(c, ("overview", "zone_check", "height")).collect()
     assert {r.kind for r in sheet} <= {"test", "metric"} and len(sheet) > 5
-    c.close()

@@ -6,7 +6,10 @@ one is told, not fatal.
 
 from __future__ import annotations
 
+import copy
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -23,6 +26,7 @@ from tidemark.operators import ranks as R
 from tidemark.operators import sessions as W
 from tidemark.operators.asof import asof_join
 from tidemark.plans import detect as D
+from tidemark.sources.shared import shared_dir, written
 
 
 @dataclass(frozen=True)
@@ -35,7 +39,7 @@ class Param:
 
 @dataclass
 class Context:
-    """The selected tables and the parameters; heavy detectors run once and are kept until ``close``."""
+    """The selected tables and the parameters; heavy detectors run once and are written to the shared folder."""
 
     tables: D.Tables
     params: dict = field(default_factory=dict)
@@ -43,9 +47,7 @@ class Context:
     bus: DataFrame | None = None
 
     def _kept(self, df: DataFrame) -> DataFrame:
-        df = df.persist()
-        self.__dict__.setdefault("_held", []).append(df)
-        return df
+        return written(df, "detected")
 
     @cached_property
     def rotations(self) -> DataFrame:
@@ -68,9 +70,10 @@ class Context:
     def snapshots(self) -> DataFrame:
         return self._kept(D.snapshots(self.tables))
 
-    def close(self) -> None:
-        for df in self.__dict__.pop("_held", []):
-            df.unpersist()
+    def detect(self) -> None:
+        """Runs the detectors that many studies share, so that copies of this context have them."""
+        for name in ("rotations", "fights", "standing", "surge", "snapshots"):
+            getattr(self, name)
 
 
 @dataclass(frozen=True)
@@ -95,7 +98,8 @@ def study(id: str, *params: Param, needs_compare: bool = False, min_matches: int
 
 def run_study(id: str, context: Context) -> dict[str, DataFrame]:
     s = STUDIES[id]
-    context.params = {p.name: p.default for p in s.params} | context.params
+    given, context = context.params, copy.copy(context)
+    context.params = {p.name: p.default for p in s.params} | given
     if s.needs_compare and context.compare is None:
         raise ValueError(f"{id} compares two selections")
     if context.tables.matches.limit(s.min_matches).count() < s.min_matches:
@@ -491,27 +495,37 @@ SHEET = "study string, kind string, label string, value double, n bigint, p doub
 FIRST = ("audit", "field", "gameplan")
 
 
-def findings(context: Context, ids: tuple[str, ...] | None = None) -> DataFrame:
+def findings(context: Context, ids: tuple[str, ...] | None = None, at_once: int = 6) -> DataFrame:
     """S-15: one long sheet (study, kind, label, value, n, p, strength); a failing study has one row that says so.
 
-    Each study runs on its own, here; what it adds are its tests and metrics, one row for each label.
+    The shared detectors are written first. Then each study's tests and metrics are one job, ``at_once`` of them at a time,
+    which writes its rows to the shared folder; the sheet is what lies there.
     """
     spark = context.tables.matches.sparkSession
+    context.detect()
+    folder = f"{shared_dir(spark)}/findings-{uuid.uuid4().hex}"
     order = [i for i in FIRST if i in STUDIES] + [i for i in STUDIES if i not in FIRST]
-    out: list = []
-    for i in order:
-        if (ids and i not in ids) or (STUDIES[i].needs_compare and context.compare is None):
-            continue
-        parts = []
+    use = [i for i in order if (not ids or i in ids) and not (STUDIES[i].needs_compare and context.compare is None)]
+    none = F.lit(None)
+
+    def rows(i: str) -> DataFrame:
+        out = None
+        for name, df in run_study(i, context).items():
+            if name == "tests":
+                one = df.select(F.lit("test").alias("kind"), "label", F.col("effect").cast("double").alias("value"), F.col("n").cast("bigint").alias("n"), F.col("p").cast("double").alias("p"), S.strength(F.col("p")).alias("strength"))
+            elif name == "metrics":
+                one = df.select(F.lit("metric").alias("kind"), "label", F.col("value").cast("double").alias("value"), none.cast("bigint").alias("n"), none.cast("double").alias("p"), none.cast("string").alias("strength"))
+            else:
+                continue
+            out = one if out is None else out.unionByName(one)
+        return spark.createDataFrame([], SHEET) if out is None else out.select(F.lit(i).alias("study"), *(f.name for f in out.schema))
+
+    def write(i: str) -> None:
         try:
-            for name, df in run_study(i, context).items():
-                if name == "tests":
-                    parts += df.select(F.lit(i).alias("study"), F.lit("test").alias("kind"), "label", F.col("effect").cast("double").alias("value"), F.col("n").cast("bigint").alias("n"), "p", S.strength(F.col("p")).alias("strength")).collect()
-                elif name == "metrics":
-                    none = F.lit(None)
-                    parts += df.select(F.lit(i).alias("study"), F.lit("metric").alias("kind"), "label", "value", none.cast("bigint").alias("n"), none.cast("double").alias("p"), none.cast("string").alias("strength")).collect()
+            rows(i).write.parquet(f"{folder}/{i}")
         except Exception as e:  # one study's failure is a finding, not the run's end
-            parts = [(i, "failed", str(e)[:200], None, None, None, None)]
-        out += parts
-    context.close()
-    return spark.createDataFrame(out, SHEET)
+            spark.createDataFrame([(i, "failed", str(e)[:200], None, None, None, None)], SHEET).write.mode("overwrite").parquet(f"{folder}/{i}")
+
+    with ThreadPoolExecutor(at_once) as pool:
+        list(pool.map(write, use))
+    return spark.read.schema(SHEET).parquet(*(f"{folder}/{i}" for i in use)) if use else spark.createDataFrame([], SHEET)
