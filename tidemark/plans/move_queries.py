@@ -83,7 +83,7 @@ _EXCHANGES_SQL = f"""{HITS_SQL}, a AS (SELECT ph.*, p.x AS ax, p.y AS ay, p.t AS
 @registered(
     "tag_ranges",
     f"""{_EXCHANGES_SQL}, q AS (SELECT count(*) AS n, quantile_cont(dist, 0.2) AS lo, quantile_cont(dist, 0.8) AS hi FROM e WHERE dealt > 0 AND taken = 0 AND phase BETWEEN 2 AND 5)
-    SELECT n, round(CASE WHEN n >= 30 THEN greatest(20, lo) ELSE 20 END, 4) AS low, round(CASE WHEN n >= 30 THEN least(250, greatest(hi, lo + 30)) ELSE 80 END, 4) AS high FROM q""",
+    SELECT n, round(CASE WHEN n >= 30 THEN greatest(20, lo) ELSE 30 END, 4) AS low, round(CASE WHEN n >= 30 THEN least(250, greatest(hi, lo + 30)) ELSE 120 END, 4) AS high FROM q""",
 )
 def tag_ranges(a: Arena) -> DataFrame:
     """D-21."""

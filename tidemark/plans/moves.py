@@ -21,7 +21,7 @@ from tidemark.plans import detect as D
 CM = G.CM
 #: Metres and seconds of the rules below.
 LOOK_M, NEW_ATTACKER_S, NEXT_S = 120.0, 30.0, 10.0
-TAG_LEAST_M, TAG_MOST_M, TAG_WIDTH_M, TAG_ROWS, TAG_USUAL_M = 20.0, 250.0, 30.0, 30, (20.0, 80.0)
+TAG_LEAST_M, TAG_MOST_M, TAG_WIDTH_M, TAG_ROWS, TAG_USUAL_M = 20.0, 250.0, 30.0, 30, (30.0, 120.0)
 ROUTE_M, ENTRY_DEPTH, ENTRY_TURN_DEG, ENTRY_EXTRA_M = 60.0, 0.92, tuple(range(-70, 71, 10)), 120.0
 MOVED_M, HUNT_DAMAGE, EARLY_S = 80.0, 25.0, 20.0
 
