@@ -42,8 +42,8 @@ LONG = 100_000
 CHUNK = 32_768
 FAN = 8
 BLOCK_ROWS = 4096
-BLOCK_UNITS = 300_000
-CACHED = 150_000
+BLOCK_UNITS = 150_000
+CACHED = 60_000
 
 _GAP = re.compile(r"\s[ \n]")
 _BEGIN = re.compile(r"(?<=\S)(?=[ \n])")
@@ -77,6 +77,7 @@ class Tokenizers:
         pieces = [self.b.id_to_piece(k) for k in range(size)]
         self.spelled = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
         self.b_lengths = [len(x) for x in self.spelled]
+        self.array_a, self.array_b = np.array(self.lengths, np.int64), np.array(self.b_lengths, np.int64)
         self.odd = {k for k in range(size) if self.b.is_unknown(k) or self.b.is_control(k)}
         usual = [p for k, p in enumerate(pieces) if not self.b.is_byte(k) and k not in self.odd]
         #: neighbours that some piece holds: merges never cross any others
@@ -110,7 +111,7 @@ class Tokenizers:
             return [e.ids for e in self.a.encode_batch_fast(strings, add_special_tokens=False)]
         short, out, others = self.short.encode_ordinary, [], []
         for k, s in enumerate(strings):
-            if max(s) < "\u0250":
+            if s.isascii() or max(s) < "\u0250":
                 out.append(short(s))
             else:
                 out.append([])
@@ -219,33 +220,40 @@ class Fragment:
         return out
 
 
-def closed_unit(a: list[int], b: list[int], lengths_a: list[int], lengths_b: list[int]) -> tuple[str, int, int, int, int, tuple, tuple]:
-    """What ``Fragment.of(...).whole()`` says of one string that both have read in full: (groups, n_a, n_b, n_groups, n_links, pairs, their numbers)."""
-    if len(a) == len(b) == 1:
-        return f"{a[0]}|{b[0]}", 1, 1, 1, 1, (a[0] << 16 | b[0],), (1,)
-    parts, pairs, links = [], {}, 0
-    i = j = i0 = j0 = x = y = 0
-    for x_id in a:
-        x += lengths_a[x_id]
-        i += 1
-        while y < x:
-            y += lengths_b[b[j]]
-            j += 1
-        if x == y:
-            if i - i0 == j - j0 == 1:
-                parts.append(f"{x_id}|{b[j0]}")
-                code = x_id << 16 | b[j0]
-                pairs[code] = pairs.get(code, 0) + 1
-                links += 1
-            else:
-                parts.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
-                links += (i - i0) * (j - j0)
-                for p in a[i0:i]:
-                    for q in b[j0:j]:
-                        code = p << 16 | q
-                        pairs[code] = pairs.get(code, 0) + 1
-            i0, j0 = i, j
-    return ";".join(parts), len(a), len(b), len(parts), links, tuple(pairs), tuple(pairs.values())
+def closed_units(a: list[list[int]], b: list[list[int]], lengths_a: np.ndarray, lengths_b: np.ndarray) -> list[tuple]:
+    """What ``Fragment.of(...).whole()`` says of strings that both have read in full, all strings at once.
+
+    (groups, n_a, n_b, n_groups, n_links, pairs, their numbers); a pair may stand more than once.
+    """
+    na, nb = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+    ids_a, ids_b = np.fromiter(chain.from_iterable(a), np.int64, int(na.sum())), np.fromiter(chain.from_iterable(b), np.int64, int(nb.sum()))
+    # the strings stand one after the other, and both spell all of each: ends of strings are common ends
+    ends_a, ends_b = np.cumsum(lengths_a[ids_a]), np.cumsum(lengths_b[ids_b])
+    common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+    group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+    size_a, size_b = np.bincount(group_a, minlength=len(common)), np.bincount(group_b, minlength=len(common))
+    first_b = np.cumsum(size_b) - size_b
+    many = size_b[group_a]
+    codes = np.repeat(ids_a, many) << 16 | ids_b[np.repeat(first_b[group_a] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+    # the text of the groups: ids with the mark that follows them, sides of a group one after the other
+    last = lambda g: np.append(np.diff(g) > 0, True)
+    order = np.lexsort((np.repeat((0, 1), (len(ids_a), len(ids_b))), np.concatenate((group_a, group_b))))
+    mark = np.concatenate((np.where(last(group_a), 1, 0), np.where(last(group_b), 2, 0)))[order].tolist()
+    said = [f"{k}{',|;'[m]}" for k, m in zip(np.concatenate((ids_a, ids_b))[order].tolist(), mark, strict=True)]
+    at = lambda n: np.concatenate(([0], np.cumsum(n))).tolist()
+    stop_a = np.cumsum(na) - 1
+    groups = np.diff(np.concatenate(([0], group_a[stop_a] + 1)))
+    links = np.diff(np.concatenate(([0], np.cumsum(size_a * size_b)[group_a[stop_a]])))
+    codes = codes.tolist()
+    return [
+        ("".join(said[x0:x1])[:-1], n, m, g, k, tuple(codes[y0:y1]), (1,) * k)
+        for x0, x1, y0, y1, n, m, g, k in zip(*(lambda x, y: (x[:-1], x[1:], y[:-1], y[1:]))(at(na + nb), at(links)), na.tolist(), nb.tolist(), groups.tolist(), links.tolist(), strict=True)
+    ]
+
+
+def joined_unit(x: tuple, y: tuple) -> tuple:
+    """Two strings' closed groups as one string's."""
+    return f"{x[0]};{y[0]}", x[1] + y[1], x[2] + y[2], x[3] + y[3], x[4] + y[4], x[5] + y[5], x[6] + y[6]
 
 
 class Units:
@@ -253,21 +261,44 @@ class Units:
 
     def __init__(self, tokenizers: Tokenizers):
         self.tokenizers = tokenizers
-        self.clear()
+        self.keep([], [])
+
+    def keep(self, names: list[str], rows: list[tuple | None]) -> None:
+        """From now on these alone."""
+        self.names, self.rows, self.said = names, rows, [r and r[0] for r in rows]
+        self.number = {s: k for k, s in enumerate(names)}
 
-    def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.rows: list[tuple | None] = []
-        self.said: list[str | None] = []
+    def add(self, name: str, row: tuple | None) -> None:
+        self.number[name] = len(self.rows)
+        self.names.append(name)
+        self.rows.append(row)
+        self.said.append(row and row[0])
 
     def learn(self, strings: set[str]) -> None:
-        new = [s for s in strings if s not in self.number]
-        t = self.tokenizers
-        for s, a, (b, ok) in zip(new, t.read_a(new), t.read_b(new), strict=True):
-            self.number[s] = len(self.rows)
-            row = closed_unit(a, b, t.lengths, t.b_lengths) if ok else None
-            self.rows.append(row)
-            self.said.append(row and row[0])
+        t, number = self.tokenizers, self.number
+        new = strings.difference(number)
+        # a mark behind a letter: both read it apart where no piece holds the two
+        marked = [s for s in new if len(s) > 2 and s[-1] in ",.;:!?" and s[-2].isalpha() and s[-2:] not in t.inside]
+        whole = new.difference(marked) | {s[:-1] for s in marked}.difference(number) | {s[-1] for s in marked}.difference(number)
+        todo = list(whole)
+        a, b = t.read_a(todo), t.read_b(todo)
+        good = [k for k, (_, ok) in enumerate(b) if ok]
+        rows: list[tuple | None] = [None] * len(todo)
+        if good:
+            made = closed_units([a[k] for k in good], [b[k][0] for k in good], t.array_a, t.array_b)
+            for k, row in zip(good, made, strict=True):
+                rows[k] = row
+        for s, row in zip(todo, rows, strict=True):
+            self.add(s, row)
+        for s in marked:
+            x, y = self.rows[number[s[:-1]]], self.rows[number[s[-1]]]
+            self.add(s, joined_unit(x, y) if x and y else None)
+
+    def forget(self, block: Block) -> None:
+        """Keeps what at least two of a block's texts have."""
+        used, n = np.unique(np.concatenate(block.bags), return_counts=True)
+        kept = used[n > 1].tolist()
+        self.keep([self.names[k] for k in kept], [self.rows[k] for k in kept])
 
 
 _HELD: dict[tuple[str, str], Units] = {}
@@ -364,7 +395,7 @@ def short_blocks(docs: DataFrame, path_a: str, path_b: str, id_type: str) -> Dat
             if block.size >= BLOCK_UNITS or len(block.docs) >= BLOCK_ROWS:
                 yield _batch(block.row(place), schema)
                 if len(cache.rows) > CACHED:
-                    cache.clear()
+                    cache.forget(block)
                 block, place = Block(cache.rows), place + 1
         if block.docs:
             yield _batch(block.row(place), schema)
