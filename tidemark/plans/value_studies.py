@@ -9,10 +9,12 @@ from tidemark.functions import boosting as B
 from tidemark.functions import scalar as S
 from tidemark.functions import stats as T
 from tidemark.operators import aggregates as A
+from tidemark.plans import circles as C
 from tidemark.plans import detect as D
 from tidemark.plans import models as M
 from tidemark.plans import moves as V
-from tidemark.plans.studies import Context, Param, metrics, study
+from tidemark.plans import spots as Q
+from tidemark.plans.studies import Context, Param, mean_test, metrics, study
 from tidemark.sources.shared import written
 
 #: Two situations to compare, unless others are given (fixed values).
@@ -65,3 +67,19 @@ def expected_points(c: Context):
         "table:calibration": T.calibration(judged, "future_pts", "predicted"),
         "table:signs": M.sign_breaches(model, snaps),
     }
+
+
+@study("zone_forecast", Param("folds", "number", C.FOLDS), Param("disk", "number", C.N_DISK), Param("ring", "number", C.N_RING), Param("end", "number", C.N_END), min_matches=6)
+def zone_forecast(c: Context):
+    """K-19: how well the next circle and the last one can be foreseen, rung by rung, against other matches' histories."""
+    pulls, matches, land = D.pulls(c.tables), c.tables.matches, C.raster(Q.ground(c.tables))
+    steps = C.ladder(pulls, matches, land, c.params["folds"], disk=c.params["disk"], ring=c.params["ring"])
+    end = C.endgame(pulls, matches, land, c.params["folds"], n=c.params["end"])
+    by_match = steps.where("test = 'fold'").groupBy("rung", "match_id").agg(F.avg("bits").alias("bits"), F.avg(F.col("top_quarter").cast("double")).alias("hit"))
+    gain = mean_test(by_match, "bits over the rules", "bits", group=("rung",)).unionByName(mean_test(by_match, "in the best quarter", "hit", C.TOP, group=("rung",)))
+    return {
+        "tests": gain,
+        "table:ladder": C.ladder_table(steps),
+        "table:zones": steps.where("test = 'fold'").groupBy("rung", "phase", "kind").agg(F.count("*").alias("n"), F.avg(F.col("top_quarter").cast("double")).alias("top_quarter"), F.avg("bits").alias("bits")),
+        "table:endgame": end.groupBy("rung", "phase").agg(F.count("*").alias("n"), F.avg(F.col("top_quarter").cast("double")).alias("top_quarter"), F.avg("bits").alias("bits"), F.median("error_m").alias("error_m")),
+    }
