@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
-from tidemark.operators.ranks import average_rank
+from tidemark.operators.ranks import average_rank, summed_below
 
 # ---- distribution functions, on plain numbers ------------------------------------------------------------------
 
@@ -157,26 +157,25 @@ def rayleigh(df: DataFrame, group: Sequence[str], degrees: str, axial: bool = Fa
 
 
 def ks_uniform(df: DataFrame, group: Sequence[str], u: str) -> DataFrame:
-    """n, d and p against the uniform distribution on 0 to 1."""
-    by = Window.partitionBy(*group)
-    ranked = df.where(F.col(u).isNotNull()).select(
-        *group, F.col(u).alias("_u"), F.row_number().over(by.orderBy(u)).alias("_i"), F.count("*").over(by).alias("_n")
-    )
-    gap = F.greatest(F.col("_i") / F.col("_n") - F.col("_u"), F.col("_u") - (F.col("_i") - 1) / F.col("_n"))
-    out = ranked.groupBy(*group).agg(F.count("*").alias("n"), F.max(gap).alias("d"))
+    """n, d and p against the uniform distribution on 0 to 1. Equal values are added up first; no group is one task's."""
+    steps = df.where(F.col(u).isNotNull()).groupBy(*group, F.col(u).alias("_u")).agg(F.count("*").alias("_n"))
+    s = summed_below(steps, group, "_u", ["_n"])
+    gap = F.greatest((F.col("below__n") + F.col("_n")) / F.col("all__n") - F.col("_u"), F.col("_u") - F.col("below__n") / F.col("all__n"))
+    out = s.groupBy(*group).agg(F.sum("_n").alias("n"), F.max(gap).alias("d"))
     return out.withColumn("p", ks_p_of(F.col("d"), F.col("n").cast("double")))
 
 
+def _sided(df: DataFrame, group: Sequence[str], side: str, x: str) -> DataFrame:
+    """Distinct values of each group with ``_a`` and ``_b``, the rows of either side, and what lies below them."""
+    use = df.where(F.col(x).isNotNull() & F.col(side).isNotNull())
+    steps = use.groupBy(*group, F.col(x).alias("_x")).agg(F.count_if(F.col(side)).alias("_a"), F.count_if(~F.col(side)).alias("_b"))
+    return summed_below(steps, group, "_x", ["_a", "_b"])
+
+
 def ks_two_sample(df: DataFrame, group: Sequence[str], side: str, x: str) -> DataFrame:
     """n_a, n_b, d and p for the rows where ``side`` is true and false."""
-    use = df.where(F.col(x).isNotNull() & F.col(side).isNotNull())
-    steps = use.groupBy(*group, F.col(x).alias("_x")).agg(
-        F.count_if(F.col(side)).alias("_a"), F.count_if(~F.col(side)).alias("_b")
-    )
-    by = Window.partitionBy(*group)
-    running = by.orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    share = lambda c: F.try_divide(F.sum(c).over(running), F.sum(c).over(by))
-    out = steps.withColumn("_gap", F.abs(share("_a") - share("_b"))).groupBy(*group).agg(
+    share = lambda c: F.try_divide(F.col(f"below_{c}") + F.col(c), F.col(f"all_{c}"))
+    out = _sided(df, group, side, x).withColumn("_gap", F.abs(share("_a") - share("_b"))).groupBy(*group).agg(
         F.sum("_a").alias("n_a"), F.sum("_b").alias("n_b"), F.max("_gap").alias("d")
     )
     size = F.try_divide(F.col("n_a") * F.col("n_b"), F.col("n_a") + F.col("n_b"))
@@ -210,14 +209,18 @@ def spearman(df: DataFrame, group: Sequence[str], x: str, y: str, least: int = 4
     return out.select(*group, "n", F.when(ok, F.col("_r")).alias("rho"))
 
 
+def _rank_sums(df: DataFrame, group: Sequence[str], side: str, x: str) -> DataFrame:
+    """n_a, n_b, the true side's sum of average ranks ``_ra``, and ``_t``, the sum of n^3 - n over ties."""
+    n = F.col("_a") + F.col("_b")
+    rank = F.col("below__a") + F.col("below__b") + (n + 1) / 2
+    return _sided(df, group, side, x).groupBy(*group).agg(
+        F.sum("_a").alias("n_a"), F.sum("_b").alias("n_b"), F.sum(F.when(F.col("_a") > 0, F.col("_a") * rank)).alias("_ra"), F.sum(n * (n * n - 1)).alias("_t")
+    )
+
+
 def mann_whitney(df: DataFrame, group: Sequence[str], side: str, x: str) -> DataFrame:
     """n_a, n_b, u of the true side, effect (rank-biserial) and the normal p with ties and continuity."""
-    use = df.where(F.col(x).isNotNull() & F.col(side).isNotNull())
-    ties = F.count("*").over(Window.partitionBy(*group, x))
-    ranked = use.select(*group, F.col(side).alias("_a"), average_rank(x, group).alias("_r"), (ties * ties - 1).alias("_t"))
-    s = ranked.groupBy(*group).agg(
-        F.count_if("_a").alias("n_a"), F.count_if(~F.col("_a")).alias("n_b"), F.sum(F.when(F.col("_a"), F.col("_r"))).alias("_ra"), F.sum("_t").alias("_t")
-    )
+    s = _rank_sums(df, group, side, x)
     a, b = F.col("n_a"), F.col("n_b")
     n = a + b
     u = F.col("_ra") - a * (a + 1) / 2
@@ -231,10 +234,8 @@ def mann_whitney(df: DataFrame, group: Sequence[str], side: str, x: str) -> Data
 
 def auc(df: DataFrame, group: Sequence[str], positive: str, score: str) -> DataFrame:
     """Chance that a positive has the higher score, ties half."""
-    use = df.where(F.col(score).isNotNull() & F.col(positive).isNotNull())
-    ranked = use.select(*group, F.col(positive).alias("_p"), average_rank(score, group).alias("_r"))
-    s = ranked.groupBy(*group).agg(F.count_if("_p").alias("n_pos"), F.count_if(~F.col("_p")).alias("n_neg"), F.sum(F.when(F.col("_p"), F.col("_r"))).alias("_s"))
-    value = F.try_divide(F.col("_s") - F.col("n_pos") * (F.col("n_pos") + 1) / 2, F.col("n_pos") * F.col("n_neg"))
+    s = _rank_sums(df, group, positive, score).withColumnsRenamed({"n_a": "n_pos", "n_b": "n_neg"})
+    value = F.try_divide(F.col("_ra") - F.col("n_pos") * (F.col("n_pos") + 1) / 2, F.col("n_pos") * F.col("n_neg"))
     return s.select(*group, "n_pos", "n_neg", value.alias("auc"))
 
 

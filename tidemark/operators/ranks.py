@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,6 +21,32 @@ def average_rank(x: str | Column, group: Sequence[str]) -> Column:
     return F.when(x.isNotNull(), F.rank().over(ordered) + (ties - 1) / 2)
 
 
+def summed_below(steps: DataFrame, group: Sequence[str], x: str, sums: Sequence[str], parts: int = 64) -> DataFrame:
+    """``below_{c}`` (the sum of ``c`` over smaller ``x`` of the group) and ``all_{c}``, for rows with distinct (group, x).
+
+    A group may hold most rows, so that no window covers one: its values are dealt to ``parts`` ranges at approximate quantiles,
+    running sums are taken within a range, and the ranges' totals, ``parts`` rows a group, give what lies below each range.
+    """
+    keys = [f"_g{k}" for k in range(len(group))]
+
+    def meet(df: DataFrame, small: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+        on = F.lit(True)
+        for g, k in zip((*group, *more), (*keys, *(f"{m}2" for m in more)), strict=True):
+            on = on & F.col(g).eqNullSafe(F.col(k))
+        return df.join(small, on).drop(*keys, *(f"{m}2" for m in more)) if group or more else df.crossJoin(F.broadcast(small))
+
+    named = [F.col(g).alias(k) for g, k in zip(group, keys, strict=True)]
+    edges = steps.groupBy(*named).agg(F.percentile_approx(F.col(x).cast("double"), F.array(*(F.lit(k / parts) for k in range(1, parts))), 10_000).alias("_edges"))
+    s = meet(steps, edges).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(x)))).drop("_edges")
+    per = s.groupBy(*named, F.col("_range").alias("_range2")).agg(*(F.sum(c).alias(f"_t_{c}") for c in sums))
+    of_group = Window.partitionBy(*keys)
+    earlier = of_group.orderBy("_range2").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*keys, "_range2", *(F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in sums), *(F.sum(f"_t_{c}").over(of_group).alias(f"all_{c}") for c in sums))
+    within = Window.partitionBy(*group, "_range").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    s = meet(s, per, ["_range"])
+    return s.withColumns({f"below_{c}": F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for c in sums}).drop("_range", *(f"_o_{c}" for c in sums))
+
+
 def percent_rank_average(x: str | Column, group: Sequence[str]) -> Column:
     """Average rank over the number of values that are not null."""
     x = _col(x)
