@@ -39,7 +39,7 @@ def test_habits_and_regulars(spark):
 def test_top_teams_step_the_minimum_down(spark):
     g = spark.createDataFrame([(t, float(t)) for t in range(12) for _ in range(1 + t % 3)], "team int, points double")
     rows = V.top_teams(g, "team", (3, 2, 1), least_teams=6).collect()
-    assert {r.minimum for r in rows} == {2} and len(rows) == 8 and [r.team for r in rows if r.top] == [11]
+    assert {r.minimum for r in rows} == {2} and len(rows) == 8 and sorted(r.team for r in rows if r.top) == [8, 10, 11]
 
 
 def test_windows_keep_pace_with_their_rows(spark):

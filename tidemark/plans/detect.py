@@ -441,14 +441,3 @@ def alive_by_phase(t: Tables) -> DataFrame:
     by = Window.partitionBy("match_id").orderBy("phase")
     z = t.zones.select("match_id", "phase", F.coalesce(F.lag("finish_shrink_t").over(by), F.lit(0.0)).alias("reveal"))
     return z.join(humans(t), "match_id").groupBy("match_id", "phase").agg(F.count_if(F.col("death_t").isNull() | (F.col("death_t") > F.col("reveal"))).alias("alive"))
-
-
-def risk_flags(t: Tables) -> DataFrame:
-    """D-37 in part: per team-game the risks that the rotations and standing show, and their number."""
-    rot = rotations(t).groupBy("match_id", "team_index").agg(
-        (F.max((F.col("timing") == "Behind").cast("int")) == 1).alias("behind"), (F.sum("storm_s") >= 20).alias("long_storm"), F.min("final").alias("final")
-    )
-    low = team_snapshots(t).where("phase >= 6").groupBy("match_id", "team_index").agg((F.max((F.col("tier") == "Low").cast("int")) == 1).alias("low_late"))
-    both = rot.join(low, ["match_id", "team_index"], "full")
-    flags = F.array_compact(F.array(*(F.when(F.col(c), c) for c in ("behind", "long_storm", "low_late"))))
-    return both.select("match_id", "team_index", "final", flags.alias("flags"), F.size(flags).alias("n_flags"))

@@ -291,7 +291,7 @@ def check_approaches(a: Arena) -> DataFrame:
     """g AS (SELECT id % 20 AS team, CASE WHEN placement <= 50 THEN 51 - placement ELSE 0 END + kills * 4 AS points FROM players WHERE (id + match_id) % 3 = 0),
     p AS (SELECT team, avg(points) AS ppg, count(*) AS games FROM g GROUP BY ALL), c AS (SELECT CASE WHEN count(*) FILTER (games >= 30) >= 10 THEN 30 WHEN count(*) FILTER (games >= 20) >= 10 THEN 20 ELSE 1 END AS minimum FROM p),
     k AS (SELECT p.*, minimum FROM p, c WHERE games >= minimum)
-    SELECT team, round(ppg, 6) AS ppg, games, minimum, ppg >= (SELECT quantile_cont(ppg, 0.9) FROM k) AS top FROM k""",
+    SELECT team, round(ppg, 6) AS ppg, games, minimum, row_number() OVER (ORDER BY ppg DESC, team) <= (SELECT greatest(3, ceil(count(*) * 0.1)) FROM k) AS top FROM k""",
 )
 def best_teams(a: Arena) -> DataFrame:
     """D-30."""

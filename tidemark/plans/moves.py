@@ -290,16 +290,49 @@ def approaches(t: D.Tables, checks: DataFrame) -> DataFrame:
     return a.select("match_id", "phase", "id", "team_index", "final", dealt.alias("dealt"), moved.alias("moved_m"), how.alias("approach"), spot.alias("spot"))
 
 
-def top_teams(games: DataFrame, who: str, minimums: Sequence[int] = (8, 5, 3, 1), least_teams: int = 10, share: float = 0.1) -> DataFrame:
-    """D-30: teams by points per game, with ``top`` for the best share; the minimum of games is the first that leaves ``least_teams`` teams, else the last."""
+def top_teams(games: DataFrame, who: str, minimums: Sequence[int] = tuple(range(8, 1, -1)), least_teams: int = 10, share: float = 0.1, least_top: int = 3) -> DataFrame:
+    """D-30: teams by points per game, ``top`` for the best share, ``least_top`` at least; the minimum of games is the first that leaves
+    ``least_teams`` teams, else the last. Of equal teams the smaller one comes first."""
     per = games.groupBy(who).agg(F.avg("points").alias("ppg"), F.count("*").alias("games"))
     counts = per.agg(*(F.count_if(F.col("games") >= k).alias(f"_n{k}") for k in minimums))
     chosen = F.lit(minimums[-1])
     for k in reversed(minimums[:-1]):
         chosen = F.when(F.col(f"_n{k}") >= least_teams, k).otherwise(chosen)
     kept = per.crossJoin(F.broadcast(counts.select(chosen.alias("minimum")))).where(F.col("games") >= F.col("minimum"))
-    cut = kept.agg(F.percentile("ppg", F.lit(1 - share)).alias("_cut"))
-    return kept.crossJoin(F.broadcast(cut)).select(who, "ppg", "games", "minimum", (F.col("ppg") >= F.col("_cut")).alias("top"))
+    tied = R.summed_below(kept.groupBy("ppg").agg(F.count("*").alias("_n")), [], "ppg", ["_n"]).select(
+        F.col("ppg").alias("_ppg"), (F.col("all__n") - F.col("below__n") - F.col("_n")).alias("_above"), F.greatest(F.lit(least_top), F.ceil(F.col("all__n") * share)).alias("_k")
+    )
+    place = F.col("_above") + F.row_number().over(Window.partitionBy("ppg").orderBy(who))
+    return kept.join(tied, F.col("ppg") == F.col("_ppg")).select(who, "ppg", "games", "minimum", (place <= F.col("_k")).alias("top"))
+
+
+def game_risks(t: D.Tables) -> DataFrame:
+    """D-37: per team-game its risks: (flags, n_flags), each named once, in this order.
+
+    Contested drop, off spawn (the landings), behind (a rotation), edge (over three quarters of the circle's radius from its
+    centre when it appears, phase 5 on), storm (50 damage or more in a phase), low ground (lowest third of the teams when the circle appears, phase 6 on).
+    """
+    appear = F.lag("finish_shrink_t").over(Window.partitionBy("match_id").orderBy("phase"))
+    moments = t.zones.withColumn("t", appear).where("t is not null").select("match_id", "phase", "t", "cur_x", "cur_y", "cur_r")
+    team = ["match_id", "team_index"]
+    at = members_at(t, moments).groupBy(*team, "phase").agg(*(F.avg(c).alias(c) for c in "xyz"), *(F.first(c).alias(c) for c in ("cur_x", "cur_y", "cur_r")))
+    off = F.try_divide(G.distance_m(F.col("x"), F.col("y"), F.col("cur_x"), F.col("cur_y")) * CM, "cur_r")
+    rank = R.percent_rank_average("z", ["match_id", "phase"])
+    seen = at.select(*team, "phase", ((F.col("phase") >= 5) & (off > 0.75)).alias("edge"), ((F.col("phase") >= 6) & (rank < 1 / 3)).alias("low"))
+    seen = seen.groupBy(*team).agg(F.bool_or("edge").alias("edge"), F.bool_or("low").alias("low_ground"))
+    log = D.damage_causes(t)[0].where("cause = 'storm'").join(D.humans(t).select("match_id", "id", "team_index"), ["match_id", "id"])
+    log = asof_join(log, moments.select("match_id", "phase", F.col("t").alias("appear")), ["match_id"], ["phase"], right_time="appear", how="left")
+    storm = log.groupBy(*team, "phase").agg(F.sum("lost").alias("_lost")).groupBy(*team).agg((F.max("_lost") >= 50).alias("storm"))
+    behind = D.rotations(t).groupBy(*team).agg(F.bool_or(F.col("timing") == "Behind").alias("behind"))
+    base = D.humans(t).groupBy(*team).agg(F.min("final").alias("final"))
+    found = base.join(seen, team, "left").join(storm, team, "left").join(behind, team, "left")
+    names = ["behind", "edge", "storm", "low_ground"]
+    if t.landings is not None:
+        drop = t.landings.join(D.humans(t).select("match_id", "id", F.col("team_index").alias("_team")), ["match_id", "id"])
+        drop = drop.groupBy("match_id", F.col("_team").alias("team_index")).agg(F.bool_or(F.col("opp_150m") > 0).alias("contested"), F.bool_or("off_spawn").alias("off_spawn"))
+        found, names = found.join(drop, team, "left"), ["contested", "off_spawn", *names]
+    flags = F.array_compact(F.array(*(F.when(F.col(c), c) for c in names)))
+    return found.select(*team, "final", flags.alias("flags"), F.size(flags).alias("n_flags"))
 
 
 #: Half width and step in centimetres of the passes over candidate centres, coarse to fine (fixed values).

@@ -26,6 +26,7 @@ from tidemark.operators import ranks as R
 from tidemark.operators import sessions as W
 from tidemark.operators.asof import asof_join
 from tidemark.plans import detect as D
+from tidemark.plans import moves as V
 from tidemark.sources.shared import shared_dir, written
 
 
@@ -430,7 +431,7 @@ def audit(c: Context):
     account = "player_id" if "player_id" in t.players.columns else "id"
     games = P.scored(team_games(D.humans(t), account), P.scheme(t.players.sparkSession, P.DUOS))
     start = t.matches.select("match_id", F.col("match_date").alias("replay_timestamp"))
-    games = numbered_games(games.join(start, "match_id", "left")).join(D.risk_flags(t).drop("final"), ["match_id", "team_index"], "left")
+    games = numbered_games(games.join(start, "match_id", "left")).join(V.game_risks(t).drop("final"), ["match_id", "team_index"], "left")
     return {"table:games": games.withColumn("flags", F.array_join("flags", ","))}
 
 

@@ -12,6 +12,7 @@ from tidemark.operators import selection as L
 from tidemark.operators.spatial import blurred_density, grid_density, land_map
 from tidemark.plans import detect as D
 from tidemark.plans import models as M
+from tidemark.plans import moves as V
 from tidemark.plans import studies as K
 from tidemark.plans import value_studies  # noqa: F401  registers its studies
 from tidemark.plans.operator_queries import DROPS_SQL, MARGIN, SHARE_OF_MOVE, r6
@@ -254,7 +255,7 @@ def causes(a: Arena) -> DataFrame:
 @registered("detect_risks")
 def risks(a: Arena) -> DataFrame:
     """D-37."""
-    return D.risk_flags(a.tables()).select("match_id", "team_index", "final", F.array_join("flags", ",").alias("flags"), "n_flags")
+    return V.game_risks(a.tables()).select("match_id", "team_index", "final", F.array_join("flags", ",").alias("flags"), "n_flags")
 
 
 @registered(
