@@ -376,7 +376,7 @@ for _name in K.STUDIES:
 @registered("findings_sheet")
 def sheet(a: Arena) -> DataFrame:
     """S-15: every study of one selection in one long sheet."""
-    return K.findings(K.Context(a.tables(), {"growth": B.Growth(rounds=2, rate=0.5, depth=3), "folds": 2}))
+    return K.findings(K.Context(a.tables(), {"growth": B.Growth(rounds=2, rate=0.5, depth=3), "folds": 2, "disk": 40, "ring": 24, "end": 60}))
 
 
 @registered("conclusion")
