@@ -499,11 +499,12 @@ FIRST = ("audit", "field", "gameplan")
 def findings(context: Context, ids: tuple[str, ...] | None = None, at_once: int = 6) -> DataFrame:
     """S-15: one long sheet (study, kind, label, value, n, p, strength); a failing study has one row that says so.
 
-    The shared detectors are written first. Then each study's tests and metrics are one job, ``at_once`` of them at a time,
+    For all studies the shared detectors are written first. Then each study's tests and metrics are one job, ``at_once`` of them at a time,
     which writes its rows to the shared folder; the sheet is what lies there.
     """
     spark = context.tables.matches.sparkSession
-    context.detect()
+    if ids is None:
+        context.detect()
     folder = f"{shared_dir(spark)}/findings-{uuid.uuid4().hex}"
     order = [i for i in FIRST if i in STUDIES] + [i for i in STUDIES if i not in FIRST]
     use = [i for i in order if (not ids or i in ids) and not (STUDIES[i].needs_compare and context.compare is None)]
