@@ -388,15 +388,73 @@ def _dealt(h: DataFrame, matches: DataFrame, folds: int, seed: int) -> DataFrame
     return h.join(m, "match_id")
 
 
-def ladder(pulls: DataFrame, matches: DataFrame, land: Raster, folds: int = FOLDS, seed: int = 7, disk: int = N_DISK, ring: int = N_RING) -> DataFrame:
-    """M-08: every rung, and the control with histories from other matches, out of fold and on the newest matches."""
+@dataclass(frozen=True)
+class Fitted:
+    """States with candidates, and the models fitted to them; ``judge`` holds each state against the models that did not learn from it."""
+
+    states: DataFrame
+    models: list[Model]
+    scale: np.ndarray
+    weights: dict
+    folds: int
+
+    def judge(self) -> DataFrame:
+        return judged(self.states, self.models, self.scale, self.weights, self.folds)
+
+    def inside(self, rung: str, spots: DataFrame) -> DataFrame:
+        """(match_id, phase, id, p_in): the chance that a spot lies in the coming circle, by the rung's model that never saw the match.
+
+        ``spots``: match_id, phase, id, x, y and next_r, at most a lobby's players to a state. Spots without a state are left out;
+        one without a place has no chance (null).
+        """
+        own = {m.fold: (i, m) for i, m in enumerate(self.models) if m.rung == rung}
+        scale, weights = self.scale, self.weights
+        each = F.collect_list(F.struct("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))).alias("spots")
+        held = spots.groupBy(*STATE).agg(F.max("next_r").cast("double").alias("next_r"), each)
+        both = self.states.select(*STATE, "kind", "fold", "old", "n", "x", "at").join(held, STATE)
+        kinds = dict(both.dtypes)
+        ddl = f"match_id {kinds['match_id']}, phase {kinds['phase']}, id {dict(spots.dtypes)['id']}, p_in double"
+        schema = to_arrow_schema(_parse_datatype_string(ddl))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                rest = (batch.column(c).to_pylist() for c in (*STATE, "next_r", "spots"))
+                for match, phase, r, there, at, (kind, fold, _, x) in zip(*rest, batch.column("at"), _states(batch), strict=True):
+                    i, m = own[fold]
+                    place = at.values.to_numpy(zero_copy_only=False).reshape(-1, 2)[1:]
+                    u = ((x[1:] - scale[0]) / scale[1])[:, m.columns] @ weights[i, kind]
+                    p = np.exp(u - u.max())
+                    p /= p.sum()
+                    for s in there:
+                        known = s["x"] is not None and s["y"] is not None
+                        out.append((match, phase, s["id"], float(p[np.hypot(place[:, 0] - s["x"], place[:, 1] - s["y"]) <= r].sum()) if known else None))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+        return both.mapInArrow(run, ddl)
+
+
+def best_rung(results: DataFrame) -> str:
+    """The rung with the most bits out of fold; without any state the first one. The control is none."""
+    rungs = [r for r in RUNGS if r != "shuffled"]
+    top = results.where((F.col("test") == "fold") & F.col("rung").isin(rungs)).groupBy("rung").agg(F.avg("bits").alias("bits")).orderBy(F.desc("bits"), "rung").first()
+    return top.rung if top else rungs[0]
+
+
+def fitted_ladder(pulls: DataFrame, matches: DataFrame, land: Raster, folds: int = FOLDS, seed: int = 7, disk: int = N_DISK, ring: int = N_RING) -> Fitted:
+    """M-08: every rung, and the control with histories from other matches, for every fold and for the old matches."""
     h = written(_dealt(with_donors(histories(pulls), seed), matches, folds, seed), "histories")
     names = sorted({n for use in RUNGS.values() for n in use if n != "prior"})
     grids = memory(h.select("fold", "half", "old", F.col("phase").cast("long").alias("zone"), F.col("next_x").alias("x"), F.col("next_y").alias("y")), land, folds)
     states = packed(features(candidates(h, disk, ring), land), names, grids, land, folds, "phase")
     models = models_of(RUNGS, names, folds)
-    scale, weights = fit(states, models, ("shrinking", "moving"), folds)
-    return judged(states, models, scale, weights, folds)
+    return Fitted(states, models, *fit(states, models, ("shrinking", "moving"), folds), folds)
+
+
+def ladder(pulls: DataFrame, matches: DataFrame, land: Raster, folds: int = FOLDS, seed: int = 7, disk: int = N_DISK, ring: int = N_RING) -> DataFrame:
+    """M-08: the rungs, and the control, out of fold and on the newest matches."""
+    return fitted_ladder(pulls, matches, land, folds, seed, disk, ring).judge()
 
 
 def endgame(pulls: DataFrame, matches: DataFrame, land: Raster, folds: int = FOLDS, seed: int = 11, n: int = N_END) -> DataFrame:

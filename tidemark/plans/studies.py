@@ -71,10 +71,15 @@ class Context:
     def snapshots(self) -> DataFrame:
         return self._kept(D.snapshots(self.tables))
 
-    def detect(self) -> None:
-        """Runs the detectors that many studies share, so that copies of this context have them."""
-        for name in ("rotations", "fights", "standing", "surge", "snapshots"):
-            getattr(self, name)
+    @cached_property
+    def zones_outside(self) -> DataFrame:
+        return self._kept(D.team_zones(self.tables))
+
+    def detect(self, *names: str) -> None:
+        """Runs detectors side by side, those that many studies share if none is named, so that copies of this context have them."""
+        names = names or ("rotations", "fights", "standing", "surge", "snapshots", "zones_outside")
+        with ThreadPoolExecutor(len(names)) as pool:
+            list(pool.map(lambda name: getattr(self, name), names))
 
 
 @dataclass(frozen=True)
@@ -328,7 +333,7 @@ def surge_study(c: Context):
 @study("storm_hunt")
 def storm_hunt(c: Context):
     """K-15: staying outside against rotating, like for like."""
-    z = D.team_zones(c.tables).where("approach <> 'between'")
+    z = c.zones_outside.where("approach <> 'between'")
     z = c._kept(z.withColumn("far", S.bands(F.col("dist_m"), [-1, 300, 1e9], ["to 300", "over 300"])))
     parts = []
     for x in ("dealt", "taken", "net", "storm", "final"):
@@ -383,26 +388,6 @@ def zone_check(c: Context):
     return {"table:matches": per.withColumn("flags", F.array_join(flags, ",")), "metrics": metrics(per, continuous=A.share(F.coalesce(F.col("largest_gap_m") <= 1, F.lit(True))), in_order=A.share(F.col("out_of_order") == 0))}
 
 
-@study("playbook")
-def playbook(c: Context):
-    """K-20, D-31, D-32: rules followed or not, within the match and by the same player, and scores of rules followed."""
-    t = c.tables
-    rot = c.rotations.where("timing is not null").select("match_id", "id", "phase", F.lit("rotate ahead").alias("rule"), (F.col("timing") == "Ahead").alias("followed"), "final")
-    members = D.humans(t).select("match_id", "id", "team_index")
-    high = c.standing.where("phase >= 5").join(members, ["match_id", "team_index"]).select("match_id", "id", "phase", F.lit("hold height late").alias("rule"), (F.col("tier") == "High").alias("followed"), "final")
-    dry = c.rotations.select("match_id", "id", "phase", F.lit("stay out of the storm").alias("rule"), (F.col("storm_s") <= 5).alias("followed"), "final")
-    r = rot.unionByName(high).unionByName(dry).withColumn("rank", R.percent_rank_average("final", ["match_id", "phase", "rule"]))
-    within = A.gap_of_means(r, ["rule", "match_id"], F.col("followed"), "rank", 2)
-    account = "player_id" if "player_id" in t.players.columns else "id"
-    same = r.join(t.players.select("match_id", "id", F.col(account).alias("account")).distinct(), ["match_id", "id"])
-    own = A.gap_of_means(same, ["rule", "account"], F.col("followed"), "rank", 2)
-    score = r.groupBy("match_id", "id").agg(A.share(F.col("followed"), 3).alias("score"), F.min("final").alias("final"), F.count("*").alias("n")).where("score is not null")
-    return {
-        "tests": tests(mean_test(within, "within the match:", "gap", group=("rule",)), mean_test(own, "same player:", "gap", group=("rule",)), rho_test(score, "rules followed and finish", "score", "final")),
-        "table:rules": r.groupBy("rule", "phase").agg(F.count("*").alias("n"), A.share(F.col("followed")).alias("followed")),
-    }
-
-
 @study("decides")
 def decides(c: Context):
     """K-21, M-11: which groups of factors tell the finish, out of fold."""
@@ -465,29 +450,6 @@ def gameplan(c: Context):
     return {"table:leave_by": leave, "table:late": late.groupBy("phase", "late").agg(F.count("*").alias("n"), A.share(F.col("storm_n") > 0).alias("storm")), "table:surge_line": line, "table:exchange": P.exchange(scheme)}
 
 
-@study("field")
-def field_study(c: Context):
-    """K-30, D-29, D-30: behaviours of the best teams against the rest, and of the same team with itself."""
-    t = c.tables
-    rot = c.rotations.groupBy("match_id", "team_index").agg(F.avg("arrival_rank").alias("arrival"), F.avg("storm_s").alias("storm_s"), F.avg("neighbours_100m").alias("neighbours"))
-    stand = c.standing.groupBy("match_id", "team_index").agg(F.avg("height_rank").alias("height"), F.min("final").alias("final"))
-    hit = D.player_hits(t).groupBy("match_id", F.col("attacker_team").alias("team_index")).agg(F.sum("amount").alias("dealt"))
-    prints = stand.join(rot, ["match_id", "team_index"], "left").join(hit, ["match_id", "team_index"], "left")
-    games = P.scored(prints.withColumn("kills", F.lit(0)), P.scheme(t.players.sparkSession, P.DUOS), "final")
-    per_team = games.groupBy("team_index").agg(F.avg("points").alias("ppg"), F.count("*").alias("games")).where("games >= 3")
-    cut = per_team.agg(F.percentile("ppg", F.lit(0.9)).alias("_c"))
-    top = per_team.crossJoin(F.broadcast(cut)).select("team_index", (F.col("ppg") >= F.col("_c")).alias("top"))
-    names = ["arrival", "storm_s", "neighbours", "height", "dealt"]
-    long = games.join(top, "team_index").select("match_id", "team_index", "top", "points", *(F.col(n).cast("double").alias(n) for n in names)).unpivot(["match_id", "team_index", "top", "points"], names, "behaviour", "value")
-    mw = T.mann_whitney(long, ["behaviour"], "top", "value")
-    half = F.percent_rank().over(Window.partitionBy("behaviour", "team_index").orderBy("value")) > 0.5
-    own = A.gap_of_means(long.where("value is not null").withColumn("_more", half), ["behaviour", "team_index"], F.col("_more"), "points", 2)
-    return {
-        "tests": tests(mw.select(F.concat(F.lit("top against rest: "), F.col("behaviour")).alias("label"), (F.col("n_a") + F.col("n_b")).alias("n"), "effect", "p"), mean_test(own, "same team, more against less:", "gap", group=("behaviour",))),
-        "table:behaviours": long.groupBy("behaviour", "top").agg(F.count("value").alias("n"), F.avg("value").alias("mean")),
-    }
-
-
 # ---- all studies of one selection -------------------------------------------------------------------------------
 
 

@@ -13,8 +13,8 @@ from tidemark.operators.spatial import blurred_density, grid_density, land_map
 from tidemark.plans import detect as D
 from tidemark.plans import models as M
 from tidemark.plans import moves as V
+from tidemark.plans import rules, value_studies  # noqa: F401  register their studies
 from tidemark.plans import studies as K
-from tidemark.plans import value_studies  # noqa: F401  registers its studies
 from tidemark.plans.operator_queries import DROPS_SQL, MARGIN, SHARE_OF_MOVE, r6
 from tidemark.sources.arena import ARENA_SQL, Arena
 from tidemark.sources.shared import written
