@@ -43,6 +43,7 @@ CHUNK = 32_768
 FAN = 8
 BLOCK_ROWS = 4096
 BLOCK_UNITS = 150_000
+TOGETHER = 512
 CACHED = 60_000
 
 _GAP = re.compile(r"\s[ \n]")
@@ -79,6 +80,8 @@ class Tokenizers:
         self.b_lengths = [len(x) for x in self.spelled]
         self.array_a, self.array_b = np.array(self.lengths, np.int64), np.array(self.b_lengths, np.int64)
         self.odd = {k for k in range(size) if self.b.is_unknown(k) or self.b.is_control(k)}
+        #: each id as it is told, with the mark that follows it: place 3 id + 0, 1 or 2
+        self.told = [f"{k}{m}" for k in range(max(len(self.lengths), size)) for m in ",|;"]
         usual = [p for k, p in enumerate(pieces) if not self.b.is_byte(k) and k not in self.odd]
         #: neighbours that some piece holds: merges never cross any others
         self.inside = {p[k : k + 2].replace("▁", " ") for p in usual for k in range(len(p) - 1)}
@@ -122,12 +125,28 @@ class Tokenizers:
 
     def read_b(self, strings: list[str]) -> list[tuple[list[int], bool]]:
         """Also whether the pieces spell the string."""
-        out, spelled = [], self.spelled.__getitem__
-        for string, ids in zip(strings, self.b.encode(["\n" + s for s in strings], num_threads=1), strict=True):
+        out = []
+        read = self.b.encode(["\n" + s for s in strings], num_threads=1)
+        for ids in read:
             del ids[:2]  # the model's space and the line feed, which no piece joins to anything
-            out.append((ids, b"".join(map(spelled, ids)) == string.encode() and self.odd.isdisjoint(ids)))
+        for k in range(0, len(strings), TOGETHER):
+            some, ids = strings[k : k + TOGETHER], read[k : k + TOGETHER]
+            if self._spells("".join(some), list(chain.from_iterable(ids))) and self._fit(some, ids):
+                out += [(x, True) for x in ids]
+            else:
+                out += [(x, self._spells(s, x)) for s, x in zip(some, ids, strict=True)]
         return out
 
+    def _spells(self, string: str, ids: list[int]) -> bool:
+        return b"".join(map(self.spelled.__getitem__, ids)) == string.encode() and self.odd.isdisjoint(ids)
+
+    def _fit(self, strings: list[str], ids: list[list[int]]) -> bool:
+        """Whether each string's pieces have as many bytes as it has; where all pieces in a row spell all strings, each then spells its own."""
+        ends = np.cumsum(self.array_b[np.fromiter(chain.from_iterable(ids), np.int64)])
+        last = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        sizes = [len(s) if s.isascii() else len(s.encode()) for s in strings]
+        return bool((np.concatenate(([0], ends))[last] == np.cumsum(sizes)).all())
+
     def safe_a(self, text: str, at: int) -> int:
         m = _SAFE_A.search(text, at) if 0 < at < len(text) else None
         return m.start() if m else (len(text) if at else 0)
@@ -220,10 +239,20 @@ class Fragment:
         return out
 
 
-def closed_units(a: list[list[int]], b: list[list[int]], lengths_a: np.ndarray, lengths_b: np.ndarray) -> list[tuple]:
+_ONES: dict[int, bytes] = {}
+
+
+def ones(k: int) -> bytes:
+    """``k`` times the number 1, the same object each time."""
+    if k not in _ONES:
+        _ONES[k] = np.ones(k, np.int64).tobytes()
+    return _ONES[k]
+
+
+def closed_units(a: list[list[int]], b: list[list[int]], lengths_a: np.ndarray, lengths_b: np.ndarray, told: list[str]) -> list[tuple]:
     """What ``Fragment.of(...).whole()`` says of strings that both have read in full, all strings at once.
 
-    (groups, n_a, n_b, n_groups, n_links, pairs, their numbers); a pair may stand more than once.
+    (groups, n_a, n_b, n_groups, n_links, pairs, their numbers), the last two as bytes of 64-bit numbers; a pair may stand more than once.
     """
     na, nb = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
     ids_a, ids_b = np.fromiter(chain.from_iterable(a), np.int64, int(na.sum())), np.fromiter(chain.from_iterable(b), np.int64, int(nb.sum()))
@@ -238,15 +267,15 @@ def closed_units(a: list[list[int]], b: list[list[int]], lengths_a: np.ndarray,
     # the text of the groups: ids with the mark that follows them, sides of a group one after the other
     last = lambda g: np.append(np.diff(g) > 0, True)
     order = np.lexsort((np.repeat((0, 1), (len(ids_a), len(ids_b))), np.concatenate((group_a, group_b))))
-    mark = np.concatenate((np.where(last(group_a), 1, 0), np.where(last(group_b), 2, 0)))[order].tolist()
-    said = [f"{k}{',|;'[m]}" for k, m in zip(np.concatenate((ids_a, ids_b))[order].tolist(), mark, strict=True)]
+    mark = np.concatenate((np.where(last(group_a), 1, 0), np.where(last(group_b), 2, 0)))
+    said = list(map(told.__getitem__, (np.concatenate((ids_a, ids_b)) * 3 + mark)[order].tolist()))
     at = lambda n: np.concatenate(([0], np.cumsum(n))).tolist()
     stop_a = np.cumsum(na) - 1
     groups = np.diff(np.concatenate(([0], group_a[stop_a] + 1)))
     links = np.diff(np.concatenate(([0], np.cumsum(size_a * size_b)[group_a[stop_a]])))
-    codes = codes.tolist()
+    raw = codes.astype(np.int64).tobytes()
     return [
-        ("".join(said[x0:x1])[:-1], n, m, g, k, tuple(codes[y0:y1]), (1,) * k)
+        ("".join(said[x0:x1])[:-1], n, m, g, k, raw[8 * y0 : 8 * y1], ones(k))
         for x0, x1, y0, y1, n, m, g, k in zip(*(lambda x, y: (x[:-1], x[1:], y[:-1], y[1:]))(at(na + nb), at(links)), na.tolist(), nb.tolist(), groups.tolist(), links.tolist(), strict=True)
     ]
 
@@ -268,11 +297,11 @@ class Units:
         self.names, self.rows, self.said = names, rows, [r and r[0] for r in rows]
         self.number = {s: k for k, s in enumerate(names)}
 
-    def add(self, name: str, row: tuple | None) -> None:
-        self.number[name] = len(self.rows)
-        self.names.append(name)
-        self.rows.append(row)
-        self.said.append(row and row[0])
+    def add(self, names: list[str], rows: list[tuple | None]) -> None:
+        self.number.update(zip(names, range(len(self.rows), len(self.rows) + len(names)), strict=True))
+        self.names += names
+        self.rows += rows
+        self.said += [r and r[0] for r in rows]
 
     def learn(self, strings: set[str]) -> None:
         t, number = self.tokenizers, self.number
@@ -285,14 +314,12 @@ class Units:
         good = [k for k, (_, ok) in enumerate(b) if ok]
         rows: list[tuple | None] = [None] * len(todo)
         if good:
-            made = closed_units([a[k] for k in good], [b[k][0] for k in good], t.array_a, t.array_b)
+            made = closed_units([a[k] for k in good], [b[k][0] for k in good], t.array_a, t.array_b, t.told)
             for k, row in zip(good, made, strict=True):
                 rows[k] = row
-        for s, row in zip(todo, rows, strict=True):
-            self.add(s, row)
-        for s in marked:
-            x, y = self.rows[number[s[:-1]]], self.rows[number[s[-1]]]
-            self.add(s, joined_unit(x, y) if x and y else None)
+        self.add(todo, rows)
+        both = [(self.rows[number[s[:-1]]], self.rows[number[s[-1]]]) for s in marked]
+        self.add(marked, [joined_unit(x, y) if x and y else None for x, y in both])
 
     def forget(self, block: Block) -> None:
         """Keeps what at least two of a block's texts have."""
@@ -338,9 +365,9 @@ class Block:
         used, bags = np.unique(np.concatenate(self.bags or none), return_inverse=True)
         numbers = np.concatenate(self.counts or none)
         units = [self.rows[k] for k in used.tolist()]
-        lengths = np.array([len(u[5]) for u in units], np.int64)
+        lengths = np.array([len(u[5]) // 8 for u in units], np.int64)
         ptr = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
-        codes, times = (np.fromiter(chain.from_iterable(u[k] for u in units), np.int64, int(ptr[-1])) for k in (5, 6))
+        codes, times = (np.frombuffer(b"".join([u[k] for u in units]), np.int64) for k in (5, 6))
         pairs, at = np.unique(codes, return_inverse=True)
         doc_ptr = np.concatenate(([0], np.cumsum([len(u) for u in self.bags]))).astype(np.int64)
         held = np.zeros(len(pairs), np.int64)
@@ -369,7 +396,12 @@ def _schema(ddl: str) -> pa.Schema:
 
 
 def _batch(row: dict, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in schema], schema=schema)
+    def column(value, kind: pa.DataType) -> pa.Array:
+        if isinstance(value, np.ndarray):  # its numbers go over in one piece
+            return pa.ListArray.from_arrays(pa.array([0, len(value)], pa.int32()), pa.array(value).cast(kind.value_type), type=kind)
+        return pa.array([value], kind)
+
+    return pa.RecordBatch.from_arrays([column(row[f.name], f.type) for f in schema], schema=schema)
 
 
 def short_blocks(docs: DataFrame, path_a: str, path_b: str, id_type: str) -> DataFrame:
@@ -381,7 +413,7 @@ def short_blocks(docs: DataFrame, path_a: str, path_b: str, id_type: str) -> Dat
         cache = units_for(path_a, path_b)
         place = TaskContext.get().partitionId() << 33
         block = Block(cache.rows)
-        for rows in rows_of(batches, 128):
+        for rows in rows_of(batches, 64):
             split = [units_of(t) if t else [] for t in rows["text"]]
             cache.learn(set().union(*split))
             number, said = cache.number.__getitem__, cache.said.__getitem__
@@ -495,7 +527,7 @@ def long_blocks(docs: DataFrame, path_a: str, path_b: str, id_type: str, chunk:
             if fragment.ok:
                 got = fragment.whole()
                 digest = hashlib.sha256(";".join(got.parts).encode()).hexdigest()
-                unit = ("", row["n_a"], row["n_b"], got.groups, got.links, tuple(got.pairs), tuple(got.pairs.values()))
+                unit = ("", row["n_a"], row["n_b"], got.groups, got.links, *(np.fromiter(x, np.int64, len(got.pairs)).tobytes() for x in (got.pairs, got.pairs.values())))
                 block = Block([unit])
                 block.doc(row["doc_id"], digest, [0])
             else:
