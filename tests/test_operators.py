@@ -15,7 +15,7 @@ from tidemark.operators import selection as L
 from tidemark.operators import sessions as W
 from tidemark.operators.asof import asof_join, running_totals
 from tidemark.operators.interval import interval_join, time_grid, window_sums
-from tidemark.operators.spatial import land_map, nearest_place, neighbour_counts
+from tidemark.operators.spatial import land_map, nearest_place, neighbour_counts, place_cells
 
 
 def values(df, *columns):
@@ -172,3 +172,21 @@ def test_selection(spark):
     people = spark.createDataFrame([("x", 1, "Alpha"), ("x", 1, "Beta"), ("x", 2, "alphabet")], "match_id string, team_index long, name string")
     assert values(L.find_team(people, "alpha, beta"), "team_index", "fragments") == [(1, 2)]
     assert L.find_team(people, " , ").count() == 0
+
+
+def test_nearest_place_of_crowded_places_looks_at_few_of_each(spark):
+    """A cell of the limit's width held every place in reach; now a point meets a bounded number of them, with the same result."""
+    n, limit = 3000, 400.0
+    at = F.expr("cast((id * 7919) % 240001 - 120000 as double)").alias("x"), F.expr("cast((id * 104729) % 240001 - 120000 as double)").alias("y")
+    own = spark.range(n).select(F.concat(F.lit("P"), F.col("id").cast("string")).alias("name"), *at)
+    # two names in one spot, one without a position and one far from all others
+    extra = spark.createDataFrame([("A", 5.0, 5.0), ("B", 5.0, 5.0), ("C", None, 1.0), ("Z", 900_000.0, 900_000.0)], "name string, x double, y double")
+    places = own.unionByName(extra)
+    points = spark.range(300).select("id", F.expr("cast((id * 15485863) % 300001 - 150000 as double)").alias("x"), F.expr("cast((id * 6101) % 300001 - 150000 as double)").alias("y"))
+    points = points.unionByName(spark.createDataFrame([(1000, 5.0, 5.0), (1001, 890_000.0, 900_000.0), (1002, None, 2.0)], "id long, x double, y double"))
+    d = F.sqrt((F.col("a.x") - F.col("b.x")) ** 2 + (F.col("a.y") - F.col("b.y")) ** 2) / 100
+    brute = points.alias("a").join(places.alias("b"), d <= limit, "left").groupBy("a.id").agg(F.min(F.when(d.isNotNull(), F.struct(d.alias("m"), F.col("b.name").alias("name")))).alias("b"))
+    want = {r.id: (r.b["name"], r.b["m"]) if r.b else ("Unnamed area", None) for r in brute.collect()}
+    assert {r.id: (r.place, r.place_m) for r in nearest_place(points, places, limit).collect()} == want
+    held, _ = place_cells(places, limit)
+    assert held.groupBy("cx", "cy").count().agg(F.max("count")).first()[0] < 64
