@@ -15,7 +15,7 @@ from tidemark.operators import selection as L
 from tidemark.operators import sessions as W
 from tidemark.operators.asof import asof_join, running_totals
 from tidemark.operators.interval import interval_join, time_grid, window_sums
-from tidemark.operators.spatial import land_map, nearest_place, neighbour_counts, place_cells
+from tidemark.operators.spatial import land_map, nearest_place, neighbour_counts, neighbour_pairs, place_cells
 
 
 def values(df, *columns):
@@ -190,3 +190,20 @@ def test_nearest_place_of_crowded_places_looks_at_few_of_each(spark):
     assert {r.id: (r.place, r.place_m) for r in nearest_place(points, places, limit).collect()} == want
     held, _ = place_cells(places, limit)
     assert held.groupBy("cx", "cy").count().agg(F.max("count")).first()[0] < 64
+
+
+def test_neighbour_pairs_send_a_point_to_five_cells_at_most_and_lose_none(spark):
+    points = spark.range(240).select((F.col("id") % 2).alias("g"), "id", F.expr("cast((id * 7919) % 4001 - 2000 as double)").alias("x"), F.expr("cast((id * 104729) % 3001 - 1500 as double)").alias("y"), (F.col("id") % 5).alias("team"))
+    b = points.select("g", F.col("id").alias("other"), F.col("x").alias("u"), F.col("y").alias("v"), F.col("team").alias("w"))
+    near = F.sqrt((F.col("x") - F.col("u")) ** 2 + (F.col("y") - F.col("v")) ** 2) / 100 <= 3.0
+    want = sorted((r.g, r.id, r.other) for r in points.join(b, "g").where(near & (F.col("id") != F.col("other")) & (F.col("team") != F.col("w"))).collect())
+    pairs = neighbour_pairs(points, ["g"], "id", 3.0, "team")
+    assert sorted((r.g, r.id, r.other) for r in pairs.collect()) == want and want
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("named_struct(cx") <= 5
+
+
+def test_running_totals_some_seconds_ago(spark):
+    facts = spark.createDataFrame([("a", 1.0, 2.0), ("a", 5.0, 3.0), ("a", 15.0, 7.0), ("b", 5.0, 11.0)], "k string, t double, v double")
+    probes = spark.createDataFrame([("a", 15.0), ("a", 14.9), ("a", 11.0), ("a", 0.0), ("c", 3.0)], "k string, t double")
+    found = running_totals(probes, facts, ["k"], {"now": F.col("v")}, ago={"before": ("now", 10)})
+    assert {(r.k, r.t): (r.now, r.before) for r in found.collect()} == {("a", 15.0): (12.0, 5.0), ("a", 14.9): (5.0, 2.0), ("a", 11.0): (5.0, 2.0), ("a", 0.0): (0.0, 0.0), ("c", 3.0): (0.0, 0.0)}
