@@ -145,6 +145,17 @@ def test_alignment_against_brute_force(spark, docs, odd, paths):
     assert by_id[5][0][1:] == by_id[6][0][1:] == by_id[6][1][1:] and by_id[5][0].n_a > 100_000
 
 
+def test_alignment_blocks_are_flat_rows(docs, paths):
+    held = token_align.texts(docs)
+    blocks = token_align.short_blocks(held, *paths, "bigint")
+    assert not [f.name for f in blocks.schema if "array" in f.dataType.simpleString()]
+    rows = blocks.select("block", "code", "at", "doc_id").collect()
+    pairs = [(r.block, r.code) for r in rows if r.code is not None]
+    assert len(pairs) == len(set(pairs)) > len({b for b, _ in pairs})
+    assert sorted(r.doc_id for r in rows if r["at"] is not None and r["at"] >= 0) == sorted(r.doc_id for r in held.collect())
+
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 4), min_size=1, max_size=30), st.lists(st.integers(1, 4), min_size=1, max_size=30), st.data())
 def test_fragments_are_a_monoid(a, b, data):

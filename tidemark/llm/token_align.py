@@ -9,7 +9,8 @@ compositions, ``FAN`` fragments at a time, joins them. Shorter texts are cut whe
 each worker keeps the fragments of the strings it has met.
 
 Counts: a block of texts holds each of its id pairs once, with the number of its texts that link it. Only these go to
-the sums, and only these are answered; a very common pair is one row a block. Texts go through Python once.
+the sums, and only these are answered; a very common pair is one row a block. Texts go through Python once. Pairs, units and
+texts are rows of their own: a block as one row made Spark's readers, sorts and lists hold many blocks at once.
 
 Defined results: texts that are null, empty or not spelled alike by both (U+2581 in a text) have no tokens: zeros and an
 empty digest; every row counts as a text of its own, repeated ids or not; ids may be null; an empty table gives no rows;
@@ -18,6 +19,7 @@ extra columns are left behind. A stretch without any safe offset, one unbroken r
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import pickle
@@ -44,6 +46,7 @@ FAN = 8
 BLOCK_ROWS = 4096
 BLOCK_UNITS = 150_000
 TOGETHER = 512
+SLICE, TEXTS = 50_000, 500
 CACHED = 60_000
 
 _GAP = re.compile(r"\s[ \n]")
@@ -338,9 +341,16 @@ def units_for(path_a: str, path_b: str) -> Units:
     return _HELD[path_a, path_b]
 
 
-_BLOCK = """block long, pairs array<long>, pair_docs array<int>, unit_ptr array<int>, unit_pair array<int>, unit_n array<int>,
-doc_id array<{id}>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, digest array<string>,
-doc_ptr array<int>, doc_unit array<int>, doc_n array<int>"""
+def let_go() -> None:
+    """Tokenizers and strings of this worker process, once the texts are read."""
+    _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
+#: A row for each pair of a block, one for its units, one for each text. No column is a list: a reader of Spark's holds 4096 rows at once.
+_BLOCK = """block long, code long, docs int, at int, unit_ptr binary, unit_pair binary, unit_n binary,
+doc_id {id}, n_a long, n_b long, n_groups long, n_links long, digest string, doc_unit binary, doc_n binary"""
 
 
 class Block:
@@ -360,7 +370,8 @@ class Block:
         self.counts.append(n)
         self.size += len(bag)
 
-    def row(self, block: int) -> dict:
+    def batches(self, block: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """Its pairs by their numbers, the units as places of pairs, the texts as places of units."""
         none = [np.empty(0, np.int64)]
         used, bags = np.unique(np.concatenate(self.bags or none), return_inverse=True)
         numbers = np.concatenate(self.counts or none)
@@ -381,11 +392,20 @@ class Block:
             held += seen.sum(0)
         own = np.array([u[1:5] for u in units], np.int64).reshape(-1, 4)
         sums = [np.diff(np.concatenate(([0], np.cumsum(own[bags, k] * numbers)))[doc_ptr]) for k in range(4)]
-        return {
-            "block": block, "pairs": pairs, "pair_docs": held, "unit_ptr": ptr, "unit_pair": at, "unit_n": times,
-            "doc_id": [d for d, _ in self.docs], "n_a": sums[0], "n_b": sums[1], "n_groups": sums[2], "n_links": sums[3],
-            "digest": [x for _, x in self.docs], "doc_ptr": doc_ptr, "doc_unit": bags, "doc_n": numbers,
-        }
+        packed = lambda values: np.asarray(values).astype(np.int32).tobytes()
+        for first in range(0, len(pairs), SLICE):
+            part = pairs[first : first + SLICE]
+            yield _batch({"block": np.full(len(part), block), "code": part, "docs": held[first : first + SLICE]}, schema)
+        yield _batch({"block": [block], "at": [-1], "unit_ptr": [packed(ptr)], "unit_pair": [packed(at)], "unit_n": [packed(times)]}, schema)
+        for first in range(0, len(self.docs), TEXTS):
+            docs, last = self.docs[first : first + TEXTS], min(len(self.docs), first + TEXTS)
+            cuts = list(zip(doc_ptr[first:last], doc_ptr[first + 1 : last + 1], strict=True))
+            yield _batch(
+                {"block": np.full(len(docs), block), "at": np.arange(first, last), "doc_id": [d for d, _ in docs], "digest": [x for _, x in docs]}
+                | {k: sums[i][first:last] for i, k in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
+                | {"doc_unit": [packed(bags[a:b]) for a, b in cuts], "doc_n": [packed(numbers[a:b]) for a, b in cuts]},
+                schema,
+            )
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -395,13 +415,15 @@ def _schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(_parse_datatype_string(ddl))
 
 
-def _batch(row: dict, schema: pa.Schema) -> pa.RecordBatch:
-    def column(value, kind: pa.DataType) -> pa.Array:
-        if isinstance(value, np.ndarray):  # its numbers go over in one piece
-            return pa.ListArray.from_arrays(pa.array([0, len(value)], pa.int32()), pa.array(value).cast(kind.value_type), type=kind)
-        return pa.array([value], kind)
+def _batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
+    """A batch of these columns; the others are null."""
+    n = len(next(iter(columns.values())))
+    column = lambda value, kind: pa.array(value).cast(kind) if isinstance(value, np.ndarray) else pa.array(value, kind)
+    return pa.RecordBatch.from_arrays([column(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
-    return pa.RecordBatch.from_arrays([column(row[f.name], f.type) for f in schema], schema=schema)
+
+def _row(row: dict, schema: pa.Schema) -> pa.RecordBatch:
+    return _batch({k: [row[k]] for k in schema.names}, schema)
 
 
 def short_blocks(docs: DataFrame, path_a: str, path_b: str, id_type: str) -> DataFrame:
@@ -425,12 +447,12 @@ def short_blocks(docs: DataFrame, path_a: str, path_b: str, id_type: str) -> Dat
                 else:
                     block.doc(doc_id, hashlib.sha256(";".join(found).encode()).hexdigest(), units)
             if block.size >= BLOCK_UNITS or len(block.docs) >= BLOCK_ROWS:
-                yield _batch(block.row(place), schema)
+                yield from block.batches(place, schema)
                 if len(cache.rows) > CACHED:
                     cache.forget(block)
                 block, place = Block(cache.rows), place + 1
         if block.docs:
-            yield _batch(block.row(place), schema)
+            yield from block.batches(place, schema)
 
     return docs.mapInArrow(run, ddl)
 
@@ -454,7 +476,7 @@ def chunks(docs: DataFrame, path_a: str, path_b: str, id_type: str, chunk: int =
                 low = min(a, b)
                 row = {"doc": number, "part": part, "doc_id": doc_id, "string": text[low : max(next_a, next_b)],
                        "at": [a - low, next_a - low, base_a, b - low, next_b - low, base_b]}
-                yield _batch(row, schema)
+                yield _row(row, schema)
                 base_a += len(text[a:next_a].encode())
                 base_b += len(text[b:next_b].encode())
                 a, b, part = next_a, next_b, part + 1
@@ -479,7 +501,7 @@ def fragments(parts: DataFrame, path_a: str, path_b: str, id_type: str) -> DataF
             b, ok = tokenizers.read_b([row["string"][b0:b1]])[0]
             ends = [list(accumulate((of[k] for k in ids), initial=base))[1:] for ids, of, base in ((a, tokenizers.lengths, base_a), (b, tokenizers.b_lengths, base_b))]
             made = Fragment.of((a, ends[0], b, ends[1]), ok)
-            yield _batch(row | {"n_a": len(a), "n_b": len(b), "fragment": pack_fragment(made)}, schema)
+            yield _row(row | {"n_a": len(a), "n_b": len(b), "fragment": pack_fragment(made)}, schema)
 
     return parts.mapInArrow(run, ddl)
 
@@ -504,7 +526,7 @@ def composed(parts: DataFrame, id_type: str, fan: int = FAN) -> DataFrame:
             out = out.compose(unpack_fragment(r["fragment"]))
         row = {**rows[0], "n_a": sum(r["n_a"] for r in rows), "n_b": sum(r["n_b"] for r in rows), "fragment": pack_fragment(out)}
         row["part"] = rows[0]["part"] // fan
-        return pa.Table.from_batches([_batch(row, schema)])
+        return pa.Table.from_batches([_row(row, schema)])
 
     return parts.groupBy("doc", F.floor(F.col("part") / fan).alias("upper")).applyInArrow(run, ddl)
 
@@ -514,8 +536,10 @@ def long_blocks(docs: DataFrame, path_a: str, path_b: str, id_type: str, chunk:
     parts = chunks(docs, path_a, path_b, id_type, chunk).repartition(F.col("doc"), F.col("part"))
     made = materialise(fragments(parts, path_a, path_b, id_type), "fragments")
     last = made.agg(F.max("part")).first()[0] or 0
-    while last > 0:
-        made, last = composed(made, id_type, fan), last // fan
+    if last > 0:
+        while last > 0:
+            made, last = composed(made, id_type, fan), last // fan
+        made = materialise(made, "composed")  # else a task would hold two workers at once, the composing one and the next
 
     ddl = _BLOCK.format(id=id_type)
     schema = _schema(ddl)
@@ -533,19 +557,56 @@ def long_blocks(docs: DataFrame, path_a: str, path_b: str, id_type: str, chunk:
             else:
                 block = Block([])
                 block.doc(row["doc_id"], "", [])
-            yield _batch(block.row(-1 - row["doc"]), schema)
+            yield from block.batches(-1 - row["doc"], schema)
 
     return made.mapInArrow(run, ddl)
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:
     """(code, n, best): id pairs, first id << 16 | second, in how many texts they are linked, and whether that is the first id's most."""
-    each = blocks.select(F.explode(F.arrays_zip("pairs", "pair_docs")).alias("p")).select(F.col("p.pairs").alias("code"), F.col("p.pair_docs").alias("docs"))
-    counts = each.groupBy("code").agg(F.sum("docs").alias("n"))
+    counts = blocks.where("code is not null").groupBy("code").agg(F.sum("docs").alias("n"))
     most = F.max("n").over(Window.partitionBy(F.shiftright("code", 16)))  # at most as many rows as the second vocabulary has ids
     return counts.select("code", "n", (F.col("n") == most).alias("best"))
 
 
+def _summed(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    return np.diff(np.concatenate(([0], np.cumsum(values)))[ptr])
+
+
+def _answered(schema: pa.Schema):
+    """Rows by block: its pairs' counts in order, its units, its texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        block, counts, sums = None, [], None
+        for batch in batches:
+            blocks, at = batch.column("block").to_numpy(), batch.column("at").fill_null(-2).to_numpy()
+            kind = np.minimum(at, 0)
+            new = (np.flatnonzero((np.diff(blocks) != 0) | (np.diff(kind) != 0)) + 1).tolist()
+            for a, b in zip([0, *new], [*new, len(blocks)], strict=True):
+                if a == b:
+                    continue
+                if blocks[a] != block:
+                    block, counts, sums = blocks[a], [], None
+                rows = batch.slice(a, b - a)
+                if kind[a] == -2:
+                    counts.append([rows.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("n", "best")])
+                    continue
+                held = lambda name: np.frombuffer(b"".join(rows.column(name).to_pylist()), np.int32).astype(np.int64)  # noqa: B023, E731
+                if kind[a] == -1:
+                    pair, times, ptr = held("unit_pair"), held("unit_n"), held("unit_ptr")
+                    sums = [_summed(np.concatenate(x)[pair] * times, ptr) for x in zip(*counts, strict=True)] if counts else [np.zeros(0, np.int64)] * 2
+                    counts = []
+                    continue
+                unit, times = held("doc_unit"), held("doc_n")
+                ptr = np.cumsum([0, *(len(x) // 4 for x in rows.column("doc_unit").to_pylist())])
+                n, best = (pa.array(_summed(x[unit] * times, ptr)) for x in sums)
+                own = [rows.column(k) for k in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
+                yield pa.RecordBatch.from_arrays([*own, best, n, rows.column("digest")], schema=schema)
+
+    return run
+
+
 def align(docs: DataFrame, path_a: str, path_b: str, long: int = LONG, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256; a row for each row."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -555,36 +616,12 @@ def align(docs: DataFrame, path_a: str, path_b: str, long: int = LONG, chunk: in
         short_blocks(held.where(~is_long), path_a, path_b, id_type).unionByName(long_blocks(held.where(is_long), path_a, path_b, id_type, chunk, fan)),
         "aligned",
     )
-    asked = blocks.select("block", F.posexplode("pairs").alias("pos", "code"))
-    answers = asked.join(pair_counts(blocks), "code").groupBy("block").agg(F.collect_list(F.struct("pos", "n", "best")).alias("answers"))
-
+    answers = blocks.where("code is not null").select("block", "code").join(pair_counts(blocks), "code")
+    both = answers.unionByName(blocks.where("code is null").drop("docs"), allowMissingColumns=True)
     ddl = f"doc_id {id_type}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    schema = _schema(ddl)
-    flat = lambda column: column.values.slice(column.offsets[0].as_py(), len(column.flatten()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = {name: batch.column(name).slice(k, 1) for name in batch.schema.names}
-                of = lambda name: flat(row[name]).to_numpy(zero_copy_only=False)  # noqa: B023, E731
-                n = np.zeros(len(of("pairs")), np.int64)
-                best = np.zeros(len(n), np.int64)
-                if row["answers"].null_count == 0:
-                    got = flat(row["answers"])
-                    at = got.field("pos").to_numpy(zero_copy_only=False)
-                    n[at], best[at] = got.field("n").to_numpy(zero_copy_only=False), got.field("best").to_numpy(zero_copy_only=False)
-                pair, times = of("unit_pair"), of("unit_n").astype(np.int64)
-                summed = lambda values, ptr: np.diff(np.concatenate(([0], np.cumsum(values)))[ptr])
-                unit_sum, unit_best = (summed(x[pair] * times, of("unit_ptr")) for x in (n, best))
-                unit, bag, ptr = of("doc_unit"), of("doc_n").astype(np.int64), of("doc_ptr")
-                yield pa.RecordBatch.from_arrays(
-                    [flat(row[name]).cast(schema.field(name).type) for name in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
-                    + [pa.array(summed(x[unit] * bag, ptr), pa.int64()) for x in (unit_best, unit_sum)]
-                    + [flat(row["digest"]).cast(schema.field(7).type)],
-                    schema=schema,
-                )
-
-    return blocks.drop("pair_docs").join(answers, "block", "left").mapInArrow(run, ddl)
+    # a block's codes are in order, so that the k-th count is that of its k-th pair
+    rows = both.repartition("block").sortWithinPartitions("block", F.asc_nulls_last("code"), "at").drop("code")
+    return rows.mapInArrow(_answered(_schema(ddl)), ddl)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
