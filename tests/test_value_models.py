@@ -70,6 +70,21 @@ def test_spots_against_all_pairs(spark):
     assert P.spot_counts(spots, samples.limit(0), 20.0, 90.0).count() == 0
 
 
+def test_spots_on_a_grid_as_by_their_cells(spark):
+    rng = np.random.default_rng(8)
+    zone = spark.createDataFrame([(1, 2, 500.0, -300.0, 9000.0), (1, 3, 0.0, 0.0, 0.0), (2, 2, -40000.0, 0.0, 30000.0)], "match_id long, phase long, zx double, zy double, zr double")
+    e = [(int(rng.integers(1, 3)), int(rng.integers(2, 4)), int(rng.integers(0, 4)) if k % 9 else None, *rng.uniform(-50000 if k % 2 else -12000, 12000, 2).tolist(), float(rng.choice([0, 500])), bool(rng.random() < 0.7), bool(rng.random() < 0.5)) for k in range(600)]
+    samples = spark.createDataFrame([*e, (1, 2, 1, None, 0.0, 0.0, True, True)], "match_id long, phase long, team_index long, x double, y double, z double, rotating boolean, dangerous boolean")
+    spots = P.grid_spots(zone, 11, 0.9).withColumn("z", (F.col("spot") % 3 * 1000).cast("double"))
+    rows = lambda df: sorted(map(str, df.select("match_id", "phase", "spot", "team_index", "tag", "danger").collect()))
+    want = rows(P.spot_counts(spots, samples, 20.0, 90.0))
+    assert rows(P.grid_counts(zone, spots, samples, 20.0, 90.0, 11, 0.9)) == want and len(want) > 100
+    joins = P.without_own(spots, P.spot_counts(spots, samples, 20.0, 90.0), spark.createDataFrame([(1, 2, 0), (1, 2, 3)], "match_id long, phase long, team_index long"))
+    own = {(r.spot, r.team_index): r.tag for r in joins.collect()}
+    seen = {(r.spot, r.team_index): r.tag for r in P.spot_counts(spots, samples, 20.0, 90.0).where("match_id = 1 and phase = 2").collect()}
+    assert own and all(v == sum(n for (s, team), n in seen.items() if s == spot and team != t) for (spot, t), v in own.items())
+
+
 def test_lanes_begin_at_the_team_and_end_inside(spark):
     teams = spark.createDataFrame([(1, 3, 7, 10_000.0, 0.0, 5.0, 0.0, 0.0, 4000.0), (1, 3, 8, 100.0, 0.0, 5.0, 0.0, 0.0, 4000.0)], "match_id long, phase long, team_index long, x double, y double, z double, next_x double, next_y double, next_r double")
     got = [(r.team_index, r.point, round(r.x, 3)) for r in P.lane_points(teams).orderBy("point").collect()]
