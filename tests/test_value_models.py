@@ -85,6 +85,22 @@ def test_spots_on_a_grid_as_by_their_cells(spark):
     assert own and all(v == sum(n for (s, team), n in seen.items() if s == spot and team != t) for (spot, t), v in own.items())
 
 
+def test_map_memory_is_added_up_once():
+    rng = np.random.default_rng(4)
+    grids = {(f, h, o, z): rng.random((12, 10)).astype(np.float32) for f in range(3) for h in (0, 1) for o in (0, 1) for z in (2, 3)}
+    land, held = C.Raster(-3, -2, np.ones((12, 10), bool), np.zeros((12, 10))), {}
+    x, y = rng.uniform(-9e4, 25e4, 40), rng.uniform(-9e4, 25e4, 40)
+    for _ in range(20):
+        zone, model, fold, half, old = int(rng.integers(2, 5)), int(rng.integers(0, 4)), int(rng.integers(0, 3)), int(rng.integers(0, 2)), int(rng.integers(0, 2))
+        learns = old == 1 if model == 3 else fold != model
+        use = [g for (f, h, o, z), g in grids.items() if z == zone and (o == 1 if model == 3 else f != model) and not (learns and h == half)]
+        got = C.prior(grids, land, zone, (fold, half, old), model, 3, x, y, held)
+        i, j = np.clip(np.floor(x / C.CELL).astype(int) + 3, 0, 9), np.clip(np.floor(y / C.CELL).astype(int) + 2, 0, 11)
+        at = np.log(np.sum(use, axis=0)[j, i] / np.sum(use) + 1e-7) if use else np.zeros(40)
+        assert np.allclose(got, at - at[1:].mean() if use else at, atol=1e-5)
+    assert 1 < len(held) <= 3 * 4 * 3
+
+
 def test_lanes_begin_at_the_team_and_end_inside(spark):
     teams = spark.createDataFrame([(1, 3, 7, 10_000.0, 0.0, 5.0, 0.0, 0.0, 4000.0), (1, 3, 8, 100.0, 0.0, 5.0, 0.0, 0.0, 4000.0)], "match_id long, phase long, team_index long, x double, y double, z double, next_x double, next_y double, next_r double")
     got = [(r.team_index, r.point, round(r.x, 3)) for r in P.lane_points(teams).orderBy("point").collect()]
