@@ -384,6 +384,11 @@ def test_lm_scores(docs, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_lm_learns_from_every_learnable_text(docs):
+    held = lm_score.texts(docs).where(lm_score.learnable())
+    assert sorted(r.text for r in lm_score.training_texts(docs).collect()) == sorted(r.text for r in held.collect())
+
+
 def test_gru_carries_state_and_learns():
     r = np.random.default_rng(2)
     layout = gru.Layout(classes=3, shared=1, places=2)  # symbols 0; 1 and 2, of one class; 3

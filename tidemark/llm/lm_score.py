@@ -5,10 +5,9 @@ and for the frequent words, which share classes, the second one too. Any other t
 its first two bytes; there the second factor is the token's smoothed count among those of its class, from every
 document that may be learned from.
 
-What is gathered grows with the corpus. Counts cover all learnable documents. Of those, the share ``TRAIN_SHARE``, taken
-by a hash, gives the classes and trains the network: each task goes on from the same first weights with its own
-documents, and the weights are averaged by the tasks' tokens, ``ROUNDS`` times. The first weights are fitted on at most
-``SEED_TEXTS`` pieces of them.
+What is gathered grows with the corpus. Counts cover all learnable documents, and all of them give the classes and train the
+network: each task goes on from the same first weights with its own documents, and the weights are averaged by the tasks'
+tokens, ``ROUNDS`` times. The first weights, a start for the tasks alone, are fitted on at most ``SEED_TEXTS`` pieces.
 
 No task or driver holds the vocabulary. One pass cuts the texts into blocks; it scores each text's symbols and
 writes the block's distinct tokens (as 64-bit hashes with their counts) and, for each text, which of them it has how
@@ -35,7 +34,6 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import crc32_mod, materialise, rows_of, table, texts
 from tidemark.llm.gru import Gru, Layout, Trainer, log10_likelihoods
 
-TRAIN_SHARE = 16
 ROUNDS = 1
 SEED_TEXTS = 600
 PIECE = 2000  # tokens of a training piece; a long text is trained on in several
@@ -90,9 +88,8 @@ def learnable():
 
 
 def training_texts(docs: DataFrame) -> DataFrame:
-    """A fixed share of the learnable rows, whatever their number."""
-    share = F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 200), F.length("text")), F.lit(TRAIN_SHARE)) == 0
-    return texts(docs).where(learnable() & share).select("text")
+    """All rows that may be learned from."""
+    return texts(docs).where(learnable()).select("text")
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +156,7 @@ def _train_on(model: Model, rate: float):
 
 
 def fit(docs: DataFrame) -> Model:
-    """Symbols and weights from a fixed share of the documents that may be learned from."""
+    """Symbols and weights from all documents that may be learned from."""
     train = training_texts(docs)
     symbols, frequency = learn_symbols(train)
     net = Gru.new(LAYOUT, frequency, HIDDEN)
