@@ -69,7 +69,8 @@ class Words:
         raw = "\n".join(texts).encode("utf-8", "replace") + b"\n"
         data = _LOWER[np.frombuffer(raw, np.uint8)]
         if len(self.up) < len(data) + 1:
-            self.up, self.down = _powers(_BASE, 2 * len(data)), _powers(_INVERSE, 2 * len(data))
+            most = len(data) + len(data) // 8 + 1  # blocks are about as long as one another
+            self.up, self.down = _powers(_BASE, most), _powers(_INVERSE, most)
         kind = _KIND[data]
         word = np.concatenate(([0], kind == 0, [0])).astype(np.int8)
         edge = np.diff(word)
@@ -183,6 +184,8 @@ def shard_automata(docs: DataFrame, at: np.ndarray) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             windows, place = np.concatenate(rows), np.concatenate(places)
+            rows.clear()  # only one copy of the windows beside their sorted ones
+            places.clear()
             order = sort_order(windows, place)
             windows, counts, place = distinct(windows[order], np.ones(len(order), np.int64), place[order])
             langs, spelled = list(lang_of), [w.decode("utf-8", "replace") for w in word_of]
