@@ -87,6 +87,13 @@ def test_sessions_runs_and_rhythm(spark):
     assert values(W.changes_only(r, ["k"], ["t"], "v"), "t") == [(1,), (3,), (5,)]
 
 
+def test_exact_thinning_takes_many_players_at_once(spark):
+    rows = [(k, float(t)) for k in [None, *range(40)] for t in (0, 30, 61, 61, 100, 121)] + [(7, None)]
+    kept = W.thinned(spark.createDataFrame(rows, "k int, t double"), ["k"], "t", 60.0, exact=True)
+    assert values(kept, "k", "t") == sorted(((k, t) for k in [None, *range(40)] for t in (0.0, 61.0, 121.0)), key=str)
+    assert "FlatMapGroups" not in kept._jdf.queryExecution().executedPlan().toString()  # no call of Python for each player
+
+
 def test_like_for_like_takes_only_strata_with_both(spark):
     rows = [(1, True, 1.0), (1, False, 5.0), (2, True, 2.0), (2, False, 6.0), (3, True, 0.0), (3, False, 4.0), (4, True, 99.0)]
     d = A.like_for_like(spark.createDataFrame(rows, "s int, a boolean, v double"), ["s"], F.col("a"), "v")
@@ -146,6 +153,30 @@ def test_permutation_sees_different_directions(spark):
     assert T.circular_permutation(spark.createDataFrame(rows, "a boolean, d double"), [], "a", "d", 200).first().p < 0.02
 
 
+def test_permutation_adds_up_rounds_without_ordering_them(spark):
+    """The same as ordering every round whole, groups without a name or a side included, and few of the dealt rows are shuffled."""
+    rows = [(g, k % 3 == 0, float((k * k * 7 + k) % 360)) for g in ("x", None) for k in range(600)] + [("one", True, 5.0), ("one", True, 9.0), ("y", True, None)]
+    df, rounds = spark.createDataFrame(rows, "g string, a boolean, d double"), 60
+    written_rows = lambda: sum(spark.sparkContext._jsc.sc().statusStore().stageList(*every).apply(i).shuffleWriteRecords() for i in range(spark.sparkContext._jsc.sc().statusStore().stageList(*every).size()))
+    every = (None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._gateway.jvm.double, 0), None)
+    before = written_rows()
+    got = {r.g: (r.distance, r.p) for r in T.circular_permutation(df, ["g"], "a", "d", rounds).collect()}
+    assert written_rows() - before < 1200 * rounds / 2
+    assert set(got) == {"x", None, "one"} and got["one"] == (None, None)
+    own = sorted((math.cos(math.radians(d)), math.sin(math.radians(d)), a) for g, a, d in rows if g == "x")
+    cells = spark.range(1, len(own) + 1).select(F.col("id").cast("int").alias("i")).crossJoin(spark.range(1, rounds + 1).select(F.col("id").cast("int").alias("r")))
+    hashes = {(r.r, r.i): r.h for r in cells.select("r", "i", F.xxhash64("r", "i", F.lit(0)).alias("h")).collect()}
+    m = sum(a for _, _, a in own)
+    mean = lambda rows, c: sum(v[c] for v in rows) / len(rows)
+    gap = lambda yes, no: math.hypot(mean(yes, 0) - mean(no, 0), mean(yes, 1) - mean(no, 1))
+    seen = gap([v for v in own if v[2]], [v for v in own if not v[2]])
+    k = 0
+    for r in range(1, rounds + 1):
+        order = [own[i - 1] for i in sorted(range(1, len(own) + 1), key=lambda i: (hashes[r, i], i))]
+        k += gap(order[:m], order[m:]) >= seen - 1e-12
+    assert all(got[g] == (pytest.approx(seen), (k + 1) / (rounds + 1)) for g in ("x", None))
+
+
 def test_ridge_recovers_weights(spark):
     rows = [(float(k % 7), float(k % 5), 3.0 * (k % 7) - 2.0 * (k % 5) + 1.0) for k in range(200)]
     w, b = T.ridge(spark.createDataFrame(rows, "a double, b double, y double"), ["a", "b"], "y", 1e-6)
