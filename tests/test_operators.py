@@ -148,6 +148,13 @@ def test_statistics_against_known_values(spark):
     assert T.rayleigh(spark.createDataFrame([(float(d),) for d in (10, 12, 8, 11, 9, 10)], "d double"), [], "d").first().p < 0.01
 
 
+def test_item_words_are_looked_for_in_a_name_worked_out_once(spark):
+    paths = ("/Game/x/WID_Assault_Auto_Athena_SR_T03.WID_Assault_Auto_Athena_SR_T03", "Athena_Bandage", "a/Foo_T02", "Foo_T09", "Foo_T0", "x/", "", None)
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select("p", S.item_category(F.col("p")).alias("c"), S.item_rarity(F.col("p")).alias("r"))
+    assert [(r.c, r.r) for r in got.collect()] == [("weapon", "legendary"), ("heal/shield", None), ("other", "uncommon"), ("other", None), ("other", None), ("other", None), (None, None), (None, None)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 4  # two in a name, for either column
+
+
 def test_permutation_sees_different_directions(spark):
     rows = [(True, 10.0 + k) for k in range(12)] + [(False, 190.0 + k) for k in range(12)]
     assert T.circular_permutation(spark.createDataFrame(rows, "a boolean, d double"), [], "a", "d", 200).first().p < 0.02
