@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.functions import stats as T
 from tidemark.plans import detect as D
 from tidemark.plans import studies as K
 
@@ -61,3 +63,31 @@ def test_a_gameplan_runs_no_detector_that_its_frame_does_not_need(tables, monkey
     assert found["table:leave_by"].columns[0] == "phase" and found["table:leave_by"].count() % 4 == 0
     with pytest.raises(AssertionError):
         found["table:surge_line"]
+
+
+def test_ranks_of_many_small_groups_as_of_few_large_ones(spark):
+    df = spark.range(600).select((F.col("id") % 7).alias("g"), (F.col("id") * 31 % 5 < 2).alias("side"), F.expr("cast(id * 17 % 23 as double)").alias("x"))
+    df = df.withColumn("x", F.when(F.col("x") != 3, F.col("x"))).withColumn("g", F.when(F.col("g") > 0, F.col("g")))
+    for f in (T.auc, T.mann_whitney):
+        want, got = (sorted(map(str, f(df, ["g"], "side", "x", **k).collect())) for k in ({}, {"small": True}))
+        assert want == got and len(got) == 7
+    assert "percentile_approx" not in T.auc(df, ["g"], "side", "x", small=True)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_surge_rule_by_hand(spark, tables):
+    mean, best = D.surge_rule(tables[0])
+    ep, per = D.surge_episodes(tables[0])
+    starts = {r.episode: r for r in ep.where("match_id = 1").collect()}
+    hits = [r for r in D.player_hits(tables[0]).where("match_id = 1").collect()]
+    rows = per.where("match_id = 1").collect()
+    aucs = []
+    for e in starts:
+        dealt = {r.id: sum(h.amount for h in hits if h.attacker_id == r.id and starts[e].t0 - 120 <= h.t < starts[e].t0) for r in rows if r.episode == e}
+        hit = {r.id: r.surged for r in rows if r.episode == e}
+        a, b = [dealt[i] for i in hit if not hit[i]], [dealt[i] for i in hit if hit[i]]
+        if len(a) >= 2 and len(b) >= 2:
+            aucs.append(sum((x > y) + (x == y) / 2 for x in a for y in b) / len(a) / len(b))
+    one = D.Tables(**{k: v.where("match_id = 1") if hasattr(v, "where") else v for k, v in vars(tables[0]).items()})
+    got = D.surge_rule(one)[0].where("window = '120' and measure = 'dealt' and level = 'player'").first()
+    assert got.episodes == len(aucs) > 0 and abs(got.auc - sum(aucs) / len(aucs)) < 1e-12
+    assert mean.where("chosen").count() == 1 and best.count() > 0
