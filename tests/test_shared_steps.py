@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats as T
+from tidemark.operators.interval import window_sums
 from tidemark.plans import detect as D
 from tidemark.plans import studies as K
 
@@ -91,3 +92,17 @@ def test_surge_rule_by_hand(spark, tables):
     got = D.surge_rule(one)[0].where("window = '120' and measure = 'dealt' and level = 'player'").first()
     assert got.episodes == len(aucs) > 0 and abs(got.auc - sum(aucs) / len(aucs)) < 1e-12
     assert mean.where("chosen").count() == 1 and best.count() > 0
+
+
+def test_spans_of_several_values_in_one_pass(spark):
+    left = spark.createDataFrame([(1, k, float(3 * k), None if k == 4 else float(5 * k)) for k in range(9)], "g int, id int, a double, b double")
+    facts = spark.range(60).select(F.lit(1).alias("g"), F.col("id").cast("double").alias("r_t"), (F.col("id") * 3 % 7).cast("double").alias("u"), F.when(F.col("id") % 2 == 0, F.col("id").cast("double")).alias("v"))
+    spans = {"p": (F.col("a"), F.col("b")), "q": (F.col("a"), F.col("b")), "r": (F.col("b"), F.col("a"))}
+    both = window_sums(left, facts, ["g"], spans, {"p": "u", "q": "v", "r": "u"}, ["id"])
+    got = {r.id: (r.p, r.q, r.r) for r in both.collect()}
+    of = lambda lo, hi, f: sum(f(t) for t in range(60) if lo < t <= hi)
+    for k in range(9):
+        a, b = 3.0 * k, 5.0 * k
+        want = (0.0, 0.0, 0.0) if k == 4 else (of(a, b, lambda t: t * 3 % 7), of(a, b, lambda t: t if t % 2 == 0 else 0), 0.0)
+        assert got[k] == want
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
