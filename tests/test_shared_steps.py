@@ -2,12 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats as T
 from tidemark.operators.interval import window_sums
 from tidemark.plans import detect as D
+from tidemark.plans import models as M
 from tidemark.plans import studies as K
 
 HEALTH = "match_id long, id long, t double, health double, shield double"
@@ -106,3 +108,23 @@ def test_spans_of_several_values_in_one_pass(spark):
         want = (0.0, 0.0, 0.0) if k == 4 else (of(a, b, lambda t: t * 3 % 7), of(a, b, lambda t: t if t % 2 == 0 else 0), 0.0)
         assert got[k] == want
     assert both._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+
+
+def test_all_rungs_and_folds_of_a_forecast_are_fitted_together(spark):
+    rng = np.random.default_rng(4)
+    rows = [(s, s % 3, a, *rng.normal(size=2).tolist()) for s in range(60) for a in range(4 + s % 2)]
+    df = spark.createDataFrame(rows, "match_id int, fold int, alt_id int, a double, b double").withColumn("phase", F.lit(2))
+    states = M.packed_states(df, ["a", "b"])
+    models = [(0, [0]), (1, [0, 1])]
+    for (fold, columns), got in zip(models, M.conditional_logits(states, 2, models), strict=True):
+        slope = -0.1 * got
+        for s in range(60):
+            if s % 3 != fold:
+                x = np.array([r[3:] for r in rows if r[0] == s])[:, columns]
+                p = np.exp(x @ got)
+                slope += x[0] - p / p.sum() @ x
+        assert np.abs(slope).max() < 1e-6
+    w = {("r", k): np.array([1.0, -0.5]) for k in range(3)}
+    for r in M.ranked_truths(states, 2, {"r": [0, 1]}, w).collect():
+        u = np.array([x[3] - 0.5 * x[4] for x in rows if x[0] == r.match_id])
+        assert abs(r.beaten - (u[1:] < u[0]).mean()) < 1e-12 and abs(r.bits - (np.log(np.exp(u[0]) / np.exp(u).sum()) + np.log(len(u))) / np.log(2)) < 1e-9
