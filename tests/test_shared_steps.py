@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import boosting as B
 from tidemark.functions import stats as T
 from tidemark.operators.interval import window_sums
 from tidemark.plans import detect as D
@@ -128,3 +129,29 @@ def test_all_rungs_and_folds_of_a_forecast_are_fitted_together(spark):
     for r in M.ranked_truths(states, 2, {"r": [0, 1]}, w).collect():
         u = np.array([x[3] - 0.5 * x[4] for x in rows if x[0] == r.match_id])
         assert abs(r.beaten - (u[1:] < u[0]).mean()) < 1e-12 and abs(r.bits - (np.log(np.exp(u[0]) / np.exp(u).sum()) + np.log(len(u))) / np.log(2)) < 1e-9
+
+
+def test_actions_are_priced_and_breaches_counted_without_meeting_again(spark):
+    names = ("outside_m", "storm_m", "hp", "enemies_50", "kills")
+    tree = B.Tree([2, -1, -1], [1, 0, 0], [1, 0, 0], [0.0, 1.0, 5.0], [2, 1, 1])
+    model = B.Boosted(names, [np.array([100.0])] * 5, 2.0, [tree])
+    df = spark.createDataFrame([(1, float(k), 0, 10.0, 0.0, 60.0 * k, 2, 1) for k in range(4)], "match_id int, t double, team_index int, outside_m double, storm_m double, hp double, enemies_50 long, kills long")
+    priced = M.priced_actions(model, df)
+    got = {r.t: (r.hold, r.heal, r.best, r.stake) for r in priced.collect()}
+    assert got == {0.0: (3.0, 7.0, "heal", 4.0), 1.0: (3.0, 7.0, "heal", 4.0), 2.0: (7.0, 7.0, "hold", 0.0), 3.0: (7.0, 7.0, "hold", 0.0)}
+    assert "Exchange" not in priced._jdf.queryExecution().executedPlan().toString()
+    counted = M.sign_breaches(model, df)
+    assert {(r.feature, r.n, r.breaches) for r in counted.collect()} == {(f, 4, 0) for f in names if M.SIGNS.get(f)}
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_snapshots_pass_over_a_teams_facts_once(tables):
+    t = tables[0]
+    kills = t.damage.limit(0).select("match_id", "t", F.col("target_id").alias("victim_id"), F.col("attacker_id").alias("finisher_id"))
+    s = D.snapshots(D.Tables(**vars(t) | {"kills": kills}), 30.0)
+    assert any("/totals-" in f for f in s.inputFiles()) and s.count() > 50
+    last = {(m, i): [] for m in range(3) for i in range(9)}
+    for (m, i, at), (h, x) in tables[1].items():
+        last[m, i].append((at, h + (x or 0.0)))
+    alone = D._members(t, 30.0, hp=True).collect()
+    assert {(r.match_id, r.id, r.t): r.hp for r in alone} == {(r.match_id, r.id, r.t): max((v for v in last[r.match_id, r.id] if v[0] <= r.t), default=(0, None))[1] for r in alone} and alone
