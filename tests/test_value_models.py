@@ -190,3 +190,35 @@ def test_ranks_of_one_group_in_eight_partitions(spark):
     assert abs(T.mann_whitney(df.drop("g"), [], "side", "x").first().u - u) < 600
     plan = T.mann_whitney(df, ["g"], "side", "x")._jdf.queryExecution().optimizedPlan().toString()
     assert all("_range" in line for line in plan.splitlines() if "Window [" in line)
+
+
+def test_blocks_hold_residuals_and_states_go_once(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3000, 2))
+    y = 3 * x[:, 0] + rng.normal(size=3000)
+    df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": y})).repartition(3)
+    growth = B.Growth(rounds=5, rate=0.4, depth=3)
+    model = B.fit(df, ["a", "b"], "y", {}, growth)
+    monkeypatch.setattr(B, "KEEP", 2)  # written and read again between the rounds
+    again = B.fit(df, ["a", "b"], "y", {}, growth)
+    assert [(t.feature, t.cut, t.count) for t in again.trees] == [(t.feature, t.cut, t.count) for t in model.trees]
+    left, values = y - model.base, model.trees[0].node_of(B.binned(x, model.edges))  # the first tree's leaves by brute force
+    for leaf in np.unique(values):
+        mine = left[values == leaf]
+        assert model.trees[0].count[leaf] == len(mine) and abs(model.trees[0].value[leaf] - 0.4 * mine.sum() / (len(mine) + 1)) < 1e-9
+    got = df.select("a", "b", model.states([{}, {"a": F.lit(2.0)}, {"b": F.lit(None).cast("double"), "other": F.lit(1.0)}]).alias("p")).toPandas()
+    own = got[["a", "b"]].to_numpy()
+    for k, at in enumerate((own, np.column_stack((np.full(3000, 2.0), own[:, 1])), np.column_stack((own[:, 0], np.full(3000, np.nan))))):
+        assert np.allclose([p[k] for p in got["p"]], model.score(at))
+
+
+def test_prices_and_sheet_take_the_whole_growth(spark, monkeypatch):
+    from tidemark.plans import studies as K
+    from tidemark.plans import study_queries as Q
+
+    seen = {}
+    monkeypatch.setattr(Q.B, "fit", lambda df, features, target, signs=None, growth=B.Growth(), edges=None: seen.update(growth=growth) or B.Boosted(tuple(features), [np.zeros(0)] * len(features), 0.0, []))
+    monkeypatch.setattr(Q.K, "findings", lambda context, *more: seen.update(params=context.params))
+    Q.QUERIES["model_action_prices"](spark, "/root/testdata/sf0.001")
+    Q.QUERIES["findings_sheet"](spark, "/root/testdata/sf0.001")
+    assert seen["growth"] == B.Growth() and not seen["params"] and "expected_points" in K.STUDIES
