@@ -155,3 +155,18 @@ def test_snapshots_pass_over_a_teams_facts_once(tables):
         last[m, i].append((at, h + (x or 0.0)))
     alone = D._members(t, 30.0, hp=True).collect()
     assert {(r.match_id, r.id, r.t): r.hp for r in alone} == {(r.match_id, r.id, r.t): max((v for v in last[r.match_id, r.id] if v[0] <= r.t), default=(0, None))[1] for r in alone} and alone
+
+
+def test_grown_tables_are_not_broadcast(spark, tiny):
+    from tidemark.sources.arena import Arena
+    from tidemark.sources.shared import grown
+
+    big = spark.range(1000).select((F.col("id") % 50).alias("match_id"), F.col("id").alias("x"))
+    kept = grown(big.groupBy("match_id").agg(F.max("x").alias("m")), "kept").where("m > 3").withColumn("n", F.col("m") + 1)
+    met = big.join(kept, "match_id")
+    assert met.agg(F.sum("n")).first()[0] == sum(20 * (950 + k + 1) for k in range(50))
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    t = Arena(spark, tiny).tables()
+    zones = t.positions.join(t.zones.select("match_id", "phase"), "match_id")
+    assert "Broadcast" not in zones._jdf.queryExecution().executedPlan().toString()
