@@ -222,3 +222,16 @@ def test_prices_and_sheet_take_the_whole_growth(spark, monkeypatch):
     Q.QUERIES["model_action_prices"](spark, "/root/testdata/sf0.001")
     Q.QUERIES["findings_sheet"](spark, "/root/testdata/sf0.001")
     assert seen["growth"] == B.Growth() and not seen["params"] and "expected_points" in K.STUDIES
+
+
+def test_states_together_as_one_by_one():
+    rng = np.random.default_rng(9)
+    x, w, learns = rng.normal(size=(7, 11, 3)), rng.normal(size=3), np.array([1.0, 0, 1, 1, 0, 1, 1])
+    ll, g, h = C.summed_derivatives(x, w, learns)
+    want = [0.0, np.zeros(3), np.zeros((3, 3))]
+    for s in x[learns > 0]:
+        p = np.exp(s @ w) / np.exp(s @ w).sum()
+        mean = p @ s
+        for k, v in enumerate((math.log(p[0]), s[0] - mean, sum(q * np.outer(r - mean, r - mean) for q, r in zip(p, s, strict=True)))):
+            want[k] = want[k] + v
+    assert abs(ll - want[0]) < 1e-9 and np.allclose(g, want[1]) and np.allclose(h, want[2])
